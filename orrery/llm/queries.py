@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.functions.names import camera, capture_time, recording
-from orrery.llm import mixing, nearest_time, packing, tokens, vector_search
+from orrery.llm import mixing, nearest_time, offensive, packing, tokens, vector_search
 from orrery.session import materialize, table
 
 TOLERANCE_US = 120_000
@@ -82,6 +82,23 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[1]
 
 
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents").select("doc_id", "text", "source")
+    return offensive.score(documents, offensive.train(documents, table(spark, d, "doc_reviews")))
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).select("doc_id", mixing.source_name(F.col("source")).alias("source"), "score")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).filter(F.col("score") >= offensive.THRESHOLD).select("doc_id").distinct()
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    return offensive.rates(_scored(spark, d), mixing.source_name(F.col("source")))
+
+
 QUERIES = {
     "p4_found": p4_found,
     "p4_pairs": p4_pairs,
@@ -93,6 +110,9 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_mix": p7_mix,
     "p7_report": p7_report,
+    "p8_found": p8_found,
+    "p8_scores": p8_scores,
+    "p8_rates": p8_rates,
 }
 
 P4_ENTRIES = r"""
