@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["data_quality"]
+MODULES = ["data_quality", "projections"]
 FLAGSHIP = "p1_found"
 
 

@@ -62,6 +62,7 @@ if __name__ == "__main__":
     from orrery.session import build_session
 
     spark = build_session("local[8]", 8)
+    spark.conf.set("spark.sql.ansi.enabled", "true")
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sys.argv[1])
     sqls, bad = entry.oracle_sql(), []
