@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["data_quality", "projections"]
-FLAGSHIP = "p1_found"
+MODULES = ["data_quality", "projections", "relations", "kernels"]
+FLAGSHIP = "a11_axis_box"
 
 
 def queries() -> dict:

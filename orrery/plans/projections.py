@@ -81,7 +81,7 @@ def _upright(spark, d):
 
 
 UNP = [f"({RS[0][i]}*rx + {RS[1][i]}*ry + {RS[2][i]}*z)" for i in range(3)]
-UNPROJECT = f"""rays AS (SELECT frame, u, v, z, (u * 19 + 0.5 - 612.0)/1183.5*z AS rx, (v * 21 + 0.5 - 512.0)/1183.5*z AS ry,
+UNPROJECT = f"""rays AS (SELECT frame, u, v, z, conf, (u * 19 + 0.5 - 612.0)/1183.5*z AS rx, (v * 21 + 0.5 - 512.0)/1183.5*z AS ry,
 cos(frame*0.05) AS qw, 0.0 AS qx, sin(frame*0.05) AS qy, 0.0 AS qz FROM depth)"""
 
 
@@ -284,10 +284,10 @@ def f35(spark, d):
     return objects(spark, d).select("id", ((F.trim(label) == "") | (label == "?") | label.rlike("^[Rr][0-9]+$")).alias("generic"))
 
 
-@query("f37_camera_axes", f"WITH {FRAMES} SELECT name, {sr(RS[2][0], 'fx')}, {sr(RS[2][1], 'fy')}, {sr(RS[2][2], 'fz')}, {sr('px', 'px', 5)} FROM frames")
+@query("f37_camera_axes", f"WITH {FRAMES} SELECT name, {sr(RS[2][0], 'fx')}, {sr(RS[2][1], 'fy')}, {sr(RS[2][2], 'fz')}, {sr('px', 'px', 7)} FROM frames")
 def f37(spark, d):
     f = g.rotation_of(Q)[2]
-    return frames(spark, d).select("name", *[r6(c, a) for c, a in zip(f, ("fx", "fy", "fz"))], r6(F.col("px"), "px", 5))
+    return frames(spark, d).select("name", *[r6(c, a) for c, a in zip(f, ("fx", "fy", "fz"))], r6(F.col("px"), "px", 7))
 
 
 # names (X)
