@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["data_quality", "projections", "relations", "kernels"]
+MODULES = ["data_quality", "projections", "relations", "kernels", "fits"]
 FLAGSHIP = "a11_axis_box"
 
 
