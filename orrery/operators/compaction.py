@@ -24,6 +24,8 @@ from orrery.session import materialize, shared_dir
 MARKS = r"(\s+|\.(jpe?g|png|bak|tmp|old|orig)|~|\s*\(\d+\)|[\s_-]+copy)+$"
 #: Above this many partitions the plan is joined by shuffle instead of broadcast (about 100 bytes a row).
 BROADCAST_PLAN_ROWS = 200_000
+#: Columns that compaction adds.
+ADDED = {"recording", "tree_key", "product", "frame", "part_rec", "part_tree", "out_files", "_canon", "_surplus", "_key", "_slot", "_nth"}
 #: Members of one record paired within one join group; larger groups are salted.
 PAIR_BLOCK = 1024
 
@@ -198,13 +200,14 @@ def compact(
 ) -> Compaction:
     """Rewrites the partitions of files (recording and tree) that hold more than max_small_files small files.
 
-    files: file_id, dataset, tree, path, payload; all other columns are carried along (part_rec and part_tree are
-    taken). Of files that are copies of one record (same recording, tree, product, frame and payload) the one with the
+    files: file_id, dataset, tree, path, payload; all other columns are carried along, one with the name of an added
+    column (ADDED) as <name>_source. Of files that are copies of one record (same recording, tree, product, frame and payload) the one with the
     smallest file_id is kept; a row that comes twice counts once. A partition comes out as ceil(bytes / target_bytes)
     files. Partitions with fewer small files stay as they are. A row without file_id is a record of its own, known by
     path and payload. Empty input publishes a version without partitions.
     """
     spark = files.sparkSession
+    files = files.withColumnsRenamed({c: f"{c}_source" for c in files.columns if c.lower() in ADDED})
     lake = lake or shared_dir(spark, "lake")
     log = SnapshotLog(spark, lake)
     base = log.current() if base_version is None else base_version
@@ -219,8 +222,7 @@ def compact(
     version = log.reserve(base)
     try:
         # Each payload is shuffled once, straight to the file it ends in; a marker row meets each surplus copy there.
-        carried = [c for c in files.columns if c not in ("part_rec", "part_tree")]
-        rows = known.select(*carried, "recording", "tree_key", "product", "frame", F.lit(False).alias("_surplus"))
+        rows = known.select(*files.columns, "recording", "tree_key", "product", "frame", F.lit(False).alias("_surplus"))
         marks = copies.filter("file_id <> record_id").select("file_id", "recording", "tree_key", F.lit(True).alias("_surplus"))
         laid = (
             rows.unionByName(marks, allowMissingColumns=True)

@@ -102,18 +102,20 @@ def suspects(references: DataFrame, parents: DataFrame) -> DataFrame:
 def orphans(references: DataFrame, parents: DataFrame) -> DataFrame:
     """The rows of references whose key has no parent alive at their time, with all their columns.
 
-    references: key (bigint), at (seconds) and any other columns but period. parents: key, created, deleted, in seconds.
+    references: key (bigint), at (seconds) and any other columns. parents: key, created, deleted, in seconds.
     A parent is alive at a time if created at or before it and not deleted by then. Rows with a null key are no
     references. A reference with a null time is one at the end of time. A parent with null created never lives.
     """
     end = 253_402_300_799.0
-    refs = references.filter(F.col("key").isNotNull()).withColumn("_at", F.coalesce("at", F.lit(end)))
-    found = suspects(refs.select("key", F.col("_at").alias("at")), parents)
-    rows = refs.withColumn("period", F.floor(F.col("_at") / DAY).cast("long")).join(found, ["key", "period"], "left_semi")
+    refs = references.filter(F.col("key").isNotNull()).withColumn("__at", F.coalesce("at", F.lit(end)))
+    found = suspects(refs.select("key", F.col("__at").alias("at")), parents)
+    rows = refs.withColumn("__day", F.floor(F.col("__at") / DAY).cast("long"))
+    hit = found.select(F.col("key").alias("__key"), F.col("period").alias("__period"))
+    rows = rows.join(hit, (rows["key"] == hit["__key"]) & (rows["__day"] == hit["__period"]), "left_semi")
     lives = parents.filter(F.col("created").isNotNull()).select("key", "created", "deleted").distinct()
-    own = lives.select(*[F.col(c).alias(f"_p_{c}") for c in lives.columns])
-    alive = (F.col("key") == F.col("_p_key")) & (F.col("_p_created") <= F.col("_at")) & (F.col("_p_deleted").isNull() | (F.col("_p_deleted") > F.col("_at")))
-    return rows.join(own, alive, "left_anti").drop("_at", "period")
+    own = lives.select(*[F.col(c).alias(f"__p_{c}") for c in lives.columns])
+    alive = (F.col("key") == F.col("__p_key")) & (F.col("__p_created") <= F.col("__at")) & (F.col("__p_deleted").isNull() | (F.col("__p_deleted") > F.col("__at")))
+    return rows.join(own, alive, "left_anti").drop("__at", "__day")
 
 
 def orphan_report(orphan_rows: DataFrame, table_name: str) -> DataFrame:

@@ -103,11 +103,12 @@ def flag_track(entries: DataFrame, steps: float = 10.0, bound: float = 3000.0, r
     entries: recording, cam, name, ts, p (array of 3 doubles). Result: recording, cam, name, reason, one row per
     flagged name, reason a comma-separated list of `impossible` (a component null, not finite or beyond bound),
     `off_track` (at least `steps` usual steps off the track its neighbours agree on) and `stuck` (a component exactly
-    equal over `run` entries or more). Rows without ts or p are left out; of repeated names one counts, the smallest p.
+    equal over `run` entries or more). A null recording or cam counts as ''. Rows without ts or p are left out; of repeated names one counts, the smallest p.
     A source with fewer than three plausible entries has no track. Empty input gives an empty result.
     """
     source = ["recording", "cam"]
-    clean = entries.filter(F.col("ts").isNotNull() & F.col("p").isNotNull()).select(*source, "name", "ts", "p").withColumn("hour", F.date_trunc("hour", "ts"))
+    named = [F.coalesce(c, F.lit("")).alias(c) for c in source]
+    clean = entries.filter(F.col("ts").isNotNull() & F.col("p").isNotNull()).select(*named, "name", "ts", "p").withColumn("hour", F.date_trunc("hour", "ts"))
     by_time = W.partitionBy(*source, "hour").orderBy("ts", "name", F.hash("p"))
     seen = F.lag("name").over(by_time)
     distinct = clean.withColumn("_seen", seen).filter(F.col("_seen").isNull() | (F.col("_seen") != F.col("name"))).drop("_seen")
@@ -150,10 +151,12 @@ def flag_readings(readings: DataFrame, key: str, value: str, order: list[str], f
     Result: recording, cam, key, value, reason: `impossible` (not finite or negative), `fence` (above factor times the
     median of the source, the fence on a scale that cannot be negative) or `stuck` (run or more equal values one after
     the other by `order`). The columns also carry outer_fence, q3 + 3 (q3 - q1), as a report of how far out it lies.
-    Null values are left out; of repeated keys one counts. A source whose values are all null gives no rows.
+    A null recording or cam counts as ''. Null values are left out; of repeated keys one counts. A source whose values are all null gives no rows.
     """
     source = ["recording", "cam"]
     v = F.col(value)
+    for c in source:
+        readings = readings.withColumn(c, F.coalesce(c, F.lit("")))
     clean = readings.filter(v.isNotNull() & F.col(key).isNotNull()).groupBy(*source, key, *order).agg(F.min(v).alias(value), F.min("ts").alias("ts"))
     clean = materialize(clean, "spikes-readings")
     sketches = hour_sketches(clean, source, F.date_trunc("hour", "ts"), F.col(value))

@@ -11,7 +11,7 @@ from orrery.session import table
 
 
 def _compacted(spark: SparkSession, d: str) -> compaction.Compaction:
-    return compaction.compact(table(spark, d, "street_video"))
+    return compaction.compact(table(spark, d, "street_video"), max_small_files=0)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
