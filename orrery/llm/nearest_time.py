@@ -26,7 +26,7 @@ def match_nearest(left: DataFrame, right: DataFrame, entity: list[str], toleranc
     """The rows (entity, key, ts) of left, each with the nearest row of right of the same entity.
 
     Result: entity, key_left, key_right, gap_us (right minus left) and the columns `carry` of right. Both tables are
-    co-grouped by entity and time bin; right rows within the tolerance of a bin's border go to both bins, so a task
+    co-grouped by entity and time bin; right rows go to all bins within the tolerance, so a task
     holds one bin of one entity, however many rows an entity has. Rows with a null ts, key or entity take no part; a
     key counts once; left rows without a partner do not come out. Ties: the earlier, then the smaller key.
     """
@@ -34,8 +34,8 @@ def match_nearest(left: DataFrame, right: DataFrame, entity: list[str], toleranc
     whole = lambda df, cols: df.select(*entity, "key", F.unix_micros("ts").alias("t"), *cols).dropna(subset=[*entity, "key", "t"])
     bin_of = lambda c: F.floor(c / bin_us)
     a = whole(left, []).withColumn("bin", bin_of(F.col("t")))
-    both = F.array_distinct(F.array(bin_of(F.col("t") - tolerance_us), bin_of(F.col("t") + tolerance_us)))
-    b = whole(right, carry).withColumn("bin", F.explode(both))
+    reach = F.sequence(bin_of(F.col("t") - tolerance_us), bin_of(F.col("t") + tolerance_us))
+    b = whole(right, carry).withColumn("bin", F.explode(reach))
 
     def pair(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         l = l.drop_duplicates("key")
