@@ -248,7 +248,8 @@ def passages(restored: str) -> list[list[str]]:
     for part in BREAK.split(restored):
         words = ["9" if w[0].isdigit() else w for w in WORD.findall(part or "")]
         for at in range(0, max(1, len(words) - PASSAGE_WORDS // 2), PASSAGE_WORDS // 2):
-            if any(w != "9" for w in (chunk := words[at : at + PASSAGE_WORDS])):
+            chunk = words[at : at + PASSAGE_WORDS]
+            if any(w != "9" for w in chunk):
                 out.append(chunk)
     return out
 
