@@ -11,6 +11,19 @@ from pyspark.sql import functions as F
 Vec = Sequence[Column]
 
 
+class Later(Sequence):
+    """A vector of columns by name, made when used, so that modules can be imported without a session."""
+
+    def __init__(self, prefix: str, names: str = "xyz"):
+        self.columns = [prefix + n for n in names]
+
+    def __len__(self) -> int:
+        return len(self.columns)
+
+    def __getitem__(self, i: int) -> Column:
+        return F.col(self.columns[i])
+
+
 def vec(prefix: str, names: str = "xyz") -> list[Column]:
     return [F.col(prefix + n) for n in names]
 

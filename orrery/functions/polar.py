@@ -59,17 +59,17 @@ def fresnel_specular(zenith: Column, n: float = INDEX) -> Column:
 
 
 def zenith_of(d: Column, steps: int = 900) -> Column:
-    """Zenith angle whose diffuse polarization is nearest below d: a closed table of steps + 1 entries, searched by position.
+    """Zenith angle on a grid of steps + 1 angles: the number of them whose diffuse polarization is below d, as an angle.
 
-    The diffuse form grows with the angle, so the position is the count of table entries below d.
+    The inverse of the diffuse form gives the place; four forward values around it settle the count.
     """
-    n = INDEX
-    table = []
-    for i in range(steps + 1):
-        z = i / steps * math.pi / 2
-        s2 = math.sin(z) ** 2
-        table.append((n - 1 / n) ** 2 * s2 / (2 + 2 * n * n - (n + 1 / n) ** 2 * s2 + 4 * math.cos(z) * math.sqrt(n * n - s2)))
-    below = F.size(F.filter(F.array(*[F.lit(t) for t in table]), lambda t: t < d))
+    n, r = INDEX, clip(d)
+    top = n**4 * (1 - r * r) + 2 * n * n * (2 * r * r + r - 1) + r * r + 2 * r - 4 * n**3 * r * F.sqrt(1 - r * r) + 1
+    bottom = (r + 1) * (r + 1) * (n**4 + 1) + 2 * n * n * (3 * r * r + 2 * r - 1)
+    angle = F.acos(F.sqrt(clip(top / bottom)))
+    low = F.least(F.greatest(F.floor(angle / (math.pi / 2) * steps) - 1, F.lit(0)), F.lit(steps))
+    near = [(low + i <= steps) & (fresnel_diffuse((low + i) / float(steps) * (math.pi / 2)) < d) for i in range(4)]
+    below = low + sum((c.cast("int") for c in near), F.lit(0))
     return F.least(below, F.lit(steps)) / steps * (math.pi / 2)
 
 

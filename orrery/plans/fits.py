@@ -15,7 +15,7 @@ from orrery.sources import packs, points
 from orrery.streaming import incremental
 
 query = Registry()
-Q = g.vec("q", "wxyz")
+Q = g.Later("q", "wxyz")
 
 
 @query("a12_oriented_box")

@@ -14,9 +14,9 @@ from orrery.session import table
 
 query = Registry()
 K = INTRINSICS
-Q = g.vec("q", "wxyz")
-P = g.vec("p")
-XYZ = g.vec("")
+Q = g.Later("q", "wxyz")
+P = g.Later("p")
+XYZ = g.Later("")
 #: A fixed camera of the sample recording, behind the cloud and looking along z.
 EYE = {"px": 10.0, "py": 1.5, "pz": -30.0}
 #: A fixed region of interest in the upright picture.

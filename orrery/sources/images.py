@@ -128,3 +128,14 @@ def depth_pixels(pictures: DataFrame, scale: float = 1000.0) -> DataFrame:
                 yield pd.DataFrame({"frame": np.full(len(u), name, object), "u": u.astype(np.int32), "v": v.astype(np.int32), "z": d[v, u] / scale})
 
     return pictures.select("frame", "content").mapInPandas(run, "frame string, u int, v int, z double")
+
+
+def mounts(sessions: DataFrame) -> DataFrame:
+    """cam, quarter_turns: how each camera is mounted, from its first session (by name) that states a rotation.
+
+    sessions: cam, name, rotation_deg. 0 and 180 degrees are 0 and 2 quarter turns, no statement is 3; any other angle is
+    an error when the result is read.
+    """
+    first = sessions.groupBy("cam").agg(F.min_by("rotation_deg", F.when(F.col("rotation_deg").isNotNull(), F.col("name"))).alias("deg"))
+    turns = F.when(F.col("deg").isNull(), 3).when(F.col("deg") == 0, 0).when(F.col("deg") == 180, 2).otherwise(F.raise_error(F.concat(F.lit("unknown mount of camera "), "cam")).cast("int"))
+    return first.select("cam", turns.alias("quarter_turns"))

@@ -62,3 +62,32 @@ def splats(gaussian: DataFrame) -> DataFrame:
     rot = [byte(F.col(f"rot_{i}") * 128 + 128).alias(n) for i, n in enumerate(("qw", "qx", "qy", "qz"))]
     out = gaussian.select("x", "y", "z", *[s.cast("float").alias(n) for s, n in zip(scale, ("sx", "sy", "sz"))], *rgb, byte(alpha * 255).alias("a"), *rot, (-alpha * scale[0] * scale[1] * scale[2]).alias("_o"))
     return out.orderBy("_o").drop("_o")
+
+
+def write_mesh(vertices: DataFrame, faces: DataFrame, path: str, sets: dict[str, DataFrame] | None = None) -> None:
+    """A mesh as tables: vertices, faces and, per named set, a colour or value for each vertex."""
+    vertices.write.mode("overwrite").parquet(f"{path}/vertices")
+    faces.write.mode("overwrite").parquet(f"{path}/faces")
+    for name, values in (sets or {}).items():
+        values.write.mode("overwrite").parquet(f"{path}/sets/set={name}")
+
+
+def read_mesh(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/vertices"), spark.read.parquet(f"{path}/faces")
+
+
+def write_snapshot(frames: DataFrame, path: str) -> list[str]:
+    """Predictions as Parquet, without the columns that are null in every row; the names that were written."""
+    filled = frames.agg(*[F.count(c).alias(c) for c in frames.columns]).head()
+    kept = [c for c in frames.columns if filled[c]]
+    frames.select(*kept).write.mode("overwrite").parquet(path)
+    return kept
+
+
+def track_of(bounds: DataFrame, frames: int = 40, span: float = 0.4) -> DataFrame:
+    """dataset, i, x, y, z: camera places along the x axis through the middle of each pack, evenly from -span to span of its size."""
+    size = F.sqrt(sum(((F.col("hi" + a) - F.col("lo" + a)) ** 2 for a in "xyz"), F.lit(0.0))) / 3
+    i = F.explode(F.sequence(F.lit(0), F.lit(frames - 1)))
+    mid = {a: (F.col("lo" + a) + F.col("hi" + a)) / 2 for a in "xyz"}
+    b = bounds.select("dataset", size.alias("size"), *[c.alias("m" + a) for a, c in mid.items()], i.alias("i"))
+    return b.select("dataset", "i", (F.col("mx") + F.col("size") * (F.col("i") * (2 * span / (frames - 1)) - span)).alias("x"), F.col("my").alias("y"), F.col("mz").alias("z"))
