@@ -125,4 +125,13 @@ n AS (SELECT b.name AS name_b, a.name AS name_a, abs(epoch_us(a.ts) - epoch_us(b
   FROM t b JOIN t a ON a.rec = b.rec AND a.cam = 'A' AND b.cam = 'B' AND a.ts BETWEEN b.ts - INTERVAL 120 MILLISECOND AND b.ts + INTERVAL 120 MILLISECOND)
 """
 
-ORACLES = {"p4_found": P4_ENTRIES + "SELECT name_a, name_b FROM n WHERE nth = 1"}
+P5_FOUND = """
+WITH pts AS (SELECT DISTINCT ON (seq) seq, rtrim(trim(coalesce(dataset, '')), '/') AS rec, x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z
+  FROM street_pack WHERE x::VARCHAR NOT IN ('nan', 'inf', '-inf') AND y::VARCHAR NOT IN ('nan', 'inf', '-inf') AND z::VARCHAR NOT IN ('nan', 'inf', '-inf')),
+asking AS (SELECT * FROM pts WHERE seq IN (SELECT seq FROM knn_probes)),
+n AS (SELECT a.seq AS a, b.seq AS b, row_number() OVER (PARTITION BY a.seq ORDER BY (a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2, b.seq) AS nth
+  FROM asking a JOIN pts b ON a.rec = b.rec AND a.seq <> b.seq)
+SELECT DISTINCT least(a, b) AS seq_a, greatest(a, b) AS seq_b FROM n WHERE nth <= 8
+"""
+
+ORACLES = {"p4_found": P4_ENTRIES + "SELECT name_a, name_b FROM n WHERE nth = 1", "p5_found": P5_FOUND}
