@@ -20,8 +20,8 @@ class Later(Sequence):
     def __len__(self) -> int:
         return len(self.columns)
 
-    def __getitem__(self, i: int) -> Column:
-        return F.col(self.columns[i])
+    def __getitem__(self, i):
+        return [F.col(c) for c in self.columns[i]] if isinstance(i, slice) else F.col(self.columns[i])
 
 
 def vec(prefix: str, names: str = "xyz") -> list[Column]:
