@@ -25,7 +25,7 @@ MARKS = r"(\s+|\.(jpe?g|png|bak|tmp|old|orig)|~|\s*\(\d+\)|[\s_-]+copy)+$"
 #: Above this many partitions the plan is joined by shuffle instead of broadcast (about 100 bytes a row).
 BROADCAST_PLAN_ROWS = 200_000
 #: Columns that compaction adds.
-ADDED = {"recording", "tree_key", "product", "frame", "part_rec", "part_tree", "out_files", "_canon", "_surplus", "_key", "_slot", "_nth"}
+ADDED = {"recording", "tree_key", "product", "frame", "part_rec", "part_tree", "out_files", "_canon", "_first", "_last", "_surplus", "_key", "_slot", "_nth"}
 #: Members of one record paired within one join group; larger groups are salted.
 PAIR_BLOCK = 1024
 
@@ -43,8 +43,17 @@ def canonical_path(path: Column) -> Column:
     c = _blank(path)
     for _ in range(2):
         c = F.when(c.contains("%"), F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)).otherwise(c)
-    c = F.regexp_replace(F.lower(c), r"[\\/]+(\./)*", "/")
-    return F.regexp_replace(c, r"^(.*/)?street_video/|^\s*(\./|/)+|^\s+", "")
+    c = F.translate(F.lower(c), "\\", "/")
+    odd = c.contains("//") | c.contains("./") | c.startswith("/") | c.contains("street_video/")
+    plain = F.ltrim(F.regexp_replace(c, r"/+(\./+)*", "/"), F.lit("./ \t\r\n"))
+    return F.when(odd, F.when(plain.contains("street_video/"), F.substring_index(plain, "street_video/", -1)).otherwise(plain)).otherwise(F.ltrim(c))
+
+
+def _stem(name: Column) -> Column:
+    """Name without its extension and the marks of copies; the pattern runs only on names that could hold a mark."""
+    body = F.substring(name, F.lit(1), F.length(name) - 4)
+    usual = (name.endswith(".jpg") | name.endswith(".png")) & ~(body.contains(".") | body.contains(" ") | body.contains("~") | body.contains("(") | body.endswith("copy"))
+    return F.when(usual, body).otherwise(F.regexp_replace(name, MARKS, ""))
 
 
 def identify(files: DataFrame) -> DataFrame:
@@ -53,23 +62,24 @@ def identify(files: DataFrame) -> DataFrame:
     The path decides; tree and cam are only copies of it and may be null. A path outside the known trees keeps its
     first folder as its tree; a null or empty path gives empty parts. A null dataset counts as the shipped recording ''.
     """
-    parts = F.split(F.col("_canon"), "/")
-    stem = F.regexp_replace(F.element_at(parts, -1), MARKS, "")
+    canon, first, last = F.col("_canon"), F.col("_first"), F.col("_last")
+    inner = F.length(canon) - F.length(first) - F.length(last) - 2
     return (
         files.withColumn("_canon", canonical_path(F.col("path")))
-        .withColumn("recording", F.regexp_replace(F.trim(_blank(F.col("dataset"))), r"[\\/]+$", ""))
-        .withColumn("tree_key", F.when(F.size(parts) > 1, F.element_at(parts, 1)).otherwise(_blank(F.col("tree"))))
-        .withColumn("product", F.when(F.size(parts) > 2, F.array_join(F.slice(parts, 2, F.size(parts) - 2), "/")).otherwise(""))
-        .withColumn("frame", stem)
-        .drop("_canon")
+        .withColumn("_first", F.substring_index("_canon", "/", 1))
+        .withColumn("_last", F.substring_index("_canon", "/", -1))
+        .withColumn("recording", F.rtrim(F.trim(_blank(F.col("dataset"))), F.lit("\\/")))
+        .withColumn("tree_key", F.when(canon.contains("/"), first).otherwise(F.lower(_blank(F.col("tree")))))
+        .withColumn("product", F.when(canon.contains("/") & (inner > 0), F.substring(canon, F.length(first) + 2, inner)).otherwise(""))
+        .withColumn("frame", _stem(last))
+        .drop("_canon", "_first", "_last")
     )
 
 
 def _digest() -> list[Column]:
     """128 bits over the identity and the content; a null payload differs from an empty one."""
     key = [F.col("recording"), F.col("tree_key"), F.col("product"), F.col("frame"), F.col("payload").isNull(), F.col("payload")]
-    text = F.concat_ws("\x00", "recording", "tree_key", "product", "frame", F.col("payload").isNull().cast("string"))
-    return [F.xxhash64(*key).alias("h1"), F.conv(F.substring(F.md5(F.concat(text.cast("binary"), F.coalesce(F.col("payload"), F.lit(b"")))), 1, 15), 16, 10).cast("long").alias("h2")]
+    return [F.xxhash64(*key).alias("h1"), F.xxhash64(F.lit("second"), *reversed(key), F.octet_length("payload")).alias("h2")]
 
 
 def _fs(spark: SparkSession, path: str):
@@ -222,19 +232,22 @@ def compact(
     version = log.reserve(base)
     try:
         # Each payload is shuffled once, straight to the file it ends in; a marker row meets each surplus copy there.
-        rows = known.select(*files.columns, "recording", "tree_key", "product", "frame", F.lit(False).alias("_surplus"))
-        marks = copies.filter("file_id <> record_id").select("file_id", "recording", "tree_key", F.lit(True).alias("_surplus"))
+        place = plan_side.select(F.col("recording").alias("part_rec"), F.col("tree_key").alias("part_tree"), "out_files")
+        rows = known.select(*files.columns, "product", "frame", F.col("recording").alias("part_rec"), F.col("tree_key").alias("part_tree"), F.lit(False).alias("_surplus"))
+        marks = copies.filter("file_id <> record_id").select("file_id", F.col("recording").alias("part_rec"), F.col("tree_key").alias("part_tree"), F.lit(True).alias("_surplus"))
+        key = F.when(F.col("file_id").isNotNull(), F.col("file_id")).otherwise(F.xxhash64("path", "payload"))
         laid = (
             rows.unionByName(marks, allowMissingColumns=True)
-            .join(plan_side, ["recording", "tree_key"])
-            .withColumn("part_rec", F.concat(F.lit("="), "recording"))
-            .withColumn("part_tree", F.concat(F.lit("="), "tree_key"))
-            .withColumn("_key", F.coalesce(F.col("file_id").cast("string"), F.concat_ws(":", F.lit("row"), F.xxhash64("path", "payload"))))
-            .withColumn("_slot", F.pmod(F.xxhash64("_key"), F.col("out_files")))
+            .join(place, ["part_rec", "part_tree"])
+            .withColumn("part_rec", F.concat(F.lit("="), "part_rec"))
+            .withColumn("part_tree", F.concat(F.lit("="), "part_tree"))
+            .withColumn("_key", key)
+            .withColumn("_slot", F.pmod(F.xxhash64("_key"), F.col("out_files")).cast("int"))
+            .drop("out_files")
             .repartition("part_rec", "part_tree", "_slot")
-            .withColumn("_nth", F.row_number().over(W.partitionBy("part_rec", "part_tree", "_slot", "_key").orderBy(F.desc("_surplus"), "path")))
+            .withColumn("_nth", F.row_number().over(W.partitionBy("part_rec", "part_tree", "_slot", F.col("file_id").isNull(), "_key").orderBy(F.desc("_surplus"), "path")))
             .filter("_nth = 1 and not _surplus")
-            .drop("recording", "tree_key", "_slot", "_key", "_nth", "_surplus", "out_files")
+            .drop("_slot", "_key", "_nth", "_surplus")
         )
         clash = log.touched_since(base)
         if clash is not None and not clash.join(plan, ["recording", "tree_key"], "left_semi").isEmpty():
