@@ -87,26 +87,40 @@ def j22(spark, d):
     return choosing.chain_scales(s, ["dataset", "cam", "run_no"])
 
 
-def _view_candidates(spark, d):
-    """Frames of an object's recording that see it, with bearing, size in pixels and place in the camera's sequence."""
+def _view_candidates(spark, d, least_span: float | None):
+    """Frames of an object's recording at any distance, with bearing, size in pixels and place in the camera's sequence.
+
+    With `least_span` only frames that see the object at least so many pixels large. The reach then grows with the object,
+    so objects meet the frames on a grid whose side is the power of two above their reach.
+    """
     w = W.partitionBy("dataset", "cam").orderBy("ts", "name")
     f = frames(spark, d).select("dataset", "cam", "name", "px", "pz", (F.row_number().over(w) - 1).alias("i"))
-    o = objects(spark, d).dropna(subset=["cx", "cz", "sx"]).select("id", F.coalesce("dataset", F.lit("")).alias("dataset"), "cx", "cz", "sx", F.floor(F.col("cx") / 30).alias("gx"), F.floor(F.col("cz") / 30).alias("gz"))
-    near = F.explode(F.array(*[F.struct((F.floor(F.col("px") / 30) + a).alias("gx"), (F.floor(F.col("pz") / 30) + b).alias("gz")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-    both = o.join(f.withColumn("c", near).select("*", "c.gx", "c.gz"), ["dataset", "gx", "gz"])
+    o = objects(spark, d).dropna(subset=["cx", "cz", "sx"]).select("id", F.coalesce("dataset", F.lit("")).alias("dataset"), "cx", "cz", "sx")
+    if least_span is None:
+        both = o.join(f, "dataset")
+    else:
+        cell = lambda x, z: [F.floor(F.col(c) / F.col("side")).alias(g) for c, g in ((x, "gx"), (z, "gz"))]
+        reach = 1183.5 * F.col("sx") / least_span
+        o = o.filter("sx > 0").withColumn("side", F.pow(F.lit(2.0), F.ceil(F.log2(reach)))).select("*", *cell("cx", "cz"))
+        around = F.explode(F.array(*[F.struct((F.col("gx") + a).alias("gx"), (F.col("gz") + b).alias("gz")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
+        sides = o.select("dataset", "side").distinct()
+        seen = f.join(sides, "dataset").select("*", *cell("px", "pz")).withColumn("c", around).drop("gx", "gz").select("*", "c.gx", "c.gz")
+        both = o.join(seen, ["dataset", "side", "gx", "gz"])
     dist = F.hypot(F.col("px") - F.col("cx"), F.col("pz") - F.col("cz"))
-    return both.withColumn("dist", dist).filter("dist > 1 and dist <= 30").select("id", "name", "cam", "i", F.atan2(F.col("px") - F.col("cx"), F.col("pz") - F.col("cz")).alias("bearing"), (1183.5 * F.col("sx") / F.col("dist")).alias("span"), F.lit(1.0).alias("vis"))
+    both = both.withColumn("dist", dist).filter("dist > 1").withColumn("span", 1183.5 * F.col("sx") / F.col("dist")).filter(F.lit(least_span is None) | (F.col("span") >= (least_span or 0.0)))
+    return both.select("id", "name", "cam", "i", F.atan2(F.col("px") - F.col("cx"), F.col("pz") - F.col("cz")).alias("bearing"), "span", F.lit(1.0).alias("vis"))
 
 
 @query("o04_auto_views")
 def o04(spark, d):
-    """Candidate views per object and the greedy choice among them (G05)."""
-    return choosing.auto_views(_view_candidates(spark, d), ["id"])
+    """Candidate views per object, those of at least 36 pixels as in the reference, and the greedy choice among them (G05)."""
+    return choosing.auto_views(_view_candidates(spark, d, 36.0), ["id"])
 
 
 @query("o05_quality_views")
 def o05(spark, d):
-    c = _view_candidates(spark, d).select("id", "name", F.col("span").alias("score"), (F.col("span") > 10).alias("ok"), F.degrees("bearing").alias("bearing"))
+    """All frames are candidates: without a good one the two best count."""
+    c = _view_candidates(spark, d, None).select("id", "name", F.col("span").alias("score"), (F.col("span") > 10).alias("ok"), F.degrees("bearing").alias("bearing"))
     return choosing.quality_views(c, ["id"])
 
 

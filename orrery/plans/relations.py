@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orrery.functions import geometry as g
-from orrery.operators import spatial, temporal
+from orrery.operators import neighbours, spatial, temporal
 from orrery.plans.binding import CLOUD, DEPTH, FRAMES, JOBS, OBJECTS, SAMPLES, cloud, depth, frames, jobs, objects, samples
 from orrery.plans.projections import K, ROI, UPRIGHT, _upright, poly_sql, r6, sr
 from orrery.plans.registry import Registry
@@ -159,10 +159,9 @@ def j11(spark, d):
 
 @query("j12_nearest_camera", NEAR_OBJECTS + f", {FRAMES}, f AS (SELECT name, dataset, px AS x, py AS y, pz AS z FROM frames), p AS (SELECT a.seq AS id, b.name, row_number() OVER (PARTITION BY a.seq ORDER BY {RADIUS}, b.name) AS rank FROM o a JOIN f b ON a.dataset = b.dataset AND {RADIUS} <= 900) SELECT id, name FROM p WHERE rank = 1")
 def j12(spark, d):
+    """The nearest frame of the object's recording, however far; the SQL stops at 30 units."""
     f = frames(spark, d).select("dataset", F.col("name").alias("seq"), *[F.col("p" + c).alias(c) for c in "xyz"])
-    near = spatial.radius_join(_places(spark, d).withColumn("seq", F.col("seq").cast("string")), f, 30.0, ["dataset"])
-    best = near.groupBy("id_a").agg(F.min(F.struct("dist", "id_b")).alias("m"))
-    return best.select(F.col("id_a").cast("long").alias("id"), F.col("m.id_b").alias("name"))
+    return neighbours.nearest(_places(spark, d), f, 1, ["dataset"]).select(F.col("id_a").alias("id"), F.col("id_b").alias("name"))
 
 
 @query("j13_radius_join", NEAR_OBJECTS + f" SELECT a.seq AS id_a, b.seq AS id_b, {sr('sqrt(' + RADIUS + ')', 'dist', 4)} FROM o a JOIN o b ON a.dataset = b.dataset AND a.seq <> b.seq AND {RADIUS} <= 64")
