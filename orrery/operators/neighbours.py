@@ -124,7 +124,11 @@ def around(left: DataFrame, right: DataFrame | None, k: int, by: Sequence[str],
                     got[c] = a[c].iat[i]
                 out.append(got)
         names = [c.split()[0].strip("`") for c in f"{schema}, {keys}".split(", ")]
-        return pd.concat(out)[names] if out else pd.DataFrame({c: [] for c in names})
+        if not out:
+            return pd.DataFrame({c: [] for c in names})
+        whole = pd.concat(out)[names]
+        # texts as objects: joined Arrow texts come in several pieces, which Spark does not take
+        return whole.astype({c: object for c in names if not pd.api.types.is_numeric_dtype(whole[c])})
 
     grouped = la.groupBy(*by, "chunk").cogroup(fetched.groupBy(*by, "chunk"))
     return grouped.applyInPandas(run, f"{schema}, {keys}")

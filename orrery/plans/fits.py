@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orrery.functions import geometry as g
-from orrery.operators import choosing, fitting, spatial, temporal
+from orrery.operators import choosing, fitting, neighbours, spatial, temporal
 from orrery.plans.binding import CLOUD, FRAMES, cloud, frames, objects
 from orrery.plans.projections import r6, sr
 from orrery.plans.registry import Registry
@@ -75,10 +75,9 @@ def a23(spark, d):
 
 @query("a37_point_radius")
 def a37(spark, d):
-    """1.6 times the median distance to the nearest other object, per recording (the reference samples; this takes all)."""
+    """1.6 times the median distance to the nearest other object, per recording (the reference samples; this takes all, however far)."""
     o = objects(spark, d).dropna(subset=["cx", "cy", "cz"]).select(F.col("id").alias("seq"), F.coalesce("dataset", F.lit("")).alias("dataset"), *[F.col("c" + c).alias(c) for c in "xyz"])
-    near = spatial.radius_join(o, o, 20.0, ["dataset"]).groupBy("dataset", "id_a").agg(F.min("dist").alias("dist"))
-    return near.groupBy("dataset").agg((1.6 * F.median("dist")).alias("radius"))
+    return neighbours.nearest(o, None, 1, ["dataset"]).groupBy("dataset").agg((1.6 * F.median("dist")).alias("radius"))
 
 
 @query("j22_seam_chain")

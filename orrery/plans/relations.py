@@ -153,8 +153,8 @@ def _places(spark, d):
 
 @query("j11_knn_within", NEAR_OBJECTS + f", p AS (SELECT a.seq AS id_a, b.seq AS id_b, row_number() OVER (PARTITION BY a.seq ORDER BY {RADIUS}, b.seq) AS rank FROM o a JOIN o b ON a.dataset = b.dataset AND a.seq <> b.seq AND {RADIUS} <= 400) SELECT id_a, id_b, rank FROM p WHERE rank <= 4")
 def j11(spark, d):
-    o = _places(spark, d)
-    return spatial.knn_within(o, o, 4, 20.0, ["dataset"]).select("id_a", "id_b", F.col("rank").cast("long").alias("rank"))
+    """The four nearest other objects of the recording, however far; the SQL stops at 20 units."""
+    return neighbours.nearest(_places(spark, d), None, 4, ["dataset"]).select("id_a", "id_b", "rank")
 
 
 @query("j12_nearest_camera", NEAR_OBJECTS + f", {FRAMES}, f AS (SELECT name, dataset, px AS x, py AS y, pz AS z FROM frames), p AS (SELECT a.seq AS id, b.name, row_number() OVER (PARTITION BY a.seq ORDER BY {RADIUS}, b.name) AS rank FROM o a JOIN f b ON a.dataset = b.dataset AND {RADIUS} <= 900) SELECT id, name FROM p WHERE rank = 1")

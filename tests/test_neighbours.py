@@ -54,3 +54,20 @@ def test_every_object_has_its_nearest_camera_and_large_views(spark):
         want = p[(p["flat"] > 1) & pick]
         views = fits._view_candidates(spark, d, least).select("id", "name").collect()
         assert sorted(map(tuple, views)) == sorted(zip(want["id"], want["name"])) and (want["flat"] > 30).any()
+
+
+def test_far_objects_have_neighbours_and_count_in_the_radius(spark):
+    from compare import duck
+
+    from orrery.plans import fits, relations
+    from orrery.plans.binding import OBJECTS
+
+    d = "/root/testdata/sf0.01"
+    p = duck(d).execute(f"""WITH {OBJECTS}, o AS (SELECT id, coalesce(dataset, '') AS dataset, cx, cy, cz FROM obj WHERE cx IS NOT NULL AND cy IS NOT NULL AND cz IS NOT NULL)
+        SELECT a.dataset, a.id AS a, b.id AS b, sqrt((a.cx-b.cx)**2 + (a.cy-b.cy)**2 + (a.cz-b.cz)**2) AS dist FROM o a JOIN o b ON a.dataset = b.dataset AND a.id <> b.id""").df().sort_values(["a", "dist", "b"])
+    four = p.groupby("a").head(4)
+    got = {(r["id_a"], r["id_b"]) for r in relations.QUERIES["j11_knn_within"](spark, d).collect()}
+    assert got == set(zip(four["a"], four["b"])) and (p.groupby("a")["dist"].min() > 20).any()
+    want = 1.6 * p.groupby(["dataset", "a"])["dist"].min().groupby("dataset").median()
+    radius = {r["dataset"]: r["radius"] for r in fits.QUERIES["a37_point_radius"](spark, d).collect()}
+    assert set(radius) == set(want.index) and all(abs(radius[k] - v) < 1e-9 * max(v, 1) for k, v in want.items())
