@@ -50,7 +50,7 @@ def _needed(k: int, by: Sequence[str], schema: str) -> Callable:
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({c.split()[0].strip("`"): [] for c in schema.split(", ")})
+            return pd.DataFrame(columns=[c.split()[0].strip("`") for c in schema.split(", ")], dtype=object)
         los, his, n = b[BOX[:3]].to_numpy(), b[BOX[3:]].to_numpy(), b["n"].to_numpy()
         want: dict[int, set] = {}
         for chunk, box in zip(a["chunk"], a[BOX].to_numpy()):
@@ -124,11 +124,7 @@ def around(left: DataFrame, right: DataFrame | None, k: int, by: Sequence[str],
                     got[c] = a[c].iat[i]
                 out.append(got)
         names = [c.split()[0].strip("`") for c in f"{schema}, {keys}".split(", ")]
-        if not out:
-            return pd.DataFrame({c: [] for c in names})
-        whole = pd.concat(out)[names]
-        # texts as objects: joined Arrow texts come in several pieces, which Spark does not take
-        return whole.astype({c: object for c in names if not pd.api.types.is_numeric_dtype(whole[c])})
+        return pd.concat(out)[names] if out else pd.DataFrame(columns=names, dtype=object)
 
     grouped = la.groupBy(*by, "chunk").cogroup(fetched.groupBy(*by, "chunk"))
     return grouped.applyInPandas(run, f"{schema}, {keys}")

@@ -71,3 +71,9 @@ def test_far_objects_have_neighbours_and_count_in_the_radius(spark):
     want = 1.6 * p.groupby(["dataset", "a"])["dist"].min().groupby("dataset").median()
     radius = {r["dataset"]: r["radius"] for r in fits.QUERIES["a37_point_radius"](spark, d).collect()}
     assert set(radius) == set(want.index) and all(abs(radius[k] - v) < 1e-9 * max(v, 1) for k, v in want.items())
+
+
+def test_groups_without_right_points_give_nothing(spark):
+    a = cloud_of(spark, [[0, 0, 0]]).union(cloud_of(spark, [[0, 0, 0], [1, 0, 0]], "alone").selectExpr("seq + 5", "dataset", "x", "y", "z"))
+    got = neighbours.nearest(a, cloud_of(spark, [[2, 0, 0]]), 1, ["dataset"]).collect()
+    assert [(r["id_a"], r["id_b"], r["dist"]) for r in got] == [(0, 0, 2.0)]
