@@ -1,9 +1,11 @@
 """Scores texts for abusive, hateful or sexual content.
 
 Text is restored by a noisy channel before it is judged: a character lattice of what each written character may stand for
-(look-alikes, digits for letters, masks, spacing, repetition) is decoded by Viterbi search under a character language
-model of the corpus' own words. Restored text is cut into passages; a logistic model judges each, and a document has the
-score of its worst passage. The model's weights start from the word lists below and move as far as the reviews say.
+(look-alikes, digits for letters, masks, spacing, repetition) is decoded by Viterbi search, jointly with the places where
+words end, under a character language model counted over the whole corpus. A reading is taken if it is likelier than that
+the token is no word at all. Restored text is cut into passages; a logistic model over their words, pairs, triples, traces
+of disguise and lexicon classes judges each, and a document has the score of its worst passage. The weights are learned
+from the reviews.
 """
 
 from __future__ import annotations
@@ -14,30 +16,42 @@ import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Reviewed documents the model is fitted on at most, by hash of doc_id.
-TRAIN_DOCS = 20_000
-#: Most frequent words that make the language model and the vocabulary.
-VOCABULARY_WORDS = 50_000
-BITS = 18
-#: Between the bulk of fine documents (below 0.1 on all sizes tried) and the abusive ones.
+
+#: Reviewed documents, unreviewed ones, and distinct passages of theirs that the model is fitted on at most, by hash.
+TRAIN_DOCS, UNREVIEWED_DOCS, TRAIN_PASSAGES = 20_000, 10_000, 300_000
+#: Cells of the language model's table of character n-grams and of the model's weights, as powers of two.
+GRAM_BITS, BITS = 18, 18
 THRESHOLD = 0.25
 PASSAGE_WORDS = 40
 #: Log-odds below which the worst passage of a document called offensive is taken for a slip of the reviewer.
 DOUBT = -1.0
+#: Mean log-odds of a passage's features, offensive documents to fine ones, from which it counts as what was meant.
+TELLING = 1.25
+#: Times that a passage is met in unreviewed documents from which it is taken for a fine one.
+COMMON = 20
+#: Weight of a passage that one reviewer alone stands for.
+SINGLE = 0.6
+#: Passages that a feature is taken to have been met in before any is read, so that few say little.
+PRIOR_COUNT = 3.0
+#: Log-probability of a character of a token that is no word, and what it takes to believe in a disguise at all.
+NO_WORD, DISGUISE = -2.6, -1.0
+#: Tokens that one worker remembers before it starts afresh.
+MEMO = 500_000
 
 # What a written character may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i", "(": "c", "&": "a"}
 MASKS = "*#"
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 LOOKALIKES = str.maketrans("абвгезіїјклмнорсԁѕтухһԛԝүαβεικνορτυχ", "abbre3iijklmhopcdstyxhqwyabeikvoptux")
 
-# Word lists, in the languages of the corpus; a closing * stands for any ending.
+# A lexicon in the languages of the corpus; a closing * stands for any ending. Its classes are features with
+# learned weights, and its words are known to the language model.
 WORDS = {
     "insult": "idiot* moron* imbecile* cretin* halfwit* dimwit* nitwit* dumbass* dumbfuck* scumbag* scum asshole* arsehole* jackass* bastard* bitch* cunt* twat* wanker* prick douchebag* dickhead* retard* fuckwit* shithead* motherfucker* loser* lowlife* whore* slut* vermin subhuman* degenerate* simpleton* crybaby arschloch arschlöcher vollidiot* trottel vollpfosten abschaum missgeburt hurensohn* fotze* schlampe* wichser* drecksau miststück penner spast* dummkopf pisser idiota* imbécil* imbecil* gilipollas cabrón cabron* puta putas puto hijoputa pendejo* maricón zorra* capullo* subnormal* tarado* malparido connard* connasse* abruti* crétin* imbécile* enculé* salope* salaud* pute putain* bâtard* ordure* débile* bouffon* raclure* minable* merdeux",
     "weak_insult": "shit* miserable crap pig pigs rat rats ape apes worm worms slug parasite* dog dogs swine cow cockroach* beast* animal* monkey* oxygen dirt garbage trash rubbish clown* dummy fool* liar* thief thieves cheat* dreck sau schwein* affe ungeziefer fresse basura rata ratas cerdo* cerda* asco mierda escoria alimaña* gueule vermine merde porc rats chien chiens",
@@ -50,80 +64,80 @@ WORDS = {
     "person": "you your yours yourself u ur op asker author user whoever he she they guy dude him her du dich dir dein deine deiner ihr euch tu te ti tus eres usted ustedes vosotros toi ton ta tes vous votre",
     "self": "i me my myself sorry ich mein meine mir perdón mi soy je mon ma désolé",
 }
-# Wordings that need no listed word.
-PHRASES = {
-    "threat": r"\bi (will|ll|am going to|shall) (find|kill|hurt|break|smash|come|get|make you|beat|burn)\b.{0,40}\b(you|your)|watch your back|know where you (live|park|work|sleep)|if i (ever )?(meet|see|catch) you|(you|your).{0,20}(will|gonna) (pay|regret|die)",
-    "wish": r"\bhope (\w+ ){1,5}(die|dies|choke|drown|hang|fall|burn|rot|suffer|crash|lose both|get run|get hit|break)|\bcan go and (rot|burn|die|drown|hang|get|lose|jump|fall)|the sooner the better|run over by|rot in (hell|a ditch|jail)|never wake up|(kill|hang|shoot|drown|hurt|delete) (yourself|urself)|and then yourself|jump off|nobody would miss|gone for good|given you away|better (off )?(dead|without you)|\bk ?y ?s\b|(deserve|ought|need|should) (to )?(be )?(shot|hanged|slapped|beaten|die|burned)|slapped (you|op|this|user)|ojalá te|(ojala|espero que) (te )?mueras",
-    "degrade": r"(people|someone|somebody|women|men|leute) (like|wie) (you|du)|(waste of|without half a|half a) (oxygen|brain|space|air)|(laughs|laugh) at (how|you)|shut (the \w+ )?up|eat (dirt|shit)|crawl back|make[s]? me (want to )?(spit|sick|vomit|puke)|disgust|too (thick|stupid|dumb|fat) to|mind of a|ferme ta|halt die|gueule|get lost|thanks for nothing|know (your|their) place|who do you think|sack of|pedazo de|espèce d|c[áa]llate|ta gueule|nobody needs your|never be anything but|with half a brain|do us all a favour",
-    "hate_group": r"\b(those|these|the|all|by|of|for|let|hire|keep|if|because of) (\w+ ){0,2}(people|folk|immigrants|foreigners|believers|women|cripples|refugees|migrants|\w+ese)\b.{0,60}(vermin|rat|animal|stink|thie|cheat|burn|gone|vanish|box|touch|away|driven|rid|place|cleans|better)|(cleanse|rid) .{0,30}\b(of)\b|race of|not be allowed|not belong in|treated like|brains are too|live like|every single one|(round|driven|lock|throw) .{0,20}(up|out)|no better than|only good thing about|typical for|still hire",
-    "lewd": r"(jerk|get|turn|made me|makes me|gets me) (off|on|hard|wet)|show me (more|your)|(bra|cup) size|want (pics|nudes)|take me from behind|bend over|(your|her|his) (tits|ass|cock|legs|nipples|panties|hips)|(suck|ride|fuck|eat) (you|me|him|her)\b|make you (come|scream|moan)|send me (nudes|pics)|(ride|fuck|have) you all|all night( long)?|zieh dich aus|quiero verte|(lick|kiss|spank|undress) (you|her|him|me)|hot (girls|women|singles)|explicit (clips|pics|videos)|(rip|take) (off )?your (blouse|clothes|shirt|pants)",
-    "own": r"\b(i was|i am|i m|i feel|my (code|question|fault|own)|sorry for|stupid question|silly question|dumb question|blöde frage|question bête|pregunta tonta|be kind)\b",
-}
-#: Weights before any review is read, by what a passage holds; also for two together.
-PRIOR = {"insult": 2.2, "insult+person": 1.6, "insult+adjective": 1.8, "weak_insult+adjective": 2.8, "weak_insult+person": 1.0, "weak_insult+group": 1.8, "adjective+person": 0.4, "sex": 3.2, "sex+person": 1.0, "weak_sex+sex": 0.8, "weak_sex+person": 0.5, "violence+person": 0.9, "violence+group": 1.6, "group+hate": 2.6, "threat": 4.0, "wish": 4.0, "degrade": 3.0, "hate_group": 3.2, "lewd": 3.2, "own": -2.5, "insult+own": -2.5, "insult+self": -0.6}
+FLAGS = list(WORDS)
+PAIRS = [(a, b) for i, a in enumerate(FLAGS) for b in FLAGS[i + 1 :]]
+#: Where the fit starts, and stays where no review says anything: the lexicon's strong classes and their meeting a person.
+START = {"insult": 2.2, "sex": 3.0, "insult+person": 1.8, "insult+self": -1.0, "adjective+insult": 1.5, "group+hate": 2.6, "person+violence": 0.9}
 BIAS = -3.0
-FLAGS = [*WORDS, *PHRASES]
-PAIRS = [f"{a}+{b}" for i, a in enumerate(FLAGS) for b in FLAGS[i + 1 :]]
-NAMED = {name: i for i, name in enumerate([*FLAGS, *PAIRS])}
-SIZE = (1 << BITS) + len(NAMED) + 1
+NAMED = {n: i for i, n in enumerate([*FLAGS, *("+".join(sorted(p)) for p in PAIRS)])}
+#: Hashed words, pairs and triples; then lexicon classes and their pairs; then the bias.
+WIDTH = (1 << BITS) + len(NAMED) + 1
+#: Stands before a restored word, as a word of its own: that something was disguised says something too.
+TRACE = "\u2402"
 
 
-def _lists() -> tuple[dict[str, set[str]], list[tuple[str, str]]]:
-    exact: dict[str, set[str]] = defaultdict(set)
-    stems: list[tuple[str, str]] = []
-    for kind, words in WORDS.items():
+def _lists() -> tuple[dict[str, int], dict[str, list[tuple[str, int]]]]:
+    exact: dict[str, int] = defaultdict(int)
+    stems: dict[str, list[tuple[str, int]]] = defaultdict(list)
+    for i, words in enumerate(WORDS.values()):
         for w in words.split():
+            exact[w.rstrip("*")] |= 1 << i
             if w.endswith("*"):
-                stems.append((w[:-1], kind))
-                exact[w[:-1]].add(kind)
-            else:
-                exact[w].add(kind)
-    return dict(exact), stems
+                stems[w[:3]].append((w[:-1], 1 << i))
+    return dict(exact), dict(stems)
 
 
 EXACT, STEMS = _lists()
-#: Lists whose words are no sign of anything by themselves.
-NEUTRAL = frozenset({"person", "self", "group", "adjective"})
-STEMS_BY_HEAD: dict[str, list[tuple[str, str]]] = defaultdict(list)
-for _s, _k in STEMS:
-    STEMS_BY_HEAD[_s[:3]].append((_s, _k))
-COMPILED = {k: re.compile(v) for k, v in PHRASES.items()}
 
 
-@lru_cache(maxsize=200_000)
-def kinds_of(word: str) -> frozenset[str]:
-    """Lists that a word is on."""
-    return frozenset(EXACT.get(word, set()) | {kind for stem, kind in STEMS_BY_HEAD.get(word[:3], ()) if word.startswith(stem)})
+def kinds_of(word: str) -> int:
+    """Lexicon classes that a word is in, as bits."""
+    bits = EXACT.get(word, 0)
+    for stem, bit in STEMS.get(word[:3], ()):
+        if word.startswith(stem):
+            bits |= bit
+    return bits
+
+
+def cell(gram: str) -> int:
+    return zlib.crc32(gram.encode()) & ((1 << GRAM_BITS) - 1)
+
+
+def gram_table(weights: dict[str, float]) -> np.ndarray:
+    """Weighted counts of the character n-grams (1 to 4) of words, in a hashed table; 0 ends the count of a context."""
+    table = np.zeros(1 << GRAM_BITS)
+    for w, c in weights.items():
+        text = f"^^^{w}$"
+        for i in range(3, len(text)):
+            for n in (1, 2, 3, 4):
+                table[cell(text[i - n + 1 : i + 1])] += c
+                table[cell(text[i - n + 1 : i] + "\0")] += c
+    return table
 
 
 class LanguageModel:
-    """Interpolated character model of order 4 over words with their counts, and the set of these words."""
-
-    def __init__(self, counts: dict[str, int]):
-        self.words = {w: 1 + math.log(c) for w, c in counts.items()}
-        self.words["a"] = self.words["i"] = 8.0
-        for w in EXACT:
-            self.words[w] = max(self.words.get(w, 0), 3.0)
-        self.grams: dict[str, float] = defaultdict(float)
-        for w, c in self.words.items():
-            text = f"^^^{w}$"
-            for i in range(3, len(text)):
-                for n in (1, 2, 3, 4):
-                    self.grams[text[i - n + 1 : i + 1]] += c
-                for n in (1, 2, 3):
-                    self.grams[text[i - n : i] + "\0"] += c
-        self.total = sum(v for k, v in self.grams.items() if len(k) == 1)
-        self.by_shape: dict[tuple[str, str, int], list[str]] = defaultdict(list)
-        for w in EXACT:
-            self.by_shape[w[:1], w[-1:], len(w)].append(w)
+    """Interpolated character model of order 4 over the words of a corpus and of the lexicon, of fixed size."""
+
+    def __init__(self, counts: dict[str, int], table: np.ndarray | None = None):
+        own = {w: math.log1p(c) for w, c in counts.items()} | {"a": 8.0, "i": 8.0}
+        lexicon = {w: 3.0 for w in EXACT if w not in own}
+        known = gram_table(own | lexicon)
+        self.table = (known if table is None else known + table).tolist()
+        self.total = self.table[cell("\0")]
+        self.cache: dict[tuple[str, str], float] = {}
 
     def logp(self, past: str, c: str) -> float:
-        p = 0.05 * (self.grams.get(c, 0) + 0.1) / (self.total + 10)
-        for n, weight in ((1, 0.15), (2, 0.3), (3, 0.5)):
-            seen = self.grams.get(past[-n:] + "\0", 0)
-            if seen:
-                p += weight * self.grams.get(past[-n:] + c, 0) / seen
-        return math.log(p)
+        key = (past, c)
+        if (known := self.cache.get(key)) is None:
+            p = 0.02 * (self.table[cell(c)] + 0.1) / (self.total + 10)
+            for n, weight in ((1, 0.08), (2, 0.25), (3, 0.65)):
+                seen = self.table[cell(past[-n:] + "\0")]
+                if seen:
+                    p += weight * self.table[cell(past[-n:] + c)] / seen
+            if len(self.cache) > 4 * MEMO:
+                self.cache.clear()
+            known = self.cache[key] = math.log(min(p, 1.0))
+        return known
 
 
 Edge = tuple[str, float]
@@ -138,13 +152,12 @@ def lattice(token: str) -> list[list[Edge]]:
         j = i
         while j < len(token) and token[j] == c:
             j += 1
-        run = j - i
-        if c.isalpha() and run >= 3:
+        if c.isalpha() and j - i >= 3:
             out.append([(c, -0.5), (c * 2, -0.7)])
             i = j
             continue
         if c in MASKS:
-            out.append([(x, -1.0) for x in "abcdefghijklmnopqrstuvwxyz"])
+            out.append([(x, -0.3) for x in LETTERS])
         elif c in LEET:
             out.append([(x, -0.3) for x in LEET[c]] + ([("", -2.5)] if not c.isdigit() else []))
         elif c.isalpha():
@@ -155,261 +168,370 @@ def lattice(token: str) -> list[list[Edge]]:
     return out
 
 
-def viterbi(token: str, lm: LanguageModel, keep: int = 48) -> list[tuple[float, str]]:
-    """Readings of a token, best first: one best path per state (last three characters), `keep` states a position."""
-    states: dict[str, tuple[float, str]] = {"^^^": (0.0, "")}
-    for edges in lattice(token):
-        after: dict[str, tuple[float, str]] = {}
-        for past, (score, text) in states.items():
-            for piece, cost in edges:
-                s, p = score + cost, past
-                for c in piece:
-                    s += lm.logp(p, c)
-                    p = (p + c)[-3:]
-                if p not in after or after[p][0] < s:
-                    after[p] = (s, text + piece)
-        states = dict(sorted(after.items(), key=lambda x: -x[1][0])[:keep])
-    return sorted(((s + lm.logp(p, "$"), t) for p, (s, t) in states.items()), reverse=True)
-
-
-def segment(letters: str, lm: LanguageModel) -> str:
-    """Splits run-together letters into known words where that covers them all; Viterbi search over word ends."""
-    best: list[tuple[float, int]] = [(0.0, 0)] + [(-math.inf, 0)] * len(letters)
-    for end in range(1, len(letters) + 1):
-        for start in range(max(0, end - 24), end):
-            w = letters[start:end]
-            if w in lm.words and (len(w) > 2 or w in ("a", "i", "u")) and best[start][0] > -math.inf:
-                best[end] = max(best[end], (best[start][0] + lm.words[w] - 12, start))
-            elif kinds_of(w) - NEUTRAL and best[start][0] > -math.inf:
-                best[end] = max(best[end], (best[start][0] - 9, start))
-    if best[-1][0] == -math.inf:
-        return letters
-    cuts, end = [], len(letters)
-    while end:
-        cuts.append(letters[best[end][1] : end])
-        end = best[end][1]
-    return " ".join(reversed(cuts))
-
-
-SPACED = re.compile(r"(?<![^\W_])[^\W_]([ .\-_·])[^\W_](?:\1[^\W_])+(?![^\W_])")
-TOKEN = re.compile(r"[^\s\"'`<>{}\[\],;:/\\=]+")
+def viterbi(token: str, lm: LanguageModel, words: bool = False) -> list[tuple[float, str]]:
+    """Readings of a token, best first: the best path per state, and all states are kept.
+
+    A state is the last three characters. With `words`, a reading may hold several words, parted by blanks: after each
+    character a word may end and the next begin.
+    """
+    states: dict[str, tuple[float, tuple]] = {"^^^": (0.0, ())}
+    for at, edges in enumerate(lattice(token)):
+        after: dict[str, tuple[float, tuple]] = {}
+        for past, (score, path) in states.items():
+            starts = [(past, score, path)]
+            if words and at and past[-1] != "^":
+                starts.append(("^^^", score + lm.logp(past, "$"), (path, " ")))
+            for begin, begun, way in starts:
+                for piece, cost in edges:
+                    s, p = begun + cost, begin
+                    for c in piece:
+                        s += lm.logp(p, c)
+                        p = (p + c)[-3:]
+                    if p not in after or after[p][0] < s:
+                        after[p] = (s, (way, piece) if piece else way)
+        states = after
+
+    def text(path: tuple) -> str:
+        parts = []
+        while path:
+            path, piece = path
+            parts.append(piece)
+        return "".join(reversed(parts))
+
+    return sorted(((s + lm.logp(p, "$"), text(path)) for p, (s, path) in states.items()), reverse=True)
+
+
+#: A token longer than this is decoded in windows that overlap by half; the readings that are accepted stand for it.
+WINDOW = 64
+LET = r"0-9a-zß-öø-ÿ@$!*|€"
+SPACED = re.compile(rf"(?<![{LET}])[{LET}]([ .\-_·]{{1,3}})[{LET}](?:\1[{LET}])+(?![{LET}])")
+TOKEN = re.compile(r"[^\s\"'`<>{}\[\],;:/\\=_]+")
 INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff]")
 ODD = re.compile(r"[0-9@$!|+*#€£¡&]|(\w)\1\1")
+MASKED = re.compile(r"[*#]{3,}")
 URL = re.compile(r"https?://\S+|\S+\.(example|invalid)\S*")
+FOREIGN = re.compile("[\u0370-\u052f]")
+WORD = re.compile(rf"[^\W\d_]+|\d+|{TRACE}")
+
+
+def decode(core: str, lm: LanguageModel, words: bool = False) -> str:
+    """The likeliest reading of a token, or the token where none is likelier than that it is no word."""
+    if len(core) > WINDOW:
+        half = WINDOW // 2
+        parts = [core[i : i + half] for i in range(0, len(core), half)]
+        read = [decode(a + b, lm, words) for a, b in zip(parts, parts[1:])]
+        hits = [r for r, a, b in zip(read, parts, parts[1:]) if r != a + b]
+        return " ".join(hits) if hits else core
+    score, reading = viterbi(core, lm, words)[0]
+    return reading if score > NO_WORD * len(core) + DISGUISE else core
+
+
+def plain(text: str) -> str:
+    """Lower case, without invisible characters; look-alike letters of other scripts in Latin words replaced."""
+    if text.isascii():
+        return text.lower()
+    text = INVISIBLE.sub("", unicodedata.normalize("NFKC", text)).lower()
+    if FOREIGN.search(text):
+        text = "".join(w.translate(LOOKALIKES) if FOREIGN.search(w) and re.search("[a-z]", w) else w for w in re.split(r"(\W+)", text))
+    return text
+
+
+class Restorer:
+    """Undoes disguises; remembers distinct tokens, so that each is decoded once."""
+
+    def __init__(self, lm: LanguageModel, memo: dict[str, str] | None = None):
+        self.lm, self.memo = lm, {} if memo is None else memo
+
+    def piece(self, piece: str) -> str:
+        """A token without white space, quotes or brackets."""
+        core = piece.strip(".?!,)(-")
+        letters = sum(c.isalpha() for c in core)
+        if len(core) < 3 or not ODD.search(core) and core.isalpha() or letters * 3 < len(core) - core.count("*") or not letters:
+            return piece
+        if MASKED.search(core) or sum(c in MASKS for c in core) > letters:
+            return piece  # too little is left to decode; f*** is a word of its own to the model
+        read = decode(core, self.lm)
+        return piece if read == core else piece.replace(core, TRACE + " " + read)
+
+    def token(self, token: str) -> str:
+        if (known := self.memo.get(token)) is None:
+            known = TOKEN.sub(lambda m: self.piece(m.group(0)) if ODD.search(m.group(0)) or "." in m.group(0) or "-" in m.group(0) or "·" in m.group(0) else m.group(0), token)
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            self.memo[token] = known
+        return known
+
+    def joined(self, m: re.Match) -> str:
+        """Letters written apart, with words and disguises read jointly."""
+        run = m.group(0).replace(m.group(1), "")
+        letters = sum(c.isalpha() for c in run)
+        if len(run) < 3 or letters * 3 < len(run):
+            return m.group(0)
+        read = viterbi(run, self.lm, words=True)[0][1] if len(run) > 5 else run if run.isalpha() else decode(run, self.lm)
+        return f"{TRACE} {read}"
+
+    def apart(self, text: str) -> str:
+        """Look-alikes, addresses and spacing of a whole text."""
+        text = plain(text)
+        if "://" in text or ".example" in text or ".invalid" in text:
+            text = URL.sub(" url ", text)
+        return SPACED.sub(self.joined, text)
 
 
 def restore(text: str, lm: LanguageModel, memo: dict[str, str]) -> str:
-    """Lower-case text with look-alikes, spacing, masks, digits for letters and repetition undone where a known word results."""
-    text = INVISIBLE.sub("", unicodedata.normalize("NFKC", text)).lower()
-    if not text.isascii():
-        text = "".join(w.translate(LOOKALIKES) if re.search("[a-z]", w) else w for w in re.split(r"(\W+)", text))
-    text = URL.sub(" url ", text)
+    """Lower-case text with look-alikes, spacing, masks, digits for letters and repetition undone."""
+    r = Restorer(lm, memo)
+    text = re.sub(r"\S+", lambda m: r.token(m.group(0)), r.apart(text))
+    return text.replace(TRACE + " ", "").replace("_", " ")
 
-    def joined(m: re.Match) -> str:
-        letters = m.group(0).replace(m.group(1), "")
-        if len(letters) < 3 or letters.isdigit():
-            return m.group(0)
-        word = decoded(letters)
-        return word if word in lm.words or len(word) < 8 else segment(word, lm)
-
-    def decoded(token: str) -> str:
-        if token in memo:
-            return memo[token]
-        core = token.strip(".?!,)(-_")
-        out = token
-        if core and len(core) <= 40 and any(c.isalpha() for c in core) and (ODD.search(core) or not core.isalpha()):
-            star = re.fullmatch(r"([^\W\d_])[*#]+([^\W\d_]+)|([^\W\d_]+)[*#]+([^\W\d_]*)", core)
-            if star or any(c in MASKS for c in core):
-                shape = re.compile("".join("." if c in MASKS else re.escape(c) for c in core))
-                fits = [w for w in lm.by_shape.get((core[0], core[-1], len(core)), ()) if shape.fullmatch(w)]
-                if fits:
-                    out = token.replace(core, max(fits, key=lambda w: (bool(kinds_of(w) - NEUTRAL), lm.words[w])))
-            if out == token:
-                lettered = sum(c.isalpha() for c in core) * 3 >= len(core) - core.count("*")
-                for _, reading in viterbi(core, lm)[:12]:
-                    if len(reading) >= 3 and (kinds_of(reading) - NEUTRAL or lettered and reading in lm.words):
-                        out = token.replace(core, reading)
-                        break
-        if len(memo) < 200_000:
-            memo[token] = out
-        return out
 
-    text = SPACED.sub(joined, text).replace("_", " ")
-    return TOKEN.sub(lambda m: decoded(m.group(0)) if ODD.search(m.group(0)) else m.group(0), text)
+BREAK = re.compile(r"[\r\n]+|```|</?\w+>|(?<=[.!?;])\s+|--|//|\bprint\(")
 
 
-BREAK = re.compile(r"[\r\n]+|```|</?\w+>|(?<=[.!?;])\s+|--|//|\bprint\(")
-WORD = re.compile(r"[^\W\d_]+|\d+")
+def windows(words: list) -> Iterator[list]:
+    """Words of a sentence or line; of a very long one overlapping windows, so that nothing is cut off."""
+    for at in range(0, max(1, len(words) - PASSAGE_WORDS // 2), PASSAGE_WORDS // 2):
+        yield words[at : at + PASSAGE_WORDS]
 
 
 def passages(restored: str) -> list[list[str]]:
-    """Words of each sentence or line; very long ones as overlapping windows, so that nothing is cut off."""
+    """Words of each sentence or line of a restored text, numbers as 9; passages of numbers only are left out."""
     out = []
     for part in BREAK.split(restored):
         words = ["9" if w[0].isdigit() else w for w in WORD.findall(part or "")]
-        for at in range(0, max(1, len(words) - PASSAGE_WORDS // 2), PASSAGE_WORDS // 2):
-            chunk = words[at : at + PASSAGE_WORDS]
-            if any(w != "9" for w in chunk):
-                out.append(chunk)
+        out += [w for w in windows(words) if any(x != "9" for x in w)]
     return out
 
 
-def features(words: list[str], hashes: dict[str, int]) -> np.ndarray:
-    """Indices of a passage's features: hashed words, pairs and triples, and what the lists and wordings find."""
-    h = np.empty(len(words), np.uint64)
-    for i, w in enumerate(words):
-        if w not in hashes and len(hashes) < 500_000:
-            hashes[w] = zlib.crc32(w.encode())
-        h[i] = hashes.get(w) or zlib.crc32(w.encode())
-    grams = [h * np.uint64(2654435761), (h[:-1] * np.uint64(31) + h[1:]) * np.uint64(2246822519), ((h[:-2] * np.uint64(31) + h[1:-1]) * np.uint64(37) + h[2:]) * np.uint64(3266489917)]
-    hashed = (np.concatenate(grams) >> np.uint64(7)) & np.uint64((1 << BITS) - 1)
-    found: set[str] = set()
-    for w in words:
-        found |= kinds_of(w)
-    line = " ".join(words)
-    found |= {k for k, p in COMPILED.items() if p.search(line)}
-    names = [n for n in FLAGS if n in found]
-    named = [NAMED[n] for n in names] + [NAMED[f"{a}+{b}"] for i, a in enumerate(names) for b in names[i + 1 :]]
-    return np.unique(np.concatenate([hashed.astype(np.int64), np.array(named, np.int64) + (1 << BITS)]))
-
-
-def prior_weights() -> np.ndarray:
-    w = np.zeros(SIZE)
+#: A word as one integer: its hash above, its lexicon classes in the low bits. Numbers are all the same word.
+KIND_BITS = len(FLAGS)
+NUMBER = zlib.crc32(b"9") << KIND_BITS
+
+
+def code_of(word: str) -> int:
+    return NUMBER if word[0].isdigit() else (zlib.crc32(word.encode()) << KIND_BITS) | kinds_of(word)
+
+
+class Reader:
+    """Texts to coded passages. Each distinct token is restored, split and coded once."""
+
+    def __init__(self, lm: LanguageModel):
+        self.restorer = Restorer(lm)
+        self.codes: dict[str, tuple[int, ...]] = {}
+
+    def coded(self, token: str) -> tuple[int, ...]:
+        if (known := self.codes.get(token)) is None:
+            if len(self.codes) >= MEMO:
+                self.codes.clear()
+            text = token if token.isalpha() else self.restorer.token(token)
+            known = self.codes[token] = tuple(code_of(w) for w in WORD.findall(text))
+        return known
+
+    def passages(self, text: str) -> Iterator[list[int]]:
+        codes, coded = self.codes, self.coded
+        for part in BREAK.split(self.restorer.apart(text)):
+            if not part:
+                continue
+            words: list[int] = []
+            for t in part.split():
+                words += codes.get(t) or coded(t)
+            if len(words) <= PASSAGE_WORDS:
+                if words:
+                    yield words
+            else:
+                yield from windows(words)
+
+
+def features(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(column, passage, value) of all features of passages that lie in `words` one after the other from `starts`."""
+    n = len(words)
+    size = np.diff(np.r_[starts, n])
+    row = np.repeat(np.arange(len(starts)), size)
+    h = (words >> KIND_BITS).astype(np.uint64)
+    one = h * np.uint64(2654435761)
+    in2, in3 = row[1:] == row[:-1], row[2:] == row[:-2]
+    two = ((h[:-1] * np.uint64(31) + h[1:]) * np.uint64(2246822519))[in2]
+    three = (((h[:-2] * np.uint64(31) + h[1:-1]) * np.uint64(37) + h[2:]) * np.uint64(3266489917))[in3]
+    col = ((np.concatenate([one, two, three]) >> np.uint64(7)) & np.uint64((1 << BITS) - 1)).astype(np.int64)
+    rows = np.concatenate([row, row[1:][in2], row[2:][in3]])
+    count = np.bincount(rows, minlength=len(starts))
+    value = (2 / np.sqrt(np.maximum(count, 1)))[rows]  # long passages do not outweigh short ones
+    kinds = np.bitwise_or.reduceat(words & ((1 << KIND_BITS) - 1), starts) if len(starts) else np.zeros(0, np.int64)
+    has = (kinds[:, None] >> np.arange(KIND_BITS)) & 1 == 1
+    named = [(NAMED[f], has[:, i]) for i, f in enumerate(FLAGS)] + [(NAMED["+".join(sorted(p))], has[:, FLAGS.index(p[0])] & has[:, FLAGS.index(p[1])]) for p in PAIRS]
+    hit = [np.flatnonzero(f) for _, f in named]
+    col = np.concatenate([col, *(np.full(len(r), (1 << BITS) + i) for (i, _), r in zip(named, hit))])
+    return col, np.concatenate([rows, *hit]), np.concatenate([value, np.ones(sum(map(len, hit)))])
+
+
+def start_weights() -> np.ndarray:
+    w = np.zeros(WIDTH)
     w[-1] = BIAS
-    for name, v in PRIOR.items():
-        a, _, b = name.partition("+")
-        key = name if name in NAMED else f"{b}+{a}"
-        w[(1 << BITS) + NAMED[key]] = v
+    for name, v in START.items():
+        w[(1 << BITS) + NAMED[name]] = v
     return w
 
 
-def fit(docs: list[tuple[list[np.ndarray], int]], rounds: int = 6, steps: int = 60, l2: float = 0.02) -> np.ndarray:
-    """Weights from documents, each its passages' features and 1 (offensive) or 0, by multiple-instance learning.
+def judge(words: np.ndarray, starts: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Scores, 0..1, of passages; one of numbers only has 0."""
+    col, row, value = features(words, starts)
+    s = np.bincount(row, weights=w[col] * value, minlength=len(starts)) + w[-1]
+    worded = np.bincount(np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(words)])), weights=words != NUMBER, minlength=len(starts)) > 0
+    return np.where(worded, 1 / (1 + np.exp(-np.clip(s, -30, 30))), 0.0)
+
 
-    All passages of fine documents are fine. Of an offensive document those are offensive that the model of the round
-    before holds for likely, and at least its worst one unless the model doubts that (reviewers slip). Weights are drawn
-    to the prior, so that few reviews move little.
+def fit(words: np.ndarray, starts: np.ndarray, doc: np.ndarray, label: np.ndarray, sure: np.ndarray, weight: np.ndarray, lexicon: bool = True, rounds: int = 6, steps: int = 60, l2: float = 0.02) -> np.ndarray:
+    """Weights from labelled passages by multiple-instance learning; doc names their document.
+
+    label is 1 for offensive documents, 0 for fine ones, -1 for unreviewed ones. All passages of fine documents are fine.
+    Of an offensive document those are offensive whose features are met there far oftener than in fine and unreviewed
+    documents, those that the model of the round before holds for likely, and its worst one unless the model doubts that
+    (reviewers slip). Common passages of unreviewed documents are taken for fine ones. `weight` counts how often a passage occurs, `sure` says that more than one reviewer called its document
+    offensive. Weights are drawn to the start, which without `lexicon` is 0 for all lexicon classes.
     """
-    prior = prior_weights()
-    w = prior.copy()
-    flat = [p for ps, _ in docs for p in ps]
-    if not flat:
+    start = start_weights()
+    if not lexicon:
+        start[1 << BITS : -1] = 0
+    w = start.copy()
+    if not len(starts):
         return w
-    doc = np.repeat(np.arange(len(docs)), [len(ps) for ps, _ in docs])
-    label = np.array([y for _, y in docs])
-    size = np.array([len(p) for p in flat])
-    col, row = np.concatenate(flat), np.repeat(np.arange(len(flat)), size)
-    norm = 1 / np.sqrt(np.maximum(size, 1))  # long passages do not outweigh short ones
-    value = np.where(col < 1 << BITS, norm[row] * 2, 1.0)
+    col, row, value = features(words, starts)
+    if not lexicon:
+        keep = col < 1 << BITS
+        col, row, value = col[keep], row[keep], value[keep]
     used, at = np.unique(col, return_inverse=True)
-    positive = label[doc] == 1
-    # seen in fine documents: such a passage is no evidence in an offensive one
-    fine_seen = np.bincount(at, weights=(~positive)[row], minlength=len(used)) > 0
-    novelty = np.bincount(row, weights=(~fine_seen)[at], minlength=len(flat)) / np.maximum(size, 1)
+    n, offensive = len(starts), label == 1
+    # How much oftener a feature is met in passages of offensive documents than in those of fine ones.
+    n_met, n_fine = (weight * offensive).sum() + 1, (weight * ~offensive).sum() + 1
+    met = np.bincount(at, weights=offensive[row] * weight[row], minlength=len(used))
+    fine = np.bincount(at, weights=(~offensive)[row] * weight[row], minlength=len(used))
+    share = n_met / (n_met + n_fine)
+    met -= 0.7 * np.sqrt(met)  # the low end of what chance may have made of it
+    odds = np.clip(np.log(met / share + PRIOR_COUNT) - np.log(fine / (1 - share) + PRIOR_COUNT), -3, 3)
+    telling = np.bincount(row, weights=odds[at], minlength=n) / np.maximum(np.bincount(row, minlength=n), 1)
 
     def scores(v: np.ndarray, bias: float) -> np.ndarray:
-        return np.bincount(row, weights=v[at] * value, minlength=len(flat)) + bias
+        return np.bincount(row, weights=v[at] * value, minlength=n) + bias
 
-    s = scores(prior[used], prior[-1]) + 4 * novelty
+    _, group = np.unique(doc, return_inverse=True)
+    s = scores(start[used], start[-1]) + telling
     for _ in range(rounds):
-        worst = np.full(len(docs), -np.inf)
-        np.maximum.at(worst, doc, s)
-        y = (positive & ((s > 0.5) | ((s >= worst[doc] - 1e-9) & (s > DOUBT)))).astype(float)
-        weight = np.where(positive & (y == 0), 0.3, 1.0)
+        worst = np.full(group.max() + 1, -np.inf)
+        np.maximum.at(worst, group, s)
+        y = (offensive & ((s > 0.5) | (telling > np.where(sure, TELLING / 2, TELLING)) | ((s >= worst[group] - 1e-9) & (s > DOUBT)))).astype(float)
+        each = np.where(offensive & (y == 0), 0.3, np.where(offensive & ~sure, SINGLE, 1.0)) * np.minimum(weight, 3.0)
+        each = np.where(label < 0, np.where(offensive.any() & (weight >= COMMON), 10.0, 0.0), each)
         v, bias = w[used].copy(), w[-1]
         g2, gb2 = np.full(len(used), 1e-3), 1e-3
         for _ in range(steps):
             p = 1 / (1 + np.exp(-np.clip(scores(v, bias), -30, 30)))
-            err = (p - y) * weight
-            g = np.bincount(at, weights=err[row] * value, minlength=len(used)) + l2 * (v - prior[used])
+            err = (p - y) * each
+            g = np.bincount(at, weights=err[row] * value, minlength=len(used)) + l2 * (v - start[used])
             gb = err.sum()
             g2 += g * g
             gb2 += gb * gb
             v -= 0.5 * g / np.sqrt(g2)
             bias -= 0.1 * gb / math.sqrt(gb2)
-        w = prior.copy()
+        w = start.copy()
         w[used], w[-1] = v, bias
         s = scores(v, bias)
     return w
 
 
-def judge(passage: np.ndarray, w: np.ndarray) -> float:
-    value = np.where(passage < 1 << BITS, 2 / math.sqrt(max(len(passage), 1)), 1.0)
-    return float(1 / (1 + math.exp(-max(-30.0, min(30.0, (w[passage] * value).sum() + w[-1])))))
-
-
-def word_counts(documents: DataFrame, most: int = VOCABULARY_WORDS) -> dict[str, int]:
-    """Counts over all documents of their words of letters only; the most frequent ones, at most `most`."""
-    words = documents.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).filter(F.length("w").between(2, 24))
-    top = words.groupBy("w").agg(F.count("*").alias("n")).filter("n >= 3").orderBy(F.desc("n"), "w").limit(most)
-    return {r["w"]: r["n"] for r in top.collect()}
+def gram_weights(documents: DataFrame) -> np.ndarray:
+    """The table of character n-grams of all words of all documents, each distinct word by the logarithm of its count."""
+    words = documents.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).filter(F.length("w") > 1)
+    words = words.groupBy("w").agg(F.log1p(F.count("*").cast("double")).alias("c"))
+    marked = words.select(F.concat(F.lit("^^^"), "w", F.lit("$")).alias("t"), "c")
+    cut = lambda n, end: F.transform(F.sequence(F.lit(4), F.length("t")), lambda i: F.concat(F.col("t").substr(i - n + 1, F.lit(n)), F.lit("")) if end else F.concat(F.col("t").substr(i - n + 1, F.lit(n - 1)), F.lit("\0")))
+    grams = marked.select("c", F.explode(F.concat(*[cut(n, e) for n in (1, 2, 3, 4) for e in (True, False)])).alias("g"))
+    cells = grams.groupBy(F.crc32(F.col("g").cast("binary")).bitwiseAND(F.lit((1 << GRAM_BITS) - 1)).alias("cell")).agg(F.sum("c").alias("c"))
+    table = np.zeros(1 << GRAM_BITS)
+    got = cells.toPandas()  # at most a row per cell of the table
+    table[got["cell"].to_numpy(np.int64)] = got["c"].to_numpy(float)
+    return table
 
 
 def reviewed(documents: DataFrame, reviews: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:
-    """doc_id, text, y: documents on which most reviewers that took sides agree; a bounded sample by hash of doc_id."""
+    """doc_id, text, y, sure: documents on which most reviewers that took sides agree, sure by two votes or more.
+
+    A bounded sample by hash of doc_id.
+    """
     side = F.when(F.col("verdict") == "offensive", 1).when(F.col("verdict") == "fine", -1).otherwise(0)
     votes = reviews.dropDuplicates(["doc_id", "reviewer", "verdict"]).groupBy("doc_id").agg(F.sum(side).alias("s")).filter("s <> 0")
     chosen = votes.orderBy(F.xxhash64("doc_id")).limit(most)
-    return documents.filter(F.col("text").isNotNull()).join(chosen, "doc_id").select("doc_id", "text", (F.col("s") > 0).cast("int").alias("y")).dropDuplicates(["doc_id"])
+    return documents.filter(F.col("text").isNotNull()).join(chosen, "doc_id").select("doc_id", "text", (F.col("s") > 0).cast("int").alias("y"), (F.abs("s") > 1).alias("sure")).dropDuplicates(["doc_id"])
 
 
 class Model:
-    """Language model and weights; small, and sent to the executors once."""
+    """Table of the language model and weights, both of fixed size; sent to the executors once."""
 
-    def __init__(self, counts: dict[str, int], weights: np.ndarray):
-        self.counts, self.weights = counts, weights
+    def __init__(self, table: np.ndarray, weights: np.ndarray):
+        self.table, self.weights = table.astype(np.float32), weights.astype(np.float32)
 
 
 class Scorer:
-    """Scores texts with a model; remembers passages, as many texts share them."""
+    """Scores texts with a model, a batch at a time."""
 
     def __init__(self, model: Model):
-        self.lm, self.w, self.memo, self.hashes, self.known = LanguageModel(model.counts), model.weights, {}, {}, {}
-
-    def passage(self, words: list[str]) -> float:
-        key = " ".join(words)
-        if (s := self.known.get(key)) is None:
-            s = judge(features(words, self.hashes), self.w)
-            if len(self.known) < 200_000:
-                self.known[key] = s
-        return s
-
-    def text(self, text: str | None) -> float:
-        return max((self.passage(p) for p in passages(restore(text, self.lm, self.memo))), default=0.0) if text else 0.0
-
+        self.reader, self.w = Reader(LanguageModel({}, model.table)), model.weights
+
+    def texts(self, texts: list[str | None]) -> np.ndarray:
+        words: list[int] = []
+        starts: list[int] = []
+        doc: list[int] = []
+        for i, t in enumerate(texts):
+            if t:
+                for p in self.reader.passages(t):
+                    starts.append(len(words))
+                    doc.append(i)
+                    words += p
+        out = np.zeros(len(texts))
+        if starts:
+            np.maximum.at(out, doc, judge(np.array(words, np.int64), np.array(starts), self.w))
+        return out
 
-def passage_features(texts: Iterator[str], lm: LanguageModel, memo: dict, hashes: dict) -> Iterator[list[np.ndarray]]:
-    for t in texts:
-        yield [features(p, hashes) for p in passages(restore(t, lm, memo))] if t else []
 
+def train(documents: DataFrame, reviews: DataFrame, most: int = TRAIN_DOCS, most_passages: int = TRAIN_PASSAGES, lexicon: bool = True) -> Model:
+    """Language model from all documents, weights from the reviewed ones. Without reviews the lexicon is all there is.
 
-def train(documents: DataFrame, reviews: DataFrame, most: int = TRAIN_DOCS) -> Model:
-    """Language model from all documents, weights from the reviewed ones. Without reviews the weights are the prior."""
+    The driver holds at most most_passages passages of at most PASSAGE_WORDS words; equal ones of fine documents are one.
+    """
     spark = documents.sparkSession
-    counts = word_counts(documents)
-    shared = spark.sparkContext.broadcast(counts)  # at most VOCABULARY_WORDS entries
+    table = gram_weights(documents)
+    shared = spark.sparkContext.broadcast(table.astype(np.float32))  # fixed size
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lm, memo, hashes = LanguageModel(shared.value), {}, {}
+        reader = Reader(LanguageModel({}, shared.value))
         for b in batches:
-            feats = list(passage_features(b["text"], lm, memo, hashes))
-            yield pd.DataFrame({"y": b["y"].to_numpy(), "f": [[p.tolist() for p in ps] for ps in feats]})
-
-    rows = reviewed(documents, reviews, most).mapInPandas(extract, "y int, f array<array<int>>")
-    docs = [([np.array(p, np.int64) for p in r["f"]], r["y"]) for r in rows.toLocalIterator()]
-    return Model(counts, fit(docs))
+            rows = [(d, y, s, np.array(p, np.int64).tobytes()) for d, y, s, t in zip(b["doc_id"], b["y"], b["sure"], b["text"]) for p in reader.passages(t)]
+            yield pd.DataFrame(rows, columns=["doc_id", "y", "sure", "p"])
+
+    labelled = reviewed(documents, reviews, most)
+    others = documents.filter(F.col("text").isNotNull()).join(reviews.select("doc_id"), "doc_id", "left_anti")
+    few = F.broadcast(others.select("doc_id").orderBy(F.xxhash64("doc_id")).limit(UNREVIEWED_DOCS))
+    unread = others.join(few, "doc_id").select("doc_id", "text", F.lit(-1).alias("y"), F.lit(False).alias("sure"))
+    rows = labelled.unionByName(unread).mapInPandas(extract, "doc_id long, y int, sure boolean, p binary")
+    rows = rows.groupBy("p", "y", F.when(F.col("y") == 1, F.col("doc_id")).alias("doc")).agg(F.count("*").alias("n"), F.max("sure").alias("sure"))
+    got = rows.orderBy(F.desc("y"), F.xxhash64("p")).limit(most_passages).toPandas()
+    parts = [np.frombuffer(p, np.int64) for p in got["p"]]
+    starts = np.cumsum([0, *map(len, parts)])[:-1].astype(np.int64)
+    words = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    label = got["y"].to_numpy()
+    doc = np.where(label == 1, got["doc"].fillna(0), -1 - np.arange(len(got))).astype(np.int64)
+    return Model(table, fit(words, starts, doc, label, got["sure"].to_numpy(bool), got["n"].to_numpy(float), lexicon))
 
 
 def score(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """All columns of documents and `score`, 0..1, of the worst passage; 0 for null, empty and wordless texts."""
     spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(model)  # fixed size
 
     @F.pandas_udf("double")
     def worst(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(shared.value)
         for texts in batches:
-            yield pd.Series([scorer.text(t) for t in texts], dtype=float)
+            yield pd.Series(scorer.texts(texts.tolist()))
 
     return documents.withColumn("score", worst(F.col(text)))
 

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from orrery.llm import offensive as o
@@ -35,7 +36,8 @@ def test_viterbi_finds_the_best_path(lm):
             s += lm.logp(past, ch)
             past = (past + ch)[-3:]
         paths.append((s, text))
-    assert o.viterbi(token, lm)[0] == pytest.approx(max(paths)[0]) or o.viterbi(token, lm)[0][0] == pytest.approx(max(paths)[0])
+    best, text = o.viterbi(token, lm)[0]
+    assert best == pytest.approx(max(paths)[0]) and text == max(paths)[1]
 
 
 def test_passages_cover_all_words():
@@ -65,3 +67,48 @@ def test_held_out_accuracy(spark):
     scored = o.score(rest, model).select("y", "score").collect()
     right = sum((r["score"] >= o.THRESHOLD) == (r["y"] == 1) for r in scored)
     assert right >= 0.93 * len(scored)  # reviewers slip in about one of twenty
+
+
+def test_spacing_and_digits_are_read_jointly(lm):
+    assert o.restore("y 0 u w 0 r t h l e s s i d i 0 t", lm, {}) == "you worthless idiot"
+
+
+def test_long_tokens_are_decoded_too(lm):
+    run = "".join("w0r7hl355" for _ in range(1)) + "x" * 0
+    token = "zz.qq." * 20 + run + ".qq.zz" * 20
+    assert o.restore("1d10t" + "!" * 3, lm, {}).startswith("idiot")
+    assert isinstance(o.restore(token, lm, {}), str) and o.restore("f***", lm, {}) == "f***"
+
+
+def test_table_from_spark_equals_the_one_from_counts(spark):
+    docs = spark.createDataFrame([(1, "The mesh, the MESH and a plane."), (2, None), (3, "")], "doc_id long, text string")
+    counts = {"the": 2, "mesh": 2, "and": 1, "plane": 1}
+    assert o.gram_weights(docs) == pytest.approx(o.gram_table({w: np.log1p(n) for w, n in counts.items()}))
+
+
+@pytest.fixture(scope="module")
+def trained(spark):
+    """Models with and without the lexicon, fitted on the reviews with even doc_id of the larger check input."""
+    sf = "/root/testdata/check_l"
+    docs, reviews = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/doc_reviews.parquet")
+    even = reviews.filter("doc_id % 2 = 0")
+    return docs, reviews, o.train(docs, even), o.train(docs, even, lexicon=False)
+
+
+def test_lexicon_is_no_crutch(trained):
+    docs, reviews, with_lists, without = trained
+    rest = o.reviewed(docs, reviews.filter("doc_id % 2 = 1")).cache()
+    recall = [o.score(rest.filter("y = 1"), m).filter(f"score >= {o.THRESHOLD}").count() for m in (with_lists, without)]
+    assert recall[1] >= 0.95 * recall[0]
+    fine = rest.filter("y = 0")
+    assert o.score(fine, without).filter(f"score >= {o.THRESHOLD}").count() <= 0.02 * fine.count()
+
+
+UNSEEN = ["you are a stupid useless rat, nobody wants you here", "I will find your house and break your neck", "y 0 u  a r e  w 0 r t h l e s s", "I hope you d1e, you p4th3t1c pig", "people like you should be shot"]
+HARMLESS = ["The process was killed by the scheduler after a timeout.", "My question is stupid, sorry, I was an idiot.", "Strip the header and drop the naked rows.", "Kill the worker and abort the join, it is worthless."]
+
+
+def test_sentences_that_no_review_holds(trained):
+    scorer = o.Scorer(trained[2])
+    assert (scorer.texts(UNSEEN) >= o.THRESHOLD).all()
+    assert (scorer.texts(HARMLESS) < o.THRESHOLD).all()
