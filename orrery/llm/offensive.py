@@ -285,7 +285,16 @@ def restore(text: str, lm: LanguageModel, memo: dict[str, str]) -> str:
     return text.replace(TRACE + " ", "").replace("_", " ")
 
 
-BREAK = re.compile(r"[\r\n]+|```|</?\w+>|(?<=[.!?;])\s+|--|//|\bprint\(")
+STOP = re.compile(r"[.!?;]\s+")
+TAG = re.compile(r"</?\w+>")
+
+
+def parts_of(text: str) -> list[str]:
+    """Sentences and lines, code fences, tags, comment signs and printed strings parted from what is around them."""
+    for sign in ("\r", "\n", "```", "--", "//", "print("):
+        if sign in text:
+            text = text.replace(sign, ". ")
+    return STOP.split(TAG.sub(". ", text) if "<" in text else text)
 
 
 def windows(words: list) -> Iterator[list]:
@@ -297,8 +306,8 @@ def windows(words: list) -> Iterator[list]:
 def passages(restored: str) -> list[list[str]]:
     """Words of each sentence or line of a restored text, numbers as 9; passages of numbers only are left out."""
     out = []
-    for part in BREAK.split(restored):
-        words = ["9" if w[0].isdigit() else w for w in WORD.findall(part or "")]
+    for part in parts_of(restored):
+        words = ["9" if w[0].isdigit() else w for w in WORD.findall(part)]
         out += [w for w in windows(words) if any(x != "9" for x in w)]
     return out
 
@@ -329,9 +338,7 @@ class Reader:
 
     def passages(self, text: str) -> Iterator[list[int]]:
         codes, coded = self.codes, self.coded
-        for part in BREAK.split(self.restorer.apart(text)):
-            if not part:
-                continue
+        for part in parts_of(self.restorer.apart(text)):
             words: list[int] = []
             for t in part.split():
                 words += codes.get(t) or coded(t)
@@ -410,6 +417,13 @@ def fit(words: np.ndarray, starts: np.ndarray, doc: np.ndarray, label: np.ndarra
     odds = np.clip(np.log(met / share + PRIOR_COUNT) - np.log(fine / (1 - share) + PRIOR_COUNT), -3, 3)
     telling = np.bincount(row, weights=odds[at], minlength=n) / np.maximum(np.bincount(row, minlength=n), 1)
 
+    counts = (label >= 0) | (offensive.any() & (weight >= COMMON))
+    keep, place = counts[row], np.cumsum(counts) - 1
+    row, value, at = place[row[keep]], value[keep], at[keep]
+    label, offensive, sure, weight, telling, doc, n = label[counts], offensive[counts], sure[counts], weight[counts], telling[counts], doc[counts], int(counts.sum())
+    if not n:
+        return w
+
     def scores(v: np.ndarray, bias: float) -> np.ndarray:
         return np.bincount(row, weights=v[at] * value, minlength=n) + bias
 
@@ -420,7 +434,7 @@ def fit(words: np.ndarray, starts: np.ndarray, doc: np.ndarray, label: np.ndarra
         np.maximum.at(worst, group, s)
         y = (offensive & ((s > 0.5) | (telling > np.where(sure, TELLING / 2, TELLING)) | ((s >= worst[group] - 1e-9) & (s > DOUBT)))).astype(float)
         each = np.where(offensive & (y == 0), 0.3, np.where(offensive & ~sure, SINGLE, 1.0)) * np.minimum(weight, 3.0)
-        each = np.where(label < 0, np.where(offensive.any() & (weight >= COMMON), 10.0, 0.0), each)
+        each = np.where(label < 0, 10.0, each)
         v, bias = w[used].copy(), w[-1]
         g2, gb2 = np.full(len(used), 1e-3), 1e-3
         for _ in range(steps):
@@ -459,8 +473,8 @@ def reviewed(documents: DataFrame, reviews: DataFrame, most: int = TRAIN_DOCS) -
     """
     side = F.when(F.col("verdict") == "offensive", 1).when(F.col("verdict") == "fine", -1).otherwise(0)
     votes = reviews.dropDuplicates(["doc_id", "reviewer", "verdict"]).groupBy("doc_id").agg(F.sum(side).alias("s")).filter("s <> 0")
-    chosen = votes.orderBy(F.xxhash64("doc_id")).limit(most)
-    return documents.filter(F.col("text").isNotNull()).join(chosen, "doc_id").select("doc_id", "text", (F.col("s") > 0).cast("int").alias("y"), (F.abs("s") > 1).alias("sure")).dropDuplicates(["doc_id"])
+    chosen = votes.orderBy(F.xxhash64("doc_id")).limit(most)  # so few that they can be broadcast
+    return documents.filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", (F.col("s") > 0).cast("int").alias("y"), (F.abs("s") > 1).alias("sure")).dropDuplicates(["doc_id"])
 
 
 class Model:
