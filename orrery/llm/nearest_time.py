@@ -29,6 +29,7 @@ def match_nearest(left: DataFrame, right: DataFrame, entity: list[str], toleranc
     co-grouped by entity and time bin; right rows go to all bins within the tolerance, so a task
     holds one bin of one entity, however many rows an entity has. Rows with a null ts, key or entity take no part; a
     key counts once; left rows without a partner do not come out. Ties: the earlier, then the smaller key.
+    Of right rows with one key the one with the smallest carried values counts (null before NaN after numbers).
     """
     carry = carry or []
     whole = lambda df, cols: df.select(*entity, "key", F.unix_micros("ts").alias("t"), *cols).dropna(subset=[*entity, "key", "t"])
@@ -37,9 +38,18 @@ def match_nearest(left: DataFrame, right: DataFrame, entity: list[str], toleranc
     reach = F.sequence(bin_of(F.col("t") - tolerance_us), bin_of(F.col("t") + tolerance_us))
     b = whole(right, carry).withColumn("bin", F.explode(reach))
 
+    def rank(v):
+        if isinstance(v, (list, tuple, np.ndarray)):
+            return (1, tuple(rank(x) for x in v))
+        return (0, 0) if v is None else (2, 0) if isinstance(v, float) and np.isnan(v) else (1, v)
+
     def pair(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         l = l.drop_duplicates("key")
-        r = r.sort_values(["t", "key"], kind="stable").drop_duplicates("key")
+        twice = r["key"].duplicated(keep=False).to_numpy()
+        if carry and twice.any():
+            order = sorted(np.flatnonzero(twice), key=lambda i: [rank(r[c].iat[i]) for c in carry])
+            r = r.iloc[np.r_[order, np.flatnonzero(~twice)]]
+        r = r.drop_duplicates("key").sort_values(["t", "key"], kind="stable")
         at, near = nearest_positions(r["t"].to_numpy(np.int64), l["t"].to_numpy(np.int64), tolerance_us)
         l, r = l[near], r.iloc[at[near]] if len(r) else r
         out = {c: l[c].to_numpy(object) for c in entity}

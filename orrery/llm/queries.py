@@ -65,6 +65,17 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.packing_report(_packed(spark, d))
 
 
+def p6_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the packing is whole: documents placed, containers over capacity, overlaps, needless splits, room used."""
+    packed = _packed(spark, d)
+    docs = packed.groupBy("doc_id").agg(F.count("*").alias("parts"), F.sum("n_tokens").alias("n"))
+    per = docs.agg(F.count("*").alias("n_docs"), F.count(F.when((F.col("n") <= packing.CAPACITY) & (F.col("parts") > 1), 1)).alias("split_small"))
+    end = F.col("container_offset") + F.col("n_tokens")
+    held = packed.filter("container is not null").groupBy("container").agg(F.sum("n_tokens").alias("n"), F.max(end).alias("end"))
+    box = held.agg(F.count(F.when(F.col("n") > packing.CAPACITY, 1)).alias("over_full"), F.count(F.when(F.col("n") != F.col("end"), 1)).alias("overlapping"), (F.sum("n") >= 0.97 * packing.CAPACITY * (F.count("*") - 1)).alias("well_filled"))
+    return per.crossJoin(box)  # one row each
+
+
 def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     documents = table(spark, d, "documents").select("doc_id", "text", "source")
     return mixing.mix(tokens.document_tokens(documents, carry=["source"]), table(spark, d, "mix_targets"))
@@ -82,6 +93,20 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[1]
 
 
+def p7_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Per listed source with documents in the mix: uses beyond the cap, and whether it always was within a block of its share."""
+    mixed, report = _mixed(spark, d)
+    used = mixed.groupBy("source", "doc_id").agg(F.count("*").alias("n"), F.count_distinct("use").alias("uses"))
+    caps = report.select("source", "listed_as", "max_uses")
+    over = used.join(caps, "source").groupBy("source", "listed_as").agg(F.count(F.when((F.col("n") > F.col("max_uses")) | (F.col("n") != F.col("uses")), 1)).alias("over_used"))
+    off = mixing.deviation(mixed).select("source", (F.col("most_off") < 1).alias("within_a_block"))
+    return over.join(off, "source").select(F.col("listed_as").alias("source"), "over_used", "within_a_block")
+
+
+def p7_deviation(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.deviation(_mixed(spark, d)[0])
+
+
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents").select("doc_id", "text", "source")
     return offensive.score(documents, offensive.train(documents, table(spark, d, "doc_reviews")))
@@ -99,6 +124,13 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     return offensive.rates(_scored(spark, d), mixing.source_name(F.col("source")))
 
 
+def p8_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Per source the documents scored, and whether every score is a probability, 0 for empty texts."""
+    scored = _scored(spark, d)
+    sound = F.col("score").between(0, 1) & ((F.length(F.coalesce("text", F.lit(""))) > 0) | (F.col("score") == 0))
+    return scored.groupBy(mixing.source_name(F.col("source")).alias("source")).agg(F.count("*").alias("n_docs"), F.bool_and(sound).alias("sound"))
+
+
 QUERIES = {
     "p4_found": p4_found,
     "p4_pairs": p4_pairs,
@@ -107,12 +139,16 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_pack": p6_pack,
     "p6_report": p6_report,
+    "p6_coverage": p6_coverage,
     "p7_found": p7_found,
     "p7_mix": p7_mix,
     "p7_report": p7_report,
+    "p7_coverage": p7_coverage,
+    "p7_deviation": p7_deviation,
     "p8_found": p8_found,
     "p8_scores": p8_scores,
     "p8_rates": p8_rates,
+    "p8_coverage": p8_coverage,
 }
 
 P4_ENTRIES = r"""
@@ -134,4 +170,18 @@ n AS (SELECT a.seq AS a, b.seq AS b, row_number() OVER (PARTITION BY a.seq ORDER
 SELECT DISTINCT least(a, b) AS seq_a, greatest(a, b) AS seq_b FROM n WHERE nth <= 8
 """
 
-ORACLES = {"p4_found": P4_ENTRIES + "SELECT name_a, name_b FROM n WHERE nth = 1", "p5_found": P5_FOUND}
+P5_NEIGHBOURS = P5_FOUND[: P5_FOUND.index("asking AS")] + """asking AS (SELECT * FROM pts WHERE seq % 20 = 0),
+d AS (SELECT a.seq AS a, b.seq AS b, sqrt((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2) AS d FROM asking a JOIN pts b ON a.rec = b.rec AND a.seq <> b.seq)
+SELECT a AS query, CAST(row_number() OVER (PARTITION BY a ORDER BY d, b) AS INTEGER) AS rank, round(d, 6) AS distance FROM d QUALIFY rank <= 8
+"""
+
+#: Sources compare by name without case, blanks at the ends and - for _.
+NAME = "replace(lower(trim(source)), '-', '_')"
+
+ORACLES = {
+    "p4_found": P4_ENTRIES + "SELECT name_a, name_b FROM n WHERE nth = 1",
+    "p5_found": P5_FOUND,
+    "p6_coverage": "SELECT count(DISTINCT doc_id) AS n_docs, 0 AS split_small, 0 AS over_full, 0 AS overlapping, true AS well_filled FROM documents",
+    "p7_coverage": f"SELECT source, 0 AS over_used, true AS within_a_block FROM mix_targets t WHERE target_share > 0 AND EXISTS (SELECT 1 FROM documents d WHERE replace(lower(trim(d.source)), '-', '_') = replace(lower(trim(t.source)), '-', '_') AND length(d.text) > 0)",
+    "p8_coverage": f"SELECT {NAME} AS source, count(*) AS n_docs, true AS sound FROM documents GROUP BY 1",
+}

@@ -37,13 +37,30 @@ def pieces(text: str, most: int = PIECE_CHARS):
     yield text[at:]
 
 
+def exact_pieces(text: str, most: int = PIECE_CHARS):
+    """Cuts text between words of the vocabulary's pattern into pieces of about `most` characters.
+
+    Words are encoded one by one, so the pieces have as many tokens as the whole. A word longer than `most` stays whole.
+    """
+    import regex
+
+    begin = last = 0
+    for m in regex.compile(PATTERN).finditer(text):
+        if m.end() - begin > most and last > begin:
+            yield text[begin:last]
+            begin = last
+        if not m.group().isspace():
+            last = m.end()  # white space looks at what follows it
+    yield text[begin:]
+
+
 def count_tokens(text: Column, vocabulary: str = VOCABULARY) -> Column:
     """Number of tokens of a text; 0 for null and empty texts."""
 
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
         enc = encoder(vocabulary)
-        return pd.Series([sum(len(enc.encode_ordinary(p)) for p in pieces(t)) if t else 0 for t in texts])
+        return pd.Series([sum(len(enc.encode_ordinary(p)) for p in (exact_pieces(t) if len(t) > PIECE_CHARS else (t,))) if t else 0 for t in texts])
 
     return count(text)
 
