@@ -3,16 +3,24 @@
 A small file is a row: who recorded it, where it lay, what it holds. The lake that compaction writes is partitioned
 by recording and tree. One run
 1. plans: counts files and bytes per partition and keeps the partitions with more small files than allowed;
-2. reserves the next snapshot version by creating its intent file, which only one writer can do;
-3. rewrites only those partitions, by dynamic partition overwrite;
-4. publishes the version, after checking that nobody published a change to the same partitions meanwhile.
+2. reserves the next snapshot version by creating its intent file, which only one writer can do, and keeps it alive;
+3. rewrites only those partitions, by dynamic partition overwrite, into folders of its own that nobody reads yet;
+4. publishes the version by creating its manifest, after checking that it still holds the intent and that nobody
+   published a change to the same partitions meanwhile.
+
+A manifest names, for each partition, the folder that holds it; readers see only what a manifest names. A writer that
+dies leaves folders that no manifest names.
 """
 
 from __future__ import annotations
 
 import json
+import threading
 import time
-from dataclasses import dataclass
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -25,7 +33,7 @@ MARKS = r"(\s+|\.(jpe?g|png|bak|tmp|old|orig)|~|\s*\(\d+\)|[\s_-]+copy)+$"
 #: Above this many partitions the plan is joined by shuffle instead of broadcast (about 100 bytes a row).
 BROADCAST_PLAN_ROWS = 200_000
 #: Columns that compaction adds.
-ADDED = {"recording", "tree_key", "product", "frame", "part_rec", "part_tree", "out_files", "_canon", "_first", "_last", "_surplus", "_key", "_slot", "_nth"}
+ADDED = {"recording", "tree_key", "product", "frame", "part_rec", "part_tree", "out_files", "part_ver", "_canon", "_first", "_last", "_surplus", "_key", "_slot", "_nth"}
 #: Members of one record paired within one join group; larger groups are salted.
 PAIR_BLOCK = 1024
 
@@ -76,10 +84,16 @@ def identify(files: DataFrame) -> DataFrame:
     )
 
 
-def _digest() -> list[Column]:
-    """128 bits over the identity and the content; a null payload differs from an empty one."""
-    key = [F.col("recording"), F.col("tree_key"), F.col("product"), F.col("frame"), F.col("payload").isNull(), F.col("payload")]
-    return [F.xxhash64(*key).alias("h1"), F.xxhash64(F.lit("second"), *reversed(key), F.octet_length("payload")).alias("h2")]
+def _identity() -> list[Column]:
+    """What makes a record, a null payload apart from an empty one."""
+    return [F.col("recording"), F.col("tree_key"), F.col("product"), F.col("frame"), F.col("payload").isNull(), F.col("payload")]
+
+
+def _proof() -> Column:
+    """SHA-256 over the identity and the content, each part with its length before it."""
+    parts = [F.col(c).cast("binary") for c in ("recording", "tree_key", "product", "frame")] + [F.coalesce("payload", F.lit(b""))]
+    sized = [x for p in parts for x in (F.octet_length(p).cast("string").cast("binary"), F.lit(b":"), p)]
+    return F.sha2(F.concat(F.when(F.col("payload").isNull(), F.lit(b"-")).otherwise(F.lit(b"+")), *sized), 256)
 
 
 def _fs(spark: SparkSession, path: str):
@@ -88,16 +102,23 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
 
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
+
+
 @dataclass
 class SnapshotLog:
     """Versions of a lake: `_snapshots/v<N>.intent` reserves a version, `_snapshots/v<N>.json` publishes it.
 
-    An intent without a publication that is older than lease_s is a dead writer's and may be taken over.
+    The intent names its owner, who renews its time while writing. One that nobody renewed for lease_s is a dead
+    writer's: it is renamed away, which only one writer can do, before a new one is created. The manifest is created
+    once, and that is the moment of publication.
     """
 
     spark: SparkSession
     root: str
     lease_s: float = 3600
+    owner: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def _path(self, version: int, kind: str) -> str:
         return f"{self.root}/_snapshots/v{version:08d}.{kind}"
@@ -118,6 +139,8 @@ class SnapshotLog:
 
     def _read(self, path: str) -> dict:
         fs, p, jvm = _fs(self.spark, path)
+        if not fs.exists(p):
+            return {}
         stream = fs.open(p)
         try:
             return json.loads(bytes(stream.readAllBytes()).decode() or "{}")
@@ -134,31 +157,69 @@ class SnapshotLog:
     def current(self) -> int:
         return max(self.versions(), default=0)
 
+    def manifest(self, version: int) -> dict:
+        return self._read(self._path(version, "json"))
+
     def touched_since(self, base: int) -> DataFrame | None:
         """Partitions that versions after base changed."""
-        paths = [self._read(self._path(v, "json"))["partitions"] for v in self.versions() if v > base]
+        paths = [self.manifest(v)["partitions"] for v in self.versions() if v > base]
         return self.spark.read.parquet(*paths) if paths else None
 
     def reserve(self, base: int) -> int:
         """The next version; raises CommitConflict while another live writer holds it."""
         version = max([base, self.current(), 0]) + 1
         path = self._path(version, "intent")
-        if self._create(path, {"base": base, "at": time.time()}):
+        mine = {"base": base, "owner": self.owner}
+        if self._create(path, mine):
             return version
-        if time.time() - self._read(path).get("at", 0) > self.lease_s and version not in self.versions():
-            fs, p, _ = _fs(self.spark, path)
-            fs.delete(p, False)
-            if self._create(path, {"base": base, "at": time.time()}):
-                return version
+        fs, p, jvm = _fs(self.spark, path)
+        try:
+            idle = time.time() - fs.getFileStatus(p).getModificationTime() / 1000
+            if idle > self.lease_s and version not in self.versions():
+                if fs.rename(p, jvm.org.apache.hadoop.fs.Path(f"{path}-dead-{self.owner}")) and self._create(path, mine):
+                    return version
+        except Exception as e:  # another writer took it away meanwhile
+            raise CommitConflict(f"version {version} is being written") from e
         raise CommitConflict(f"version {version} is being written")
 
+    def holds(self, version: int) -> bool:
+        return self._read(self._path(version, "intent")).get("owner") == self.owner
+
+    @contextmanager
+    def alive(self, version: int) -> Iterator[None]:
+        """Renews the intent's time from a thread while the version is written; gives it back at the end."""
+        done = threading.Event()
+
+        def renew() -> None:
+            while not done.wait(max(self.lease_s / 4, 1)):
+                if self.holds(version):
+                    fs, p, _ = _fs(self.spark, self._path(version, "intent"))
+                    fs.setTimes(p, int(time.time() * 1000), -1)
+
+        thread = threading.Thread(target=renew, daemon=True)
+        thread.start()
+        try:
+            yield
+        finally:
+            done.set()
+            thread.join()
+            self.release(version)
+
     def publish(self, version: int, base: int, partitions: str, **facts) -> None:
-        if not self._create(self._path(version, "json"), {"version": version, "base": base, "partitions": partitions, **facts}):
+        """Refused if the intent was lost, if the same partitions were changed after base, or if the version is out."""
+        if not self.holds(version):
+            raise CommitConflict(f"the reservation of version {version} was taken over")
+        clash = self.touched_since(base)
+        if clash is not None and not clash.join(self.spark.read.parquet(partitions), ["recording", "tree_key"], "left_semi").isEmpty():
+            raise CommitConflict(f"partitions of this run changed after version {base}")
+        if not self._create(self._path(version, "json"), {"version": version, "base": base, "partitions": partitions, "owner": self.owner, **facts}):
             raise CommitConflict(f"version {version} was published by another writer")
 
     def release(self, version: int) -> None:
-        fs, p, _ = _fs(self.spark, self._path(version, "intent"))
-        fs.delete(p, False)
+        """Gives the reservation back, if it still is this writer's."""
+        if self.holds(version):
+            fs, p, _ = _fs(self.spark, self._path(version, "intent"))
+            fs.delete(p, False)
 
 
 @dataclass
@@ -170,16 +231,26 @@ class Compaction:
     #: file_id, record_id (smallest file_id of the record), copies: files of records that came more than once
     copies: DataFrame
 
-    def records(self, spark: SparkSession) -> DataFrame:
+    def records(self, spark: SparkSession, version: int | None = None) -> DataFrame:
+        """The lake as a published version holds it, by default the newest."""
+        log = SnapshotLog(spark, self.lake)
+        known = log.manifest(log.current() if version is None else version)
+        state = spark.read.parquet(known["state"])
+        folders = [r["part_ver"] for r in state.select("part_ver").distinct().collect()]  # one per version that is still read
         part = lambda c: F.substring(F.col(c), 2, 1 << 20)
-        df = spark.read.option("mergeSchema", "false").parquet(f"{self.lake}/data")
-        return df.withColumn("recording", part("part_rec")).withColumn("tree_key", part("part_tree")).drop("part_rec", "part_tree")
+        if folders:
+            rows = spark.read.option("basePath", f"{self.lake}/data").schema(known["schema"]).parquet(*[f"{self.lake}/data/part_ver={v}" for v in folders])
+            if known["replaced"]:  # folders hold partitions that a later version wrote anew
+                rows = rows.join(state, ["part_ver", "part_rec", "part_tree"], "left_semi")
+        else:
+            rows = spark.createDataFrame([], known["schema"])
+        return rows.withColumn("recording", part("part_rec")).withColumn("tree_key", part("part_tree")).drop("part_rec", "part_tree", "part_ver")
 
 
 def source_ledger(identified: DataFrame) -> DataFrame:
-    """One narrow row per small file: where it belongs, its size, and the digest of its identity and content."""
+    """One narrow row per small file: where it belongs, its size, and a 64-bit hash of its identity and content."""
     size = F.coalesce(F.octet_length("payload"), F.lit(0)).cast("long") + 64
-    return identified.select("file_id", "recording", "tree_key", size.alias("size"), *_digest())
+    return identified.select("file_id", "recording", "tree_key", size.alias("size"), F.xxhash64(*_identity()).alias("h"))
 
 
 def plan_compaction(ledger: DataFrame, max_small_files: int, small_bytes: int, target_bytes: int) -> DataFrame:
@@ -192,12 +263,20 @@ def plan_compaction(ledger: DataFrame, max_small_files: int, small_bytes: int, t
     )
 
 
-def find_copies(ledger: DataFrame) -> DataFrame:
-    """Files of records that occur more than once. Partial aggregation folds a hot record before the shuffle."""
+def likely_copies(ledger: DataFrame) -> DataFrame:
+    """file_id of files whose hash another file has too. Partial aggregation folds a hot record before the shuffle."""
     known = ledger.filter(F.col("file_id").isNotNull())
-    groups = known.groupBy("h1", "h2").agg(F.min("file_id").alias("record_id"), F.max("file_id").alias("_top"), F.count("*").alias("copies"))
+    groups = known.groupBy("h").agg(F.min("file_id").alias("_low"), F.max("file_id").alias("_top")).filter("_low < _top")
+    return known.join(groups.select("h"), "h").select("file_id").distinct()
+
+
+def find_copies(identified: DataFrame, likely: DataFrame) -> DataFrame:
+    """file_id, record_id, copies, recording, tree_key of files that are copies: likely ones whose SHA-256 is the same too."""
+    known = identified.join(likely, "file_id").select("file_id", "recording", "tree_key", _proof().alias("proof"))
+    known = materialize(known, "compaction-proofs")
+    groups = known.groupBy("proof").agg(F.min("file_id").alias("record_id"), F.max("file_id").alias("_top"), F.count("*").alias("copies"))
     groups = groups.filter("record_id < _top").drop("_top")
-    return known.join(groups, ["h1", "h2"]).select("file_id", "record_id", "copies", "recording", "tree_key")
+    return known.join(groups, "proof").select("file_id", "record_id", "copies", "recording", "tree_key")
 
 
 def compact(
@@ -227,10 +306,12 @@ def compact(
     n_parts = plan.count()
     plan_side = F.broadcast(plan) if n_parts <= BROADCAST_PLAN_ROWS else plan
     plan_side = plan_side.select("recording", "tree_key", "out_files")
-    copies = materialize(find_copies(ledger.join(plan_side, ["recording", "tree_key"])), "compaction-copies")
+    likely = materialize(likely_copies(ledger.join(plan_side, ["recording", "tree_key"])), "compaction-likely")
+    copies = materialize(find_copies(known, likely), "compaction-copies")
 
     version = log.reserve(base)
-    try:
+    before = log.current()
+    with log.alive(version):
         # Each payload is shuffled once, straight to the file it ends in; a marker row meets each surplus copy there.
         place = plan_side.select(F.col("recording").alias("part_rec"), F.col("tree_key").alias("part_tree"), "out_files")
         rows = known.select(*files.columns, "product", "frame", F.col("recording").alias("part_rec"), F.col("tree_key").alias("part_tree"), F.lit(False).alias("_surplus"))
@@ -249,15 +330,21 @@ def compact(
             .filter("_nth = 1 and not _surplus")
             .drop("_slot", "_key", "_nth", "_surplus")
         )
-        clash = log.touched_since(base)
-        if clash is not None and not clash.join(plan, ["recording", "tree_key"], "left_semi").isEmpty():
-            raise CommitConflict(f"partitions of this run changed after version {base}")
-        laid.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part_rec", "part_tree").parquet(f"{lake}/data")
-        listing = f"{lake}/_snapshots/v{version:08d}.partitions"
+        folder = f"{version:08d}-{log.owner}"
+        laid = laid.withColumn("part_ver", F.lit(folder))
+        laid.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part_ver", "part_rec", "part_tree").parquet(f"{lake}/data")
+        listing, state = (f"{lake}/_snapshots/v{version:08d}-{log.owner}.{kind}" for kind in ("partitions", "state"))
         plan.write.mode("overwrite").parquet(listing)
-        log.publish(version, base, listing, n_partitions=n_parts)
-    finally:
-        log.release(version)
+        mine = plan.select(F.lit(folder).alias("part_ver"), F.concat(F.lit("="), "recording").alias("part_rec"), F.concat(F.lit("="), "tree_key").alias("part_tree"))
+        replaced = False
+        if before:
+            old = log.manifest(before)
+            rewritten = mine.drop("part_ver")
+            replaced = old["replaced"] or not spark.read.parquet(old["state"]).join(rewritten, ["part_rec", "part_tree"], "left_semi").isEmpty()
+            kept = spark.read.parquet(old["state"]).join(rewritten, ["part_rec", "part_tree"], "left_anti")
+            mine = mine.unionByName(kept)
+        mine.write.mode("overwrite").parquet(state)
+        log.publish(version, base, listing, state=state, schema=_ddl(laid), replaced=replaced, n_partitions=n_parts)
     return Compaction(lake, version, plan, copies)
 
 

@@ -26,6 +26,25 @@ def p1_compaction(spark: SparkSession, d: str) -> DataFrame:
     return done.plan.select("recording", "tree_key", "n_files", "n_small").join(out, ["recording", "tree_key"])
 
 
+#: Small files a partition may hold before p1_twice rewrites it.
+LIMIT = 40
+
+
+def p1_twice(spark: SparkSession, d: str) -> DataFrame:
+    """Records per partition after two runs with a real limit: one when the rgb tree alone was there, one with all trees.
+
+    Partitions with at most LIMIT small files are left alone, and the second run rewrites only what the first did not.
+    """
+    files = table(spark, d, "street_video")
+    tree = compaction.identify(files.select("file_id", "dataset", "tree", "path"))
+    rgb = files.join(tree.filter("tree_key = 'rgb'").select("file_id").distinct(), "file_id", "left_semi")
+    first = compaction.compact(rgb, max_small_files=LIMIT)
+    rest = files.join(tree.filter("tree_key <> 'rgb'").select("file_id").distinct(), "file_id", "left_semi")
+    second = compaction.compact(rest, first.lake, max_small_files=LIMIT)
+    per = second.records(spark).groupBy("recording", "tree_key").agg(F.count("*").alias("n_records"))
+    return per
+
+
 def pose_entries(spark: SparkSession, d: str) -> DataFrame:
     """recording, cam, name, ts, p: one row per entry of a pose pack."""
     packs = table(spark, d, "poses").select(recording(F.col("dataset")).alias("recording"), F.explode("frames").alias("f"))
@@ -81,6 +100,7 @@ k AS (SELECT file_id, payload, rec, regexp_replace(regexp_replace(q, '[^/]*$', '
 QUERIES = {
     "p1_found": p1_found,
     "p1_compaction": p1_compaction,
+    "p1_twice": p1_twice,
     "p2_found": p2_found,
     "p2_poses": p2_poses,
     "p2_report": p2_report,
@@ -92,6 +112,15 @@ ORACLES = {
     "p1_found": P1_IDENT
     + """SELECT a.file_id AS file_a, b.file_id AS file_b FROM k a JOIN k b
 ON a.rec = b.rec AND a.folder = b.folder AND a.frame = b.frame AND a.payload = b.payload AND a.file_id < b.file_id""",
+    "p1_compaction": P1_IDENT
+    + """, t AS (SELECT rec AS recording, split_part(folder, '/', 1) AS tree_key, folder, frame, payload FROM k),
+n AS (SELECT recording, tree_key, count(*) AS n_files, sum(octet_length(payload) + 64) AS b FROM t GROUP BY 1, 2),
+r AS (SELECT recording, tree_key, count(*) AS n_records FROM (SELECT DISTINCT recording, tree_key, folder, frame, payload FROM t) GROUP BY 1, 2)
+SELECT n.recording, n.tree_key, n_files, n_files AS n_small, n_records, CAST(ceil(b / 134217728.0) AS BIGINT) AS n_out_files FROM n JOIN r ON n.recording = r.recording AND n.tree_key = r.tree_key""",
+    "p1_twice": P1_IDENT
+    + """, t AS (SELECT rec AS recording, split_part(folder, '/', 1) AS tree_key, folder, frame, payload FROM k),
+big AS (SELECT recording, tree_key FROM t GROUP BY 1, 2 HAVING count(*) > 40)
+SELECT recording, tree_key, count(*) AS n_records FROM (SELECT DISTINCT t.* FROM t JOIN big USING (recording, tree_key)) GROUP BY 1, 2""",
     "p3_found": P3_ORPHANS + "SELECT DISTINCT id AS job_id FROM orphan",
     "p3_report": P3_ORPHANS
     + """SELECT 'jobs' AS tab, CAST(make_timestamp(CAST(floor(t) * 1000000 AS BIGINT)) AS DATE) AS day,

@@ -82,3 +82,51 @@ def test_conflict_is_refused(spark):
         log.reserve(2)
     log.lease_s = -1
     assert log.reserve(2) == 3
+
+
+def small(spark, rec, n, first=0, content=b"x"):
+    return files(spark, [(first + i, rec, "rgb", f"rgb/A_{first + i}.jpg", "A", bytearray(content), None) for i in range(n)])
+
+
+def test_failed_run_is_never_read_and_can_be_repeated(spark, monkeypatch):
+    done = c.compact(small(spark, "a", 4))
+    monkeypatch.setattr(c.SnapshotLog, "publish", lambda self, *a, **k: (_ for _ in ()).throw(RuntimeError("the driver died")))
+    with pytest.raises(RuntimeError):
+        c.compact(small(spark, "a", 6, 10), done.lake)
+    monkeypatch.undo()
+    assert done.records(spark).count() == 4
+    again = c.compact(small(spark, "a", 6, 10), done.lake)
+    assert again.version == 2 and again.records(spark).count() == 6 and again.records(spark, 1).count() == 4
+
+
+def test_two_writers(spark):
+    done = c.compact(small(spark, "a", 4))
+    one, two = c.SnapshotLog(spark, done.lake, 0.0), c.SnapshotLog(spark, done.lake, 0.0)
+    assert one.reserve(1) == 2
+    two.lease_s = -1  # the first is taken for dead
+    assert two.reserve(1) == 2 and two.holds(2) and not one.holds(2)
+    one.release(2)
+    assert two.holds(2)
+    listing = f"{done.lake}/_snapshots/none"
+    done.plan.limit(0).write.parquet(listing)
+    with pytest.raises(c.CommitConflict):
+        one.publish(2, 1, listing, state="", schema="", replaced=False)
+    state = two.manifest(1)
+    two.publish(2, 1, listing, state=state["state"], schema=state["schema"], replaced=False)
+    assert two.current() == 2 and done.records(spark).count() == 4
+    with pytest.raises(c.CommitConflict):
+        two.publish(2, 1, listing, state="", schema="", replaced=False)
+
+
+def test_change_published_meanwhile_is_a_conflict(spark, monkeypatch):
+    done = c.compact(small(spark, "a", 4))
+    log = c.SnapshotLog(spark, done.lake)
+    version = log.reserve(0)
+    with pytest.raises(c.CommitConflict):
+        log.publish(version, 0, log.manifest(1)["partitions"], state="", schema="", replaced=False)
+
+
+def test_equal_hash_is_no_proof(spark, monkeypatch):
+    monkeypatch.setattr(c, "_identity", lambda: [F.lit(1)])  # every file has the same hash
+    done = c.compact(files(spark, [(1, "r", "rgb", "rgb/A_1.jpg", "A", bytearray(b"x"), None), (2, "r", "rgb", "rgb/A_1.jpg", "A", bytearray(b"y"), None), (3, "r", "rgb", "rgb/A_1.jpg", "A", bytearray(b"x"), None)]))
+    assert {tuple(r) for r in c.copy_pairs(done.copies).collect()} == {(1, 3)} and done.records(spark).count() == 2
