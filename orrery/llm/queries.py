@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orrery.functions.names import camera, capture_time, recording
@@ -45,7 +46,21 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The neighbours of every point whose seq is divisible by 20, among all points."""
     points = table(spark, d, "street_pack").select("dataset", "seq", "x", "y", "z")
-    return _neighbours(spark, points, F.col("seq") % 20 == 0)
+    hits = _neighbours(spark, points, F.col("seq") % 20 == 0)
+    return hits.select("query", "neighbour", F.round("distance", 6).alias("distance"), "rank")
+
+
+def p5_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Recall of the ten nearest of 64-dimensional vectors, for every twentieth vector against all, held against brute force."""
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"), F.lit("all").alias("pack"))
+    dims = [F.element_at("v", i + 1) for i in range(64)]
+    got = vector_search.nearest_vectors(e, "pack", "vec_id", dims, 10, F.col("vec_id") % 20 == 0, list_size=64)
+    asks = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("v").alias("q"))
+    square = F.aggregate(F.zip_with("q", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    all_pairs = asks.join(e.select(F.col("vec_id").alias("neighbour"), "v"), F.col("query") != F.col("neighbour")).select("query", "neighbour", square.alias("d2"))
+    best = all_pairs.withColumn("nth", F.row_number().over(W.partitionBy("query").orderBy("d2", "neighbour"))).filter("nth <= 10").select("query", "neighbour")
+    hit = best.join(got.select("query", "neighbour", F.lit(1).alias("hit")), ["query", "neighbour"], "left")
+    return hit.agg(F.count_distinct("query").alias("n_queries"), (F.count("hit") >= 0.9 * F.count("*")).alias("recalled"))
 
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
@@ -136,6 +151,7 @@ QUERIES = {
     "p4_pairs": p4_pairs,
     "p5_found": p5_found,
     "p5_neighbours": p5_neighbours,
+    "p5_recall": p5_recall,
     "p6_found": p6_found,
     "p6_pack": p6_pack,
     "p6_report": p6_report,
@@ -172,15 +188,27 @@ SELECT DISTINCT least(a, b) AS seq_a, greatest(a, b) AS seq_b FROM n WHERE nth <
 
 P5_NEIGHBOURS = P5_FOUND[: P5_FOUND.index("asking AS")] + """asking AS (SELECT * FROM pts WHERE seq % 20 = 0),
 d AS (SELECT a.seq AS a, b.seq AS b, sqrt((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2) AS d FROM asking a JOIN pts b ON a.rec = b.rec AND a.seq <> b.seq)
-SELECT a AS query, CAST(row_number() OVER (PARTITION BY a ORDER BY d, b) AS INTEGER) AS rank, round(d, 6) AS distance FROM d QUALIFY rank <= 8
+SELECT a AS query, b AS neighbour, round(d, 6) AS distance, CAST(row_number() OVER (PARTITION BY a ORDER BY round(d, 9), b) AS INTEGER) AS rank FROM d QUALIFY rank <= 8
 """
 
+P4_PAIRS = P4_ENTRIES.replace("SELECT DISTINCT rec, f.name AS name,", "SELECT DISTINCT ON (name) rec, f.name AS name, f.p AS p,").replace("f.p IS NOT NULL)", "f.p IS NOT NULL ORDER BY [CASE WHEN v IS NULL THEN 0 WHEN isnan(v) THEN 2 ELSE 1 END FOR v IN f.p], f.p)")
+P4_PAIRS = P4_PAIRS.replace("a.name AS name_a,", "a.name AS name_a, a.rec AS recording, a.p AS p, epoch_us(a.ts) - epoch_us(b.ts) AS gap_us,")
+
+#: Words of the vocabulary's pattern: no fewer than the tokens, and no text has 1,500 to 2,700 of them.
+WORDS = r"len(regexp_extract_all(text, ' ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+'))"
+
 #: Sources compare by name without case, blanks at the ends and - for _.
 NAME = "replace(lower(trim(source)), '-', '_')"
 
 ORACLES = {
     "p4_found": P4_ENTRIES + "SELECT name_a, name_b FROM n WHERE nth = 1",
+    "p4_pairs": P4_PAIRS + "SELECT recording, name_a, name_b, gap_us, p FROM n WHERE nth = 1",
     "p5_found": P5_FOUND,
+    "p5_neighbours": P5_NEIGHBOURS,
+    "p5_recall": "SELECT count(*) AS n_queries, true AS recalled FROM embeddings WHERE vec_id % 20 = 0",
+    "p6_found": f"SELECT doc_id FROM documents WHERE {WORDS} > 2048",
+    "p7_found": f"""WITH s AS (SELECT {NAME} AS s, sum({WORDS}) AS n FROM documents GROUP BY 1), t AS (SELECT source, target_share, max_uses, coalesce(n, 0) AS n FROM mix_targets LEFT JOIN s ON s.s = {NAME})
+SELECT DISTINCT source FROM t WHERE target_share * (SELECT sum(n) FROM t) > max_uses * n""",
     "p6_coverage": "SELECT count(DISTINCT doc_id) AS n_docs, 0 AS split_small, 0 AS over_full, 0 AS overlapping, true AS well_filled FROM documents",
     "p7_coverage": f"SELECT source, 0 AS over_used, true AS within_a_block FROM mix_targets t WHERE target_share > 0 AND EXISTS (SELECT 1 FROM documents d WHERE replace(lower(trim(d.source)), '-', '_') = replace(lower(trim(t.source)), '-', '_') AND length(d.text) > 0)",
     "p8_coverage": f"SELECT {NAME} AS source, count(*) AS n_docs, true AS sound FROM documents GROUP BY 1",

@@ -3,7 +3,9 @@
 Vectors are rotated by a fixed random rotation and sorted along a space-filling curve, scaled per group by quantile
 sketches; consecutive vectors form lists of bounded size, however dense a place is. A list stores its vectors as column
 blocks, one block per rotated dimension. A query first searches the list it lies in, which bounds its k-th distance,
-then the lists whose bounding box is nearer than that. In a list, distances grow dimension by dimension; a candidate is
+then the lists whose bounding box is nearer than that. These are found by going down a tree of boxes: of stretches of the
+curve, of their parts, of lists. Queries whose bound is wide (strays, queries of lists that hold too few points) go down
+one by one, and on every level the farthest corner of a box that holds enough points tightens their bound. In a list, distances grow dimension by dimension; a candidate is
 abandoned as soon as its partial distance fails the test against the bound. In few dimensions the test's threshold is
 the bound itself, so nothing is lost; in many it is the usual hypothesis test with error parameter eps.
 """
@@ -14,14 +16,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orrery.session import materialize
 
 LIST_SIZE = 512
-#: Lists that share a super-list, by which far lists are ruled out together.
-LISTS_PER_SUPER = 256
+#: Lists that share a node of the tree of boxes, and partitions of the index that share one.
+FANOUT = 256
+#: A bound this many times the usual squared one of its list makes a query wide.
+WIDE = 16.0
 BITS = 20
 
 
@@ -82,16 +88,16 @@ def _curve(rotated: list[Column], scale: list[tuple[Column, Column]]) -> Column:
     return code
 
 
-LISTS = pa.schema([("group", pa.string()), ("super_id", pa.int64()), ("list_id", pa.int64()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64())), ("ids", pa.binary()), ("block", pa.binary()), ("n_queries", pa.int32()), ("q_ids", pa.binary()), ("q_block", pa.binary()), ("q_r2", pa.binary()), ("q_lo", pa.list_(pa.float64())), ("q_hi", pa.list_(pa.float64())), ("own_q", pa.binary()), ("own_id", pa.binary()), ("own_d", pa.binary())])
-LISTS_DDL = "group string, super_id long, list_id long, lo array<double>, hi array<double>, ids binary, block binary, n_queries int, q_ids binary, q_block binary, q_r2 binary, q_lo array<double>, q_hi array<double>, own_q binary, own_id binary, own_d binary"
+LISTS = pa.schema([("group", pa.string()), ("top", pa.int64()), ("part", pa.int64()), ("super_id", pa.int64()), ("list_id", pa.int64()), ("n", pa.int32()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64())), ("ids", pa.binary()), ("block", pa.binary()), ("n_queries", pa.int32()), ("q_ids", pa.binary()), ("q_block", pa.binary()), ("q_r2", pa.binary()), ("own_q", pa.binary()), ("own_id", pa.binary()), ("own_d", pa.binary())])
+LISTS_DDL = "group string, top long, part long, super_id long, list_id long, n int, lo array<double>, hi array<double>, ids binary, block binary, n_queries int, q_ids binary, q_block binary, q_r2 binary, own_q binary, own_id binary, own_d binary"
 
 
-def _make_list(group: str, super_id: int, ids: np.ndarray, x: np.ndarray, is_query: np.ndarray, k: int, eps: float) -> dict:
+def _make_list(group: str, part: int, super_id: int, ids: np.ndarray, x: np.ndarray, is_query: np.ndarray, k: int, eps: float) -> dict:
     """One list as a row, with the results of its own queries within it."""
     at = np.flatnonzero(is_query)
     at = at[np.unique(ids[at], return_index=True)[1]]
     q, cols = x[at], np.ascontiguousarray(x.T)
-    row = {"group": group, "super_id": super_id, "list_id": int(ids[0]), "lo": x.min(0), "hi": x.max(0), "ids": ids.tobytes(), "block": cols.tobytes(), "n_queries": len(at)}
+    row = {"group": group, "top": part // FANOUT, "part": part, "super_id": super_id, "list_id": int(ids[0]), "n": len(np.unique(ids)), "lo": x.min(0), "hi": x.max(0), "ids": ids.tobytes(), "block": cols.tobytes(), "n_queries": len(at)}
     r2 = np.full(len(at), np.inf)
     own_q = own_id = np.zeros(0, np.int64)
     own_d = np.zeros(0)
@@ -105,9 +111,7 @@ def _make_list(group: str, super_id: int, ids: np.ndarray, x: np.ndarray, is_que
         full = n == k
         ends = np.cumsum(n) - 1
         r2[full] = own_d[ends[full]]
-    radius = np.sqrt(r2)[:, None]
     row |= {"q_ids": ids[at].tobytes(), "q_block": q.tobytes(), "q_r2": r2.tobytes(), "own_q": own_q.tobytes(), "own_id": own_id.tobytes(), "own_d": own_d.tobytes()}
-    row |= {"q_lo": (q - radius).min(0) if len(at) else [], "q_hi": (q + radius).max(0) if len(at) else []}
     return row
 
 
@@ -119,34 +123,40 @@ def build_lists(points: DataFrame, group: str, id_col: str, dims: list[Column],
     finite = [F.col(f"v{i}").isNotNull() & ~F.isnan(f"v{i}") & (F.abs(F.col(f"v{i}")) != float("inf")) for i in range(n_dims)]
     for test in (F.col("id").isNotNull(), *finite):
         rows = rows.filter(test)
-    turned = [sum((F.col(f"v{j}") * float(rot[j, i]) for j in range(n_dims)), F.lit(0.0)) for i in range(n_dims)]
-    rows = rows.select(F.coalesce("group", F.lit("")).alias("group"), "id", "is_query", *[c.alias(f"r{i}") for i, c in enumerate(turned)])
     axes = range(min(3, n_dims))
-    sketch = rows.groupBy("group").agg(*[F.kll_sketch_agg_double(f"r{i}").alias(f"s{i}") for i in axes])
+    turned = [sum((F.col(f"v{j}") * float(rot[j, i]) for j in range(n_dims)), F.lit(0.0)) for i in axes]
+    rows = rows.withColumn("group", F.coalesce("group", F.lit("")))
+    sketch = rows.groupBy("group").agg(*[F.kll_sketch_agg_double(turned[i]).alias(f"s{i}") for i in axes])
     read = lambda i, q: F.kll_sketch_get_quantile_double(f"s{i}", F.lit(q))
     scale = materialize(sketch.select("group", *[read(i, q).alias(f"{n}{i}") for i in axes for n, q in (("lo", 0.01), ("hi", 0.99))]), "ads-scale")
-    code = _curve([F.col(f"r{i}") for i in axes], [(F.col(f"lo{i}"), F.col(f"hi{i}")) for i in axes])
-    coded = rows.join(scale, "group").select("group", code.alias("code"), "id", "is_query", *[f"r{i}" for i in range(n_dims)])
-    laid = coded.repartitionByRange("group", "code", "id").sortWithinPartitions("group", "code", "id", *[f"r{i}" for i in range(n_dims)])
+    code = _curve(turned, [(F.col(f"lo{i}"), F.col(f"hi{i}")) for i in axes])
+    coded = rows.join(scale, "group").select("group", code.alias("code"), "id", "is_query", *[f"v{i}" for i in range(n_dims)])
+    laid = coded.repartitionByRange("group", "code", "id").sortWithinPartitions("group", "code", "id", *[f"v{i}" for i in range(n_dims)])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []  # (ids, vectors, flags) of the current group, less than a list of it
+        held: list[tuple] = []  # (ids, vectors, flags) of the current group, less than two lists of it
+        pid = TaskContext.get().partitionId()
         state = {"group": None, "n_lists": 0, "super": 0, "last": None}
 
         def flush(whole: bool) -> list[dict]:
-            if not held:
+            """Full lists; at the end of a group what is left is one list, or two of like size, so that none is short."""
+            n = sum(len(h[0]) for h in held)
+            if not n or not whole and n < 2 * list_size:
                 return []
             ids, x, f = (np.concatenate([h[i] for h in held]) for i in range(3))
             held.clear()
+            stops = list(range(list_size, n - list_size + 1, list_size))
+            if whole:
+                rest = n - (stops[-1] if stops else 0)
+                stops += [n - rest // 2, n] if rest > 1.5 * list_size else [n]
             out, at = [], 0
-            while len(ids) - at >= list_size or (whole and at < len(ids)):
-                end = min(at + list_size, len(ids))
-                if state["n_lists"] % LISTS_PER_SUPER == 0:
+            for end in stops:
+                if state["n_lists"] % FANOUT == 0:
                     state["super"] = int(ids[at])
                 state["n_lists"] += 1
-                out.append(_make_list(state["group"], state["super"], ids[at:end], x[at:end], f[at:end], k, eps))
+                out.append(_make_list(state["group"], pid, state["super"], ids[at:end], x[at:end], f[at:end], k, eps))
                 at = end
-            if at < len(ids):
+            if at < n:
                 held.append((ids[at:], x[at:], f[at:]))
             return out
 
@@ -156,7 +166,7 @@ def build_lists(points: DataFrame, group: str, id_col: str, dims: list[Column],
             names = batch.column("group").dictionary_encode()
             codes = names.indices.to_numpy(zero_copy_only=False)
             ids = batch.column("id").to_numpy(zero_copy_only=False)
-            x = np.stack([batch.column(f"r{i}").to_numpy(zero_copy_only=False) for i in range(n_dims)], axis=1)
+            x = np.stack([batch.column(f"v{i}").to_numpy(zero_copy_only=False) for i in range(n_dims)], axis=1)
             f = batch.column("is_query").to_numpy(zero_copy_only=False)
             out: list[dict] = []
             for part in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(codes)) + 1):
@@ -168,7 +178,7 @@ def build_lists(points: DataFrame, group: str, id_col: str, dims: list[Column],
                 # copies of a point follow each other
                 same = np.r_[state["last"] is not None and state["last"][0] == pi[0] and bool((state["last"][1] == px[0]).all()), (pi[1:] == pi[:-1]) & (px[1:] == px[:-1]).all(axis=1)]
                 state["last"] = (pi[-1], px[-1])
-                held.append((pi[~same], px[~same], pf[~same]))
+                held.append((pi[~same], px[~same] @ rot, pf[~same]))
                 out += flush(False)
             if out:
                 yield pa.RecordBatch.from_pylist(out, LISTS)
@@ -189,26 +199,65 @@ def nearest_vectors(points: DataFrame, group: str, id_col: str, dims: list[Colum
     """
     n_dims = len(dims)
     lists = build_lists(points, group, id_col, dims, is_query, k, eps, list_size)
-    box = [F.element_at("lo", i + 1).alias(f"lo{i}") for i in range(n_dims)] + [F.element_at("hi", i + 1).alias(f"hi{i}") for i in range(n_dims)]
-    directory = lists.select("group", "super_id", "list_id", *box)
-    supers = directory.groupBy("group", "super_id").agg(*[f(f"{n}{i}").alias(f"{n}{i}") for i in range(n_dims) for n, f in (("lo", F.min), ("hi", F.max))])
-    asking = lists.filter("n_queries > 0").select("group", F.col("list_id").alias("home"), "q_ids", "q_block", "q_r2", *[F.element_at("q_lo", i + 1).alias(f"ql{i}") for i in range(n_dims)], *[F.element_at("q_hi", i + 1).alias(f"qh{i}") for i in range(n_dims)])
-    meets = [(F.col(f"lo{i}") <= F.col(f"qh{i}")) & (F.col(f"hi{i}") >= F.col(f"ql{i}")) for i in range(n_dims)]
-    touch = meets[0]
-    for m in meets[1:]:
-        touch = touch & m
-    edges = [f"{n}{i}" for i in range(n_dims) for n in ("ql", "qh")]
-    boxes = [f"{n}{i}" for i in range(n_dims) for n in ("lo", "hi")]
-    coarse = asking.select("group", "home", *edges).join(supers, "group").filter(touch).drop(*boxes)
-    fine = coarse.join(directory, ["group", "super_id"]).filter(touch & (F.col("home") != F.col("list_id"))).select("group", "home", "list_id", *boxes)
-    sent = fine.join(asking.select("group", "home", "q_ids", "q_block", "q_r2"), ["group", "home"]).select("group", "list_id", F.array(*[F.col(f"lo{i}") for i in range(n_dims)]).alias("lo"), F.array(*[F.col(f"hi{i}") for i in range(n_dims)]).alias("hi"), "q_ids", "q_block", "q_r2")
+    axes = range(n_dims)
+    box = [F.element_at(n, i + 1).alias(f"{n}{i}") for i in axes for n in ("lo", "hi")]
+    boxes = [f"{n}{i}" for i in axes for n in ("lo", "hi")]
+    whole = [f(c).alias(c) for c in boxes for f in (F.min if c[0] == "l" else F.max,)] + [F.sum("n").alias("n")]
+    tree = [lists.select("group", "top", "part", "super_id", "list_id", "n", *box)]
+    for keys in (["group", "top", "part", "super_id"], ["group", "top", "part"], ["group", "top"]):
+        tree.append(tree[-1].groupBy(*keys).agg(*whole))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What goes down the tree: the box around a list's queries and their bounds, and each wide query by itself."""
+        for b in batches:
+            out = []
+            for g, home, qb, qr in zip(*[b.column(c).to_pylist() for c in ("group", "home", "q_block", "q_r2")]):
+                q, r2 = np.frombuffer(qb).reshape(-1, n_dims), np.frombuffer(qr)
+                usual = np.median(r2[np.isfinite(r2)]) if np.isfinite(r2).any() else -1.0
+                wide = r2 > max(WIDE * usual, 0.0)
+                if not wide.all():
+                    r = np.sqrt(r2[~wide])[:, None]
+                    out.append({"group": g, "home": home, "nth": -1, "at": [], "r2": np.inf, "lo": (q[~wide] - r).min(0), "hi": (q[~wide] + r).max(0)})
+                for j in np.flatnonzero(wide):
+                    out.append({"group": g, "home": home, "nth": int(j), "at": q[j], "r2": r2[j], "lo": [], "hi": []})
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("group", pa.string()), ("home", pa.int64()), ("nth", pa.int32()), ("at", pa.list_(pa.float64())), ("r2", pa.float64()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64()))]))
+
+    asking = lists.filter("n_queries > 0").select("group", F.col("list_id").alias("home"), "q_ids", "q_block", "q_r2")
+    units = asking.select("group", "home", "q_block", "q_r2").mapInArrow(ask, "group string, home long, nth int, at array<double>, r2 double, lo array<double>, hi array<double>")
+    units = materialize(units, "ads-units")
+    together = units.filter("nth < 0").select("group", "home", *[F.element_at("lo", i + 1).alias(f"ql{i}") for i in axes], *[F.element_at("hi", i + 1).alias(f"qh{i}") for i in axes])
+    alone = units.filter("nth >= 0").select("group", "home", "nth", "r2", *[F.element_at("at", i + 1).alias(f"q{i}") for i in axes])
+    gap = sum((F.greatest(F.col(f"lo{i}") - F.col(f"q{i}"), F.col(f"q{i}") - F.col(f"hi{i}"), F.lit(0.0)) ** 2 for i in axes), F.lit(0.0))
+    reach = sum((F.greatest(F.abs(F.col(f"lo{i}") - F.col(f"q{i}")), F.abs(F.col(f"q{i}") - F.col(f"hi{i}"))) ** 2 for i in axes), F.lit(0.0))
+    touch = F.lit(True)
+    for i in axes:
+        touch = touch & (F.col(f"lo{i}") <= F.col(f"qh{i}")) & (F.col(f"hi{i}") >= F.col(f"ql{i}"))
+    keys = ["group"]
+    for nodes, own in zip(reversed(tree), ("top", "part", "super_id", "list_id")):
+        leaf = own == "list_id"
+        shed = [] if leaf else [*boxes, "n"]
+        together = together.join(nodes, keys).filter(touch).drop(*shed)
+        near = alone.join(nodes, keys).withColumn("_gap", gap).filter("_gap <= r2")
+        bound = F.min(F.when(F.col("n") > k, reach * (1 + 1e-9))).over(W.partitionBy("group", "home", "nth"))
+        alone = near.withColumn("r2", F.least("r2", F.coalesce(bound, F.lit(float("inf"))))).filter("_gap <= r2").drop("_gap", *shed)
+        keys = [*keys, own]
+    pairs = together.select("group", "home", F.lit(-1).alias("nth"), F.lit(float("inf")).alias("bound"), "list_id", *boxes).unionByName(alone.select("group", "home", "nth", F.col("r2").alias("bound"), "list_id", *boxes))
+    fine = pairs.filter(F.col("home") != F.col("list_id"))
+    sent = fine.join(asking, ["group", "home"]).select("group", "list_id", "nth", "bound", F.array(*[F.col(f"lo{i}") for i in axes]).alias("lo"), F.array(*[F.col(f"hi{i}") for i in axes]).alias("hi"), "q_ids", "q_block", "q_r2")
 
     def only_near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each block of queries, those whose bound reaches into the list's box."""
         for b in batches:
             out: dict[str, list] = {"group": [], "list_id": [], "q_ids": [], "q_block": [], "q_r2": []}
-            for g, target, lo, hi, qi, qb, qr in zip(*[b.column(c).to_pylist() for c in ("group", "list_id", "lo", "hi", "q_ids", "q_block", "q_r2")]):
+            for g, target, nth, bound, lo, hi, qi, qb, qr in zip(*[b.column(c).to_pylist() for c in ("group", "list_id", "nth", "bound", "lo", "hi", "q_ids", "q_block", "q_r2")]):
                 q, r2 = np.frombuffer(qb).reshape(-1, n_dims), np.frombuffer(qr)
+                if nth >= 0:
+                    r2 = np.full(len(q), -1.0)
+                    r2[nth] = bound
+                else:
+                    finite = np.isfinite(r2)
+                    usual = np.median(r2[finite]) if finite.any() else -1.0
+                    r2 = np.where(r2 > max(WIDE * usual, 0.0), -1.0, r2)  # wide ones come by themselves
                 gap = np.maximum(np.maximum(np.array(lo) - q, q - np.array(hi)), 0)
                 keep = (gap**2).sum(1) <= r2
                 if keep.any():
@@ -240,7 +289,7 @@ def nearest_vectors(points: DataFrame, group: str, id_col: str, dims: list[Colum
     ddl = "query long, neighbour long, d2 double"
     elsewhere = near.join(lists.select("group", "list_id", "ids", "block"), ["group", "list_id"]).select("ids", "block", "q_ids", "q_block", "q_r2").mapInArrow(search, ddl)
     at_home = lists.filter("n_queries > 0").select("own_q", "own_id", "own_d").mapInArrow(own, ddl)
-    # Each list sent at most k per query, so a query's candidates are few.
     merged = at_home.unionByName(elsewhere).groupBy("query", "neighbour").agg(F.min("d2").alias("d2"))
-    top = merged.groupBy("query").agg(F.slice(F.sort_array(F.collect_list(F.struct("d2", "neighbour"))), 1, k).alias("top"))
-    return top.select("query", F.posexplode("top").alias("rank", "hit")).select("query", F.col("hit.neighbour").alias("neighbour"), F.sqrt("hit.d2").alias("distance"), (F.col("rank") + 1).alias("rank"))
+    # the k best of each task go on, so a query's candidates never come together
+    nth = F.row_number().over(W.partitionBy("query").orderBy("d2", "neighbour"))
+    return merged.withColumn("rank", nth).filter(F.col("rank") <= k).select("query", "neighbour", F.sqrt("d2").alias("distance"), "rank")
