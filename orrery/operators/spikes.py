@@ -19,8 +19,9 @@ from orrery.session import materialize
 SKETCH_K = 4096
 #: Entries in a block, and entries of its neighbours that each block sees on either side.
 BLOCK, MARGIN = 4096, 32
-#: Half width of the running median that finds candidates, and the most entries in a row that can be off together.
-HALF_WINDOW, MAX_GROUP = 5, 5
+#: Half width of the running median that finds candidates, and the most entries in a row that are off together; more of
+#: them agree with each other and are a track of their own.
+HALF_WINDOW, MAX_TOGETHER = 5, 10
 
 
 def hour_sketches(df: DataFrame, source: list[str], hour: Column, value: Column) -> DataFrame:
@@ -70,7 +71,8 @@ def off_track(t: np.ndarray, p: np.ndarray, usual: float, steps: float) -> np.nd
     """True where an entry lies at least `steps` usual steps off the line from the entry before to the one after it.
 
     Candidates lie off the running median of their neighbours. The line is drawn between the nearest entries that are
-    no candidates; these must agree, that is, lie nearer to each other than the candidate lies to the line.
+    no candidates; these must agree, that is, lie nearer to each other than the candidate lies to the line. More than
+    MAX_TOGETHER candidates in a row are no spike.
     """
     n = len(p)
     if n < 3 or not np.isfinite(usual) or usual <= 0:
@@ -93,7 +95,7 @@ def off_track(t: np.ndarray, p: np.ndarray, usual: float, steps: float) -> np.nd
     share = ((t[idx] - t[a]) / span)[:, None]
     away = np.linalg.norm(p[idx] - (p[a] + share * (p[b] - p[a])), axis=1)
     apart = np.linalg.norm(p[b] - p[a], axis=1)
-    out[idx] = (away >= far) & (apart < np.maximum(away, 2 * far)) & (b - a - 1 <= 2 * MAX_GROUP)
+    out[idx] = (away >= far) & (apart < np.maximum(away, 2 * far)) & (b - a - 1 <= MAX_TOGETHER)
     return out
 
 
@@ -109,7 +111,7 @@ def flag_track(entries: DataFrame, steps: float = 10.0, bound: float = 3000.0, r
     source = ["recording", "cam"]
     named = [F.coalesce(c, F.lit("")).alias(c) for c in source]
     clean = entries.filter(F.col("ts").isNotNull() & F.col("p").isNotNull()).select(*named, "name", "ts", "p").withColumn("hour", F.date_trunc("hour", "ts"))
-    by_time = W.partitionBy(*source, "hour").orderBy("ts", "name", F.hash("p"))
+    by_time = W.partitionBy(*source, "hour").orderBy("ts", "name", "p")
     seen = F.lag("name").over(by_time)
     distinct = clean.withColumn("_seen", seen).filter(F.col("_seen").isNull() | (F.col("_seen") != F.col("name"))).drop("_seen")
     x, y, z = (F.element_at("p", i) for i in (1, 2, 3))

@@ -97,6 +97,47 @@ k AS (SELECT file_id, payload, rec, regexp_replace(regexp_replace(q, '[^/]*$', '
   regexp_replace(regexp_replace(q, '^.*/', ''), '(\s+|\.(jpe?g|png|bak)|_copy| \([0-9]+\))+$', '') AS frame FROM c)
 """
 
+P2_REPORT = """
+WITH s AS (SELECT seam_id, rtrim(trim(coalesce(dataset, '')), '/') AS recording, coalesce(cam, '') AS cam, run_no, chunk, min(centre_gap_med) AS v
+  FROM poses_report WHERE centre_gap_med IS NOT NULL AND seam_id IS NOT NULL GROUP BY 1, 2, 3, 4, 5),
+q AS (SELECT recording, cam, quantile_disc(v, 0.25) AS q1, quantile_disc(v, 0.5) AS med, quantile_disc(v, 0.75) AS q3 FROM s WHERE isfinite(v) GROUP BY 1, 2),
+o AS (SELECT *, CASE WHEN lag(v) OVER w = v THEN 0 ELSE 1 END AS new FROM s WINDOW w AS (PARTITION BY recording, cam ORDER BY run_no, chunk, seam_id)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY recording, cam ORDER BY run_no, chunk, seam_id) AS run FROM o),
+l AS (SELECT *, count(*) OVER (PARTITION BY recording, cam, run) AS len FROM g),
+r AS (SELECT l.recording, l.cam, seam_id, v AS centre_gap_med, concat_ws(',', CASE WHEN NOT isfinite(v) OR v < 0 THEN 'impossible' END,
+  CASE WHEN isfinite(v) AND v > 5 * med THEN 'fence' END, CASE WHEN len >= 5 AND NOT isnan(v) THEN 'stuck' END) AS reason, q3 + 3 * (q3 - q1) AS outer_fence
+  FROM l JOIN q ON l.recording = q.recording AND l.cam = q.cam)
+"""
+
+#: The rule written out on whole sequences: running median, line between the calm entries around, runs of equal components.
+P2_POSES = r"""
+WITH e0 AS (SELECT rtrim(trim(coalesce(dataset, '')), '/') AS recording, unnest(frames) AS f FROM poses),
+e1 AS (SELECT recording, f.name AS name, coalesce(upper(f.name[1]), '') AS cam, f.p AS p,
+  try_strptime(regexp_extract(f.name, '^[A-Za-z]_(\d{4}_\d{2}_\d{2}_\d{2}_\d{2}_\d{2}_\d{6})', 1), '%Y_%m_%d_%H_%M_%S_%f') AS ts FROM e0 WHERE f.p IS NOT NULL),
+e AS (SELECT DISTINCT ON (recording, cam, name) * FROM e1 WHERE ts IS NOT NULL ORDER BY recording, cam, name, p),
+c AS (SELECT recording, cam, name, ts, coalesce(p[1], 'nan'::DOUBLE) AS x, coalesce(p[2], 'nan'::DOUBLE) AS y, coalesce(p[3], 'nan'::DOUBLE) AS z FROM e),
+n AS (SELECT *, abs(x) <= 3000 AND abs(y) <= 3000 AND abs(z) <= 3000 AS good, row_number() OVER (PARTITION BY recording, cam ORDER BY ts, name) AS pos FROM c),
+st AS (SELECT recording, cam, sqrt((x - lag(x) OVER h)**2 + (y - lag(y) OVER h)**2 + (z - lag(z) OVER h)**2) AS step, good AND lag(good) OVER h AS ok
+  FROM n WINDOW h AS (PARTITION BY recording, cam, date_trunc('hour', ts) ORDER BY ts, name)),
+u AS (SELECT recording, cam, quantile_disc(step, 0.5) AS usual FROM st WHERE ok GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY recording, cam ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY recording, cam) AS m FROM n WHERE good),
+w AS (SELECT a.recording, a.cam, a.i, median(b.x) AS mx, median(b.y) AS my, median(b.z) AS mz FROM k a, (SELECT unnest(range(-5, 6)) AS o) t, k b
+  WHERE abs(o) <= (a.m - 1) // 2 AND b.recording = a.recording AND b.cam = a.cam AND b.i = CASE WHEN abs(a.i + o) > a.m - 1 THEN 2 * (a.m - 1) - abs(a.i + o) ELSE abs(a.i + o) END GROUP BY 1, 2, 3),
+s AS (SELECT k.*, usual, sqrt((x - mx)**2 + (y - my)**2 + (z - mz)**2) >= 5 * usual AS suspect FROM k JOIN w ON k.recording = w.recording AND k.cam = w.cam AND k.i = w.i JOIN u ON u.recording = k.recording AND u.cam = k.cam WHERE m >= 3 AND usual > 0),
+b AS (SELECT *, max(CASE WHEN NOT suspect THEN i END) OVER (PARTITION BY recording, cam ORDER BY i) AS ia, min(CASE WHEN NOT suspect THEN i END) OVER (PARTITION BY recording, cam ORDER BY i DESC) AS ib FROM s),
+d AS (SELECT b.recording, b.cam, b.name, b.usual, sqrt((b.x - p.x - t*(q.x - p.x))**2 + (b.y - p.y - t*(q.y - p.y))**2 + (b.z - p.z - t*(q.z - p.z))**2) AS away,
+  sqrt((q.x - p.x)**2 + (q.y - p.y)**2 + (q.z - p.z)**2) AS apart, ib - ia - 1 AS together
+  FROM (SELECT b.*, (epoch_us(b.ts) - epoch_us(p.ts)) / greatest(epoch_us(q.ts) - epoch_us(p.ts), 1e-3)::DOUBLE AS t FROM b JOIN k p ON p.recording = b.recording AND p.cam = b.cam AND p.i = ia JOIN k q ON q.recording = b.recording AND q.cam = b.cam AND q.i = ib WHERE suspect) b
+  JOIN k p ON p.recording = b.recording AND p.cam = b.cam AND p.i = ia JOIN k q ON q.recording = b.recording AND q.cam = b.cam AND q.i = ib),
+off_track AS (SELECT recording, cam, name FROM d WHERE away >= 10 * usual AND apart < greatest(away, 20 * usual) AND together <= 10),
+axes AS (SELECT recording, cam, name, pos, unnest([{'a': 1, 'v': x}, {'a': 2, 'v': y}, {'a': 3, 'v': z}]) AS o FROM n),
+cut AS (SELECT recording, cam, name, pos, o.a AS a, o.v AS v, CASE WHEN lag(o.v) OVER r = o.v AND NOT isnan(o.v) THEN 0 ELSE 1 END AS new FROM axes WINDOW r AS (PARTITION BY recording, cam, o.a ORDER BY pos)),
+runs AS (SELECT *, sum(new) OVER (PARTITION BY recording, cam, a ORDER BY pos) AS run FROM cut),
+stuck AS (SELECT DISTINCT recording, cam, name FROM (SELECT *, count(*) OVER (PARTITION BY recording, cam, a, run) AS len FROM runs) WHERE len >= 5),
+f AS (SELECT n.recording, n.cam, n.name, concat_ws(',', CASE WHEN NOT coalesce(good, false) THEN 'impossible' END, CASE WHEN o.name IS NOT NULL THEN 'off_track' END, CASE WHEN k.name IS NOT NULL THEN 'stuck' END) AS reason
+  FROM n LEFT JOIN off_track o ON n.recording = o.recording AND n.cam = o.cam AND n.name = o.name LEFT JOIN stuck k ON n.recording = k.recording AND n.cam = k.cam AND n.name = k.name)
+"""
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_compaction": p1_compaction,
@@ -121,6 +162,10 @@ SELECT n.recording, n.tree_key, n_files, n_files AS n_small, n_records, CAST(cei
     + """, t AS (SELECT rec AS recording, split_part(folder, '/', 1) AS tree_key, folder, frame, payload FROM k),
 big AS (SELECT recording, tree_key FROM t GROUP BY 1, 2 HAVING count(*) > 40)
 SELECT recording, tree_key, count(*) AS n_records FROM (SELECT DISTINCT t.* FROM t JOIN big USING (recording, tree_key)) GROUP BY 1, 2""",
+    "p2_report": P2_REPORT + "SELECT * FROM r WHERE reason <> ''",
+    "p2_poses": P2_POSES + "SELECT * FROM f WHERE reason <> ''",
+    "p2_found": P2_POSES + ", " + P2_REPORT.split("WITH ", 1)[1].replace("s AS", "rs AS", 1).replace("FROM s", "FROM rs").replace("o AS (SELECT *", "ro AS (SELECT *").replace("FROM o)", "FROM ro)")
+    + "SELECT DISTINCT 'poses' AS tab, name AS rec_key FROM f WHERE reason <> '' UNION ALL SELECT DISTINCT 'poses_report', seam_id::VARCHAR FROM r WHERE reason <> ''",
     "p3_found": P3_ORPHANS + "SELECT DISTINCT id AS job_id FROM orphan",
     "p3_report": P3_ORPHANS
     + """SELECT 'jobs' AS tab, CAST(make_timestamp(CAST(floor(t) * 1000000 AS BIGINT)) AS DATE) AS day,
