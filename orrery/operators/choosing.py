@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def _schema(df: DataFrame, by: Sequence[str], key: str, more: str) -> str:
@@ -46,6 +47,22 @@ def auto_views(candidates: DataFrame, by: Sequence[str], k: int = 8, near: int =
     return candidates.groupBy(*by).applyInPandas(run, _schema(candidates, by, "name", "rank long, worth double"))
 
 
+def view_quality(views: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Adds rel_sol, rel_sharp, shape_ok, ok and score: how each view agrees with the medians of its set.
+
+    views: by, solidity, sharp, ncc (pieces), aspect, fill, orig_px, manual. A view agrees if it is at least 0.75 as solid
+    and 0.35 as sharp as the median, has at most three pieces, and aspect and fill within a factor of 1.8. Medians are of
+    a set of views of one object, which is small; a median of 0 counts as 1, that of solidity as almost 0.
+    """
+    med = views.groupBy(*by).agg(*[F.median(c).alias("_" + c) for c in ("solidity", "sharp", "aspect", "fill")])
+    rel = lambda c: F.col(c) / F.greatest(F.when(F.col("_" + c) == 0, 1.0).otherwise(F.col("_" + c)), F.lit(1e-6))
+    both = views.join(med, list(by)).withColumn("rel_sol", F.col("solidity") / F.greatest("_solidity", F.lit(1e-6))).withColumn("rel_sharp", rel("sharp"))
+    shape = rel("aspect").between(1 / 1.8, 1.8) & rel("fill").between(1 / 1.8, 1.8)
+    ok = (F.col("rel_sol") >= 0.75) & (F.col("rel_sharp") >= 0.35) & (F.col("ncc") <= 3) & F.col("shape_ok")
+    score = F.least("rel_sol", F.lit(1.2)) * F.sqrt(F.least("rel_sharp", F.lit(1.5))) * F.sqrt("orig_px") * F.when(F.col("manual"), 1.15).otherwise(1.0)
+    return both.withColumn("shape_ok", shape).withColumn("ok", ok).withColumn("score", score).drop("_solidity", "_sharp", "_aspect", "_fill")
+
+
 def quality_views(candidates: DataFrame, by: Sequence[str], k: int = 8) -> DataFrame:
     """by, name, rank: up to k good views, the best first, each weighed down where its side is covered already.
 

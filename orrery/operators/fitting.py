@@ -13,6 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.operators.spatial import quantiles
+from orrery.session import materialize
+
 XYZ = ("x", "y", "z")
 
 
@@ -70,18 +73,23 @@ def partial_hulls(points: DataFrame, by: Sequence[str], u: str, v: str) -> DataF
 
 
 def oriented_box(points: DataFrame, by: Sequence[str], up: str = "y") -> DataFrame:
-    """by, cx, cy, cz, length, height, width, yaw, ground, n: an upright box around each group's points.
+    """by, cx, cy, cz, length, height, width, yaw, ground, n, q: an upright box around each group's points.
 
     Ground is the 2nd percentile of height; the footprint is the smallest rectangle of the points more than 0.02 above
-    ground, or of all points if fewer than 12 are; the top is the 97th percentile of height. Yaw turns the long side in
-    the plane of the two other axes. NaN and null coordinates take no part. A group of one point has sides of 0.
+    ground, or of all points if fewer than 12 are; the top is the 97th percentile of height of the points over the
+    footprint, with a margin of 2 %, or of all points if fewer than 12 are. Yaw turns the long side in the plane of the two
+    other axes; q (w, x, y, z) is the rotation to the axes long, up, across. NaN and null coordinates take no part. A group
+    of one point has sides of 0.
     """
     a, b = [c for c in XYZ if c != up]
     clean = points.filter(" and ".join(f"{c} is not null and not isnan({c})" for c in XYZ)).select(*by, *[F.col(c).cast("double").alias(c) for c in XYZ])
-    level = clean.groupBy(*by).agg(F.percentile(up, 0.02).alias("ground"), F.percentile(up, 0.97).alias("top"), F.count("*").alias("n"))
-    above = clean.join(level.select(*by, "ground"), list(by)).withColumn("body", F.col(up) > F.col("ground") + 0.02)
-    enough = above.groupBy(*by).agg(F.count(F.when(F.col("body"), 1)).alias("n_body"))
-    foot = above.join(enough, list(by)).filter(F.col("body") | (F.col("n_body") < 12))
+    clean = materialize(clean, "box-points")
+    n = clean.groupBy(*by).agg(F.count("*").alias("n"))
+    level = materialize(quantiles(clean, by, {"ground": (up, 0.02), "top": (up, 0.97)}).join(n, list(by)), "box-level")
+    body = clean.join(level.select(*by, "ground"), list(by)).withColumn("body", F.col(up) > F.col("ground") + 0.02)
+    body = materialize(body, "box-body")
+    enough = body.groupBy(*by).agg(F.count(F.when(F.col("body"), 1)).alias("n_body"))
+    foot = body.join(enough, list(by)).filter(F.col("body") | (F.col("n_body") < 12))
     types = dict(clean.dtypes)
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in by), "ca double, cb double, length double, width double, yaw double"])
 
@@ -90,10 +98,20 @@ def oriented_box(points: DataFrame, by: Sequence[str], up: str = "y") -> DataFra
         head = pdf[list(by)].iloc[[0]].astype(object)
         return head.assign(ca=centre[0], cb=centre[1], length=length, width=width, yaw=yaw)
 
-    rect = partial_hulls(foot, by, a, b).groupBy(*by).applyInPandas(rectangle, schema)
-    height = F.greatest(F.col("top") - F.col("ground"), F.lit(0.0))
+    rect = materialize(partial_hulls(foot, by, a, b).groupBy(*by).applyInPandas(rectangle, schema), "box-foot")
+    da, db = F.col(a) - F.col("ca"), F.col(b) - F.col("cb")
+    along, across = da * F.cos("yaw") + db * F.sin("yaw"), db * F.cos("yaw") - da * F.sin("yaw")
+    over = body.join(rect, list(by)).filter((F.abs(along) < F.col("length") / 2 * 1.02) & (F.abs(across) < F.col("width") / 2 * 1.02)).select(*by, up)
+    over = materialize(over, "box-over")
+    members = over.groupBy(*by).agg(F.count("*").alias("n_over")).filter("n_over >= 12")
+    high = quantiles(over, by, {"high": (up, 0.97)}).join(members, list(by), "left_semi")
+    whole = rect.join(level, list(by)).join(high, list(by), "left")
+    height = F.greatest(F.coalesce("high", "top") - F.col("ground"), F.lit(0.0))
     place = {a: F.col("ca"), b: F.col("cb"), up: F.col("ground") + height / 2}
-    return rect.join(level, list(by)).select(*by, *[place[c].alias("c" + c) for c in XYZ], "length", height.alias("height"), "width", "yaw", "ground", "n")
+    # the turn in the plane a, b is about the up axis; its sense depends on whether a, b, up is a right-handed order
+    turn = F.col("yaw") / 2 * (-1.0 if up == "y" else 1.0)
+    q = F.array(F.cos(turn), *[F.sin(turn) if c == up else F.lit(0.0) for c in XYZ])
+    return whole.select(*by, *[place[c].alias("c" + c) for c in XYZ], "length", height.alias("height"), "width", "yaw", "ground", "n", q.alias("q"))
 
 
 def _solve(name: str, arrays: list[Column], solve, out: str) -> Column:
@@ -106,10 +124,14 @@ def _solve(name: str, arrays: list[Column], solve, out: str) -> Column:
     return run(F.array(*arrays)).alias(name)
 
 
-def principal_axes(points: DataFrame, by: Sequence[str]) -> DataFrame:
-    """by, n, values (descending), axes (three unit vectors, flattened; largest component positive) of the covariance."""
+def principal_axes(points: DataFrame, by: Sequence[str], means: bool = False) -> DataFrame:
+    """by, n, values (descending), axes (three unit vectors, flattened; largest component positive) of the covariance.
+
+    With means also mx, my, mz, from the same pass.
+    """
     pairs = [(p, q) for i, p in enumerate(XYZ) for q in XYZ[i:]]
-    m = points.groupBy(*by).agg(F.count("*").alias("n"), *[F.covar_pop(p, q).alias(p + q) for p, q in pairs])
+    middle = [F.avg(c).alias("m" + c) for c in XYZ] if means else []
+    m = points.groupBy(*by).agg(F.count("*").alias("n"), *middle, *[F.covar_pop(p, q).alias(p + q) for p, q in pairs])
 
     def eig(v: np.ndarray) -> list[float]:
         xx, xy, xz, yy, yz, zz = v
@@ -118,8 +140,9 @@ def principal_axes(points: DataFrame, by: Sequence[str]) -> DataFrame:
         e = e * np.sign(e[np.abs(e).argmax(0), range(3)])
         return [*w.tolist(), *e.T.ravel().tolist()]
 
-    s = m.select(*by, "n", _solve("s", [F.col(p + q) for p, q in pairs], eig, "array<double>"))
-    return s.select(*by, "n", F.slice("s", 1, 3).alias("values"), F.slice("s", 4, 9).alias("axes"))
+    middle = ["mx", "my", "mz"] if means else []
+    s = m.select(*by, "n", *middle, _solve("s", [F.col(p + q) for p, q in pairs], eig, "array<double>"))
+    return s.select(*by, "n", *middle, F.slice("s", 1, 3).alias("values"), F.slice("s", 4, 9).alias("axes"))
 
 
 def nearest_rotation(m: np.ndarray) -> np.ndarray:
@@ -139,15 +162,17 @@ def align_vectors(pairs: DataFrame, by: Sequence[str], a: Sequence[str], b: Sequ
 
     Each round is an aggregation of nine sums and a percentile per group.
     """
+    pairs = materialize(pairs, "align-pairs")
     current = pairs.withColumn("_keep", F.lit(True))
     for _ in range(rounds):
         kept = current.filter("_keep")
         sums = kept.groupBy(*by).agg(*[F.sum(F.col(weight) * F.col(q) * F.col(p)).alias(f"_m{i}{j}") for i, q in enumerate(b) for j, p in enumerate(a)], F.count("*").alias("n"))
         r = sums.select(*by, "n", _solve("r", [F.col(f"_m{i}{j}") for i in range(3) for j in range(3)], lambda v: nearest_rotation(v.reshape(3, 3)).ravel().tolist(), "array<double>"))
+        r = materialize(r, "align-model")  # a row per group
         turned = [sum((F.col("r")[3 * i + j] * F.col(p) for j, p in enumerate(a)), F.lit(0.0)) for i in range(3)]
         cosine = sum((t * F.col(q) for t, q in zip(turned, b)), F.lit(0.0))
         angled = pairs.join(r, list(by)).withColumn("_deg", F.degrees(F.acos(F.least(F.greatest(cosine, F.lit(-1.0)), F.lit(1.0)))))
-        med = angled.groupBy(*by).agg(F.median("_deg").alias("median_deg"))
+        med = materialize(angled.groupBy(*by).agg(F.median("_deg").alias("median_deg")), "align-median")
         judged = angled.join(med, list(by)).withColumn("_keep", F.col("_deg") < F.greatest(F.lit(floor_deg), 2.5 * F.col("median_deg")))
         current = judged.select(*pairs.columns, "_keep")
     return r.join(med, list(by))
@@ -159,7 +184,7 @@ def similarity(pairs: DataFrame, by: Sequence[str], a: Sequence[str] = ("ax", "a
     After each fit, pairs farther off than three times the median residual are left out of the next one. Groups of fewer
     than three pairs, and degenerate ones, give null.
     """
-    kept = pairs
+    kept = pairs = materialize(pairs, "similarity-pairs")
     for i in range(refits + 1):
         mean = [F.avg(c).alias("m" + c) for c in (*a, *b)]
         cross = [F.covar_pop(p, q).alias(f"c{p}_{q}") for p in a for q in b]
@@ -177,23 +202,25 @@ def similarity(pairs: DataFrame, by: Sequence[str], a: Sequence[str] = ("ax", "a
             return [scale, *r.ravel().tolist(), *(mb - scale * r @ ma).tolist()]
 
         cols = [F.col("n").cast("double"), *[F.col("m" + c) for c in (*a, *b)], *[F.col(f"c{p}_{q}") for p in a for q in b], F.col("spread")]
-        sol = m.select(*by, "n", _solve("f", cols, fit, "array<double>"))
+        sol = materialize(m.select(*by, "n", _solve("f", cols, fit, "array<double>")), "similarity-model")  # a row per group
         if i == refits:
             return sol.select(*by, F.col("f")[0].alias("s"), F.slice("f", 2, 9).alias("r"), F.slice("f", 11, 3).alias("t"), "n")
         moved = [F.col("f")[0] * sum((F.col("f")[1 + 3 * k + j] * F.col(p) for j, p in enumerate(a)), F.lit(0.0)) + F.col("f")[10 + k] for k in range(3)]
         res = F.sqrt(sum(((x - F.col(q)) ** 2 for x, q in zip(moved, b)), F.lit(0.0)))
         ranged = pairs.join(sol.select(*by, "f"), list(by)).withColumn("_res", res)
-        med = ranged.groupBy(*by).agg(F.median("_res").alias("_med"))
+        med = materialize(ranged.groupBy(*by).agg(F.median("_res").alias("_med")), "similarity-median")
         kept = ranged.join(med, list(by)).filter((F.col("_res") <= 3 * F.col("_med") + 1e-9) | F.col("_res").isNull()).select(*pairs.columns)
 
 
-def ground_plane(points: DataFrame, by: Sequence[str], up: Sequence[float] = (0.0, 1.0, 0.0), tolerance: float = 0.1, hypotheses: int = 64, refits: int = 3) -> DataFrame:
+def ground_plane(points: DataFrame, by: Sequence[str], up: Sequence[float] = (0.0, 1.0, 0.0), tolerance: float = 0.1, hypotheses: int = 300, refits: int = 3) -> DataFrame:
     """by, nx, ny, nz, offset, share: the plane with most points within tolerance, tilted at most 20 degrees from up.
 
     Candidate planes go through the first points of each group by hash, three apiece; all points vote on them, counted
-    map-side; the winner is refitted to its points by moments. Groups of fewer than 3 points give no row.
+    map-side; the winner is refitted to its points by moments. Groups of fewer than 3 points, and those without a candidate
+    near enough to level, give no row.
     """
     cols = ["x", "y", "z"]
+    points = materialize(points.select(*by, *cols), "plane-points")
     few = _seeds(points, by, 3 * hypotheses)
     vec_up = np.asarray(up, float) / np.linalg.norm(up)
     types = dict(points.dtypes)
@@ -220,13 +247,14 @@ def ground_plane(points: DataFrame, by: Sequence[str], up: Sequence[float] = (0.
     distance = lambda h: F.abs(F.col("x") * h["nx"] + F.col("y") * h["ny"] + F.col("z") * h["nz"] - h["offset"])
     votes = voted.groupBy(*by, "h").agg(F.count(F.when(distance(F.col("h")) < tolerance, 1)).alias("votes"))
     plane = votes.groupBy(*by).agg(F.max_by("h", F.struct("votes", -F.col("h.hyp"))).alias("h")).select(*by, *[F.col(f"h.{c}").alias(c) for c in ("nx", "ny", "nz", "offset")])
+    plane = materialize(plane, "plane-voted")  # a row per group, here and after each refit
     for _ in range(refits):
         near = points.join(plane, list(by)).filter(F.abs(F.col("x") * F.col("nx") + F.col("y") * F.col("ny") + F.col("z") * F.col("nz") - F.col("offset")) < tolerance)
-        axes = principal_axes(near.select(*by, *cols), by)
-        means = near.groupBy(*by).agg(*[F.avg(c).alias("m" + c) for c in cols])
+        axes = principal_axes(near.select(*by, *cols), by, means=True)
         side = F.when(sum((F.col("axes")[6 + i] * float(u) for i, u in enumerate(vec_up)), F.lit(0.0)) < 0, -1.0).otherwise(1.0)
-        flat = axes.join(means, list(by)).select(*by, *[(F.col("axes")[6 + i] * side).alias("n" + c) for i, c in enumerate(cols)], "mx", "my", "mz")
+        flat = axes.select(*by, *[(F.col("axes")[6 + i] * side).alias("n" + c) for i, c in enumerate(cols)], "mx", "my", "mz")
         plane = flat.select(*by, "nx", "ny", "nz", (F.col("nx") * F.col("mx") + F.col("ny") * F.col("my") + F.col("nz") * F.col("mz")).alias("offset"))
+        plane = materialize(plane, "plane-refit")
     hit = F.abs(F.col("x") * F.col("nx") + F.col("y") * F.col("ny") + F.col("z") * F.col("nz") - F.col("offset")) < tolerance
     share = points.join(plane, list(by)).groupBy(*by).agg(F.avg(hit.cast("double")).alias("share"))
     return plane.join(share, list(by))

@@ -73,8 +73,9 @@ def large_components(labelled: DataFrame, share: float) -> DataFrame:
     """component, n: those with at least `share` of all nodes, largest first in `rank`."""
     n = labelled.groupBy("component").agg(F.count("*").alias("n"))
     total = n.agg(F.sum("n").alias("total"))  # one row
+    # at most 1 / share components are left, so one task ranks them
     kept = n.crossJoin(F.broadcast(total)).filter(F.col("n") >= share * F.col("total")).drop("total")
-    return kept.withColumn("rank", F.row_number().over(W.orderBy(F.desc("n"), "component")))
+    return kept.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("n"), "component")))
 
 
 def merge_small(labelled: DataFrame, adjacent: DataFrame, node: str, share: float, rounds: int = 6) -> DataFrame:

@@ -9,12 +9,19 @@ ANGLES = {90: (0, 0), 45: (0, 1), 135: (1, 0), 0: (1, 1)}
 
 
 def unpack12(data: bytes, width: int, height: int, stride: int) -> np.ndarray:
-    """12-bit pixels of packed rows: three bytes hold two pixels, the third byte their low nibbles (first pixel's low)."""
-    rows = np.frombuffer(data, np.uint8)
-    if rows.size != height * stride:
-        raise ValueError(f"{rows.size} bytes, not {height * stride}")
-    b = rows.reshape(height, stride)[:, : width * 3 // 2].reshape(height, width // 2, 3).astype(np.int32)
-    return np.stack([b[..., 0] * 16 + b[..., 2] % 16, b[..., 1] * 16 + b[..., 2] // 16], axis=-1).reshape(height, width)
+    """12-bit pixels of packed rows, by their format: every three bytes are one 24-bit word of four half bytes for the first
+    pixel's upper part, four for the second's, then the second's low four bits and the first's."""
+    if len(data) != height * stride:
+        raise ValueError(f"{len(data)} bytes, not {height * stride}")
+    image = np.empty((height, width), np.int32)
+    for y in range(height):
+        line = np.frombuffer(data, np.uint8, width * 3 // 2, y * stride)
+        word = np.zeros(len(line) // 3, np.int32)
+        for byte in range(3):
+            word = word * 256 + line[byte::3]
+        image[y, 1::2] = word // 16 % 4096
+        image[y, ::2] = word // 65536 * 16 + word % 16
+    return image
 
 
 def pack12(image: np.ndarray, stride: int) -> bytes:

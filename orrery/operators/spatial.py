@@ -9,8 +9,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orrery.functions.geometry import voxel_key
+from orrery.session import materialize
 
 XYZ = ("x", "y", "z")
+#: Points of one voxel that meet in one group of a radius join.
+SLOT = 2048
 
 
 def _key(side: float, axes: Sequence[str] = XYZ) -> Column:
@@ -54,15 +57,51 @@ def bounds(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return points.groupBy(*by).agg(*[f(a).alias(f"{n}{a}") for a in XYZ for n, f in (("lo", F.min), ("hi", F.max))], F.count("*").alias("n"))
 
 
+#: Items on a sketch's lowest level, and how far its bounds reach around a quantile, in ranks; its error is far below.
+SKETCH_K, REACH = 4096, 0.003
+
+
+def quantiles(rows: DataFrame, by: Sequence[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """by and one column per entry (column, share) of wanted: exact quantiles, interpolated between the two nearest values.
+
+    A mergeable sketch brackets each quantile; only the values between the brackets, a few in a thousand, are put in
+    order, so no task holds a group's distinct values. Nulls do not count. rows is read twice: pass what is written.
+    """
+    spec = {n: (F.col(c).cast("double"), q) for n, (c, q) in wanted.items()}
+    cols = list(dict.fromkeys(c for c, _ in wanted.values()))
+    sketch = rows.groupBy(*by).agg(*[f(c) for c in cols for f in (lambda c: F.kll_sketch_agg_double(F.col(c).cast("double"), F.lit(SKETCH_K)).alias("_s" + c), lambda c: F.count(c).alias("_n" + c), lambda c: F.min(F.col(c).cast("double")).alias("_l" + c), lambda c: F.max(F.col(c).cast("double")).alias("_h" + c))])
+    read = lambda c, q: F.kll_sketch_get_quantile_double("_s" + c, F.lit(float(min(max(q, 0.0), 1.0))))
+    edge = []
+    for n, (c, q) in wanted.items():
+        few = F.col("_n" + c) <= SKETCH_K  # all values are between the brackets
+        edge += [F.when(few, F.col("_l" + c)).otherwise(F.col("_l" + c) if q <= REACH else read(c, q - REACH)).alias("_lo" + n)]
+        edge += [F.when(few, F.col("_h" + c)).otherwise(F.col("_h" + c) if q >= 1 - REACH else read(c, q + REACH)).alias("_hi" + n), F.col("_n" + c).alias("_n" + n)]
+    edges = materialize(sketch.select(*by, *edge), "quantile-edges")  # a row per group
+    joined = rows.join(edges, list(by)) if by else rows.crossJoin(F.broadcast(edges))
+    tagged = joined.select(*by, F.explode(F.array(*[F.struct(F.lit(n).alias("q"), c.alias("v"), F.when(c < F.col("_lo" + n), -1).when(c <= F.col("_hi" + n), 0).otherwise(1).alias("side"), F.col("_n" + n).alias("n")) for n, (c, _) in spec.items()])).alias("t")).select(*by, "t.*").filter("v is not null and side < 1")
+    counted = tagged.groupBy(*by, "q", "n", F.when(F.col("side") == 0, F.col("v")).alias("v")).agg(F.count("*").alias("c"))
+    w = W.partitionBy(*by, "q").orderBy(F.col("v").asc_nulls_first())
+    placed = counted.withColumn("upto", F.sum("c").over(w.rowsBetween(W.unboundedPreceding, 0))).filter("v is not null")
+    out = []
+    for n, (_, share) in spec.items():
+        at = (F.col("n") - 1) * share
+        low, high = F.floor(at), F.ceil(at)
+        hit = lambda k: F.min(F.when((F.col("q") == n) & (F.col("upto") > k), F.col("v")))
+        out += [hit(low).alias("_a" + n), hit(high).alias("_b" + n), F.max(F.when(F.col("q") == n, at - low)).alias("_f" + n)]
+    found = placed.groupBy(*by).agg(*out)
+    return found.select(*by, *[(F.col("_a" + n) + (F.col("_b" + n) - F.col("_a" + n)) * F.col("_f" + n)).alias(n) for n in spec])
+
+
 def trim_outliers(points: DataFrame, share: float, by: Sequence[str] = (), slack: float = 0.0) -> DataFrame:
     """Points nearer to their group's median point than the given percentile of these distances (plus slack)."""
-    middle = points.groupBy(*by).agg(*[F.median(a).alias(f"m{a}") for a in XYZ])
+    points = materialize(points, "trim")
+    middle = quantiles(points, by, {f"m{a}": (a, 0.5) for a in XYZ})
     joined = points.join(middle, list(by)) if by else points.crossJoin(F.broadcast(middle))
     r = F.sqrt(sum(((F.col(a) - F.col(f"m{a}")) ** 2 for a in XYZ), F.lit(0.0)))
-    ranged = joined.withColumn("r", r)
-    limit = ranged.groupBy(*by).agg(F.percentile("r", share).alias("limit"))
+    ranged = materialize(joined.withColumn("r", r).drop("mx", "my", "mz"), "trim-ranged")
+    limit = quantiles(ranged, by, {"limit": ("r", share)})
     both = ranged.join(limit, list(by)) if by else ranged.crossJoin(F.broadcast(limit))
-    return both.filter(F.col("r") < F.col("limit") + slack).drop("mx", "my", "mz", "r", "limit")
+    return both.filter(F.col("r") < F.col("limit") + slack).drop("r", "limit")
 
 
 def depth_band(hits: DataFrame, depth: str, by: Sequence[str], low: float = 0.15, below: float = 0.2, above: float = 0.6, least: int = 12) -> DataFrame:
@@ -70,7 +109,8 @@ def depth_band(hits: DataFrame, depth: str, by: Sequence[str], low: float = 0.15
 
     Where fewer than `least` hits are in the band all hits of the group stay.
     """
-    cut = hits.groupBy(*by).agg(F.percentile(depth, low).alias("zlo"))
+    hits = materialize(hits, "band")
+    cut = quantiles(hits, by, {"zlo": (depth, low)})
     joined = hits.join(cut, list(by)) if by else hits.crossJoin(F.broadcast(cut))
     inside = F.col(depth).between(F.col("zlo") - below, F.col("zlo") + above)
     n = joined.groupBy(*by).agg(F.count(F.when(inside, 1)).alias("in_band"))
@@ -101,8 +141,14 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, by: Sequence[s
     """
     a = left.select(*by, F.col("seq").alias("id_a"), *XYZ, F.explode(_around(radius)).alias("key"))
     b = right.select(*by, F.col("seq").alias("id_b"), *[F.col(c).alias(f"o{c}") for c in XYZ], voxel_key([F.col(c) for c in XYZ], radius).alias("key"))
+    # a crowded voxel is cut into slots, each of which meets all that ask for the voxel
+    crowd = b.groupBy(*by, "key").agg(F.ceil(F.count("*") / SLOT).cast("int").alias("slots")).filter("slots > 1")
+    keys = [*by, "key"]
+    slots = F.coalesce("slots", F.lit(1))
+    b = b.join(crowd, keys, "left").withColumn("slot", F.pmod(F.xxhash64("id_b"), slots).cast("int")).drop("slots")
+    a = a.join(crowd, keys, "left").withColumn("slot", F.explode(F.sequence(F.lit(0), slots - 1))).drop("slots")
     d2 = sum(((F.col(c) - F.col(f"o{c}")) ** 2 for c in XYZ), F.lit(0.0))
-    return a.join(b, [*by, "key"]).withColumn("d2", d2).filter((F.col("d2") <= radius * radius) & (F.col("id_a") != F.col("id_b"))).select(*by, "id_a", "id_b", F.sqrt("d2").alias("dist"))
+    return a.join(b, [*keys, "slot"]).withColumn("d2", d2).filter((F.col("d2") <= radius * radius) & (F.col("id_a") != F.col("id_b"))).select(*by, "id_a", "id_b", F.sqrt("d2").alias("dist"))
 
 
 def knn_within(left: DataFrame, right: DataFrame, k: int, radius: float, by: Sequence[str] = ()) -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from orrery.operators.spikes import numbered, with_margins
+from orrery.session import materialize
+
 
 def bracket_join(left: DataFrame, right: DataFrame, by: Sequence[str], values: Sequence[str], max_gap_us: int, bin_us: int = 600_000_000) -> DataFrame:
     """Each left row (by, key, t) with the right rows (by, t, values) before and after it: before.t < t <= after.t.
@@ -35,14 +38,42 @@ def lerp(a: Column, b: Column, share: Column) -> Column:
     return a + (b - a) * share
 
 
+def placed(rows: DataFrame, by: Sequence[str], t: str, order: Sequence[str]) -> DataFrame:
+    """Adds pos, the place of a row in its group by order, which begins with the time t (microseconds or a timestamp).
+
+    Places come from counts per hour, which bound what a task sees by what a camera takes in an hour.
+    """
+    micros = F.unix_micros(t) if dict(rows.dtypes)[t].startswith("timestamp") else F.col(t)
+    return numbered(rows.withColumn("_hour", F.floor(micros / 3_600_000_000)), list(by), "_hour", list(order)).drop("_hour")
+
+
+def in_blocks(rows: DataFrame, margin: int, block: int = 4096) -> DataFrame:
+    """Placed rows in blocks of consecutive ones, each with `margin` rows of its neighbours; own marks a block's own rows."""
+    return with_margins(rows, block, margin)
+
+
+def beside(rows: DataFrame, by: Sequence[str], t: str, order: Sequence[str], columns: dict[str, tuple[str, int]]) -> DataFrame:
+    """Adds columns (name: column, offset) of rows before (negative) and after each row of its group; null beyond the ends."""
+    reach = max(abs(o) for _, o in columns.values())
+    b = in_blocks(placed(rows, by, t, order), reach)
+    w = W.partitionBy(*by, "block").orderBy("pos")
+    near = b.select("*", *[F.lead(c, o).over(w).alias(n) if o > 0 else F.lag(c, -o).over(w).alias(n) for n, (c, o) in columns.items()])
+    return near.filter("own").drop("block", "own")
+
+
 def gap_sessions(rows: DataFrame, by: Sequence[str], t: str, least_us: int, factor: float, order: Sequence[str] = ()) -> DataFrame:
     """Adds session, counted from 0 per group: a new one where the gap exceeds max(least, factor x median gap)."""
-    w = W.partitionBy(*by).orderBy(t, *order)
-    gaps = rows.withColumn("_gap", F.col(t) - F.lag(t).over(w))
+    gaps = beside(rows, by, t, [t, *order], {"_before": (t, -1)}).withColumn("_gap", F.col(t) - F.col("_before")).drop("_before")
+    gaps = materialize(gaps.withColumn("_block", F.floor(F.col("pos") / 4096)), "sessions-gaps")
     usual = gaps.groupBy(*by).agg(F.median("_gap").alias("_usual"))
     cut = (F.col("_gap") > F.greatest(F.lit(float(least_us)), factor * F.col("_usual"))).cast("int")
     marked = gaps.join(usual, list(by)).withColumn("_cut", F.coalesce(cut, F.lit(0)))
-    return marked.withColumn("session", F.sum("_cut").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_gap", "_usual", "_cut")
+    blocks = marked.groupBy(*by, "_block").agg(F.sum("_cut").alias("_cuts"))
+    earlier = F.coalesce(F.sum("_cuts").over(W.partitionBy(*by).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = blocks.select(*by, "_block", earlier.alias("_start"))
+    within = F.sum("_cut").over(W.partitionBy(*by, "_block").orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
+    whole = marked.withColumn("_in", within).join(starts, [*by, "_block"])
+    return whole.withColumn("session", F.col("_start") + F.col("_in")).drop("_gap", "_usual", "_cut", "_block", "_start", "_in", "pos")
 
 
 def merge_short(sessions: DataFrame, by: Sequence[str], least: int) -> DataFrame:
@@ -73,16 +104,16 @@ def merge_short(sessions: DataFrame, by: Sequence[str], least: int) -> DataFrame
 def chunk_windows(rows: DataFrame, by: Sequence[str], order: Sequence[str], size: int, overlap: int) -> DataFrame:
     """Adds chunk: overlapping windows of `size` rows, each sharing `overlap` rows with the next; every row in 1..2 chunks.
 
-    Rows after the last full step belong to the last chunk.
+    Rows after the last full step belong to the last chunk. The order begins with a time.
     """
-    w = W.partitionBy(*by).orderBy(*order)
-    n = F.count("*").over(W.partitionBy(*by))
     step = size - overlap
-    placed = rows.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", n)
+    rows = materialize(rows, "chunks")
+    n = rows.groupBy(*by).agg(F.count("*").alias("_n"))
+    put = placed(rows, by, order[0], order).withColumnRenamed("pos", "_i").join(n, list(by))
     last = F.greatest(F.ceil((F.col("_n") - size) / step), F.lit(0))
     lo = F.least(F.greatest(F.ceil((F.col("_i") - size + 1) / step), F.lit(0)), last)
     hi = F.least(F.floor(F.col("_i") / step), last)
-    return placed.withColumn("chunk", F.explode(F.sequence(lo.cast("int"), hi.cast("int")))).drop("_i", "_n")
+    return put.withColumn("chunk", F.explode(F.sequence(lo.cast("int"), hi.cast("int")))).drop("_i", "_n")
 
 
 def owned(chunked: DataFrame, by: Sequence[str], key: str, order: Sequence[str], overlap: int) -> DataFrame:

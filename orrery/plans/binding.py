@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.functions.names import camera, capture_time, recording
+from orrery.operators.orphans import seconds
 from orrery.session import table
 
 #: Compared as text: the file's statistics leave NaN out, and a filter on numbers is skipped on their strength.
@@ -75,12 +76,12 @@ OBJECTS = "obj AS (SELECT DISTINCT ON (id) * FROM objects)"
 
 
 def jobs(spark: SparkSession, d: str) -> DataFrame:
-    """One row per job id: of several deliveries the one whose status is last in the alphabet."""
+    """One row per job id: of several deliveries the one whose status is last in the alphabet; created in seconds."""
     t = table(spark, d, "jobs")
-    return t.groupBy("id").agg(F.max("status").alias("status"), F.max("object_id").alias("object_id"), F.max("kind").alias("kind"), F.max("created").alias("created"), F.max("hidden").alias("hidden"))
+    return t.groupBy("id").agg(F.max("status").alias("status"), F.max("object_id").alias("object_id"), F.max("kind").alias("kind"), F.max(seconds(F.col("created"))).alias("created"), F.max("hidden").alias("hidden"))
 
 
-JOBS = "job AS (SELECT id, max(status) AS status, max(object_id) AS object_id, max(kind) AS kind, max(created) AS created, max(hidden) AS hidden FROM jobs GROUP BY id)"
+JOBS = "job AS (SELECT id, max(status) AS status, max(object_id) AS object_id, max(kind) AS kind, max(CASE WHEN abs(created) > 1e11 THEN created / 1000 ELSE created END) AS created, max(hidden) AS hidden FROM jobs GROUP BY id)"
 
 
 def pixels(spark: SparkSession, d: str) -> DataFrame:

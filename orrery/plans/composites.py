@@ -9,12 +9,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orrery.functions import geometry as g
-from orrery.operators import fitting, raster, spatial
+from orrery.operators import fitting, raster, spatial, temporal
 from orrery.plans.binding import CLOUD, DEPTH, FACES, FRAMES, OBJECTS, VERTICES, cloud, depth, faces, frames, objects, vertices
 from orrery.plans.projections import ROI, UPRIGHT, _upright, poly_sql, r6, sr
 from orrery.plans.registry import Registry
-from orrery.plans.relations import VIEWS_SQL, views
-from orrery.session import shared_dir, table
+from orrery.plans.relations import STEMS, VIEWS_SQL, stems, views
+from orrery.session import materialize, shared_dir, table
 from orrery.sources import packs
 
 query = Registry()
@@ -38,10 +38,11 @@ def g02(spark, d):
 @query("g04_core_hints", f"WITH {CLOUD}, q AS (SELECT dataset, quantile_cont(y, 0.12) AS ylo, median(x) AS mx, median(z) AS mz FROM cloud GROUP BY dataset), r AS (SELECT c.seq, c.dataset, y > ylo AS high, sqrt((x-mx)**2 + (z-mz)**2) AS r FROM cloud c JOIN q ON c.dataset = q.dataset), l AS (SELECT dataset, quantile_cont(r, 0.7) AS lim FROM r GROUP BY dataset) SELECT seq FROM r JOIN l ON r.dataset = l.dataset WHERE high AND r.r <= lim")
 def g04(spark, d):
     """The core of each pack: without its lowest 12 and its outermost 30 percent."""
-    c = cloud(spark, d)
-    q = c.groupBy("dataset").agg(F.percentile("y", 0.12).alias("ylo"), F.median("x").alias("mx"), F.median("z").alias("mz"))
+    c = materialize(cloud(spark, d).select("seq", "dataset", "x", "y", "z"), "core")
+    q = spatial.quantiles(c, ["dataset"], {"ylo": ("y", 0.12), "mx": ("x", 0.5), "mz": ("z", 0.5)})
     r = c.join(q, "dataset").select("seq", "dataset", (F.col("y") > F.col("ylo")).alias("high"), F.hypot(F.col("x") - F.col("mx"), F.col("z") - F.col("mz")).alias("r"))
-    lim = r.groupBy("dataset").agg(F.percentile("r", 0.7).alias("lim"))
+    r = materialize(r, "core-ranged")
+    lim = spatial.quantiles(r, ["dataset"], {"lim": ("r", 0.7)})
     return r.join(lim, "dataset").filter("high and r <= lim").select("seq")
 
 
@@ -123,16 +124,23 @@ def g21(spark, d):
 @query("f27_not_neighbours", f"WITH {FRAMES}, n AS (SELECT dataset, cam, name, row_number() OVER (PARTITION BY dataset, cam ORDER BY ts, name) - 1 AS i FROM frames) SELECT a.name FROM n a WHERE NOT EXISTS (SELECT 1 FROM n b WHERE b.dataset = a.dataset AND b.cam = a.cam AND abs(a.i - b.i) <= 3 AND b.i % 20 = 0)")
 def f27(spark, d):
     """Frames that are no near neighbours of a chosen one (every twentieth is chosen)."""
-    w = W.partitionBy("dataset", "cam").orderBy("ts", "name")
-    n = frames(spark, d).select("dataset", "cam", "name", (F.row_number().over(w) - 1).alias("i"))
+    n = temporal.placed(frames(spark, d).select("dataset", "cam", "name", "ts"), ["dataset", "cam"], "ts", ["ts", "name"]).withColumnRenamed("pos", "i")
     near = n.filter("i % 20 = 0").select("dataset", "cam", F.explode(F.sequence(F.col("i") - 3, F.col("i") + 3)).alias("i"))
     return n.join(near, ["dataset", "cam", "i"], "left_anti").select("name")
 
 
-@query("f30_mask_score", f"WITH {OBJECTS}, m AS (SELECT id, npts % 100 / 100.0 AS cover, npts % 37 / 37.0 AS outside, npts % 11 / 11.0 AS neg FROM obj WHERE npts IS NOT NULL) SELECT id, {sr('cover*(1 - outside)*(1 - neg)', 'score', 5)} FROM m WHERE NOT (neg > 0.5) AND NOT (cover > 0.7 AND outside > 0.25)")
+MASKS = "m AS (SELECT id, npts % 29 / 29.0 AS s, npts % 2 = 0 AS geo, npts % 13 / 12.0 AS hit, npts % 100 / 100.0 AS cover, npts % 37 / 37.0 AS outside, npts % 11 / 11.0 AS neg, npts % 6 AS n_neg FROM obj WHERE npts IS NOT NULL)"
+
+
+@query("f30_mask_score", f"WITH {OBJECTS}, {MASKS} SELECT id, {sr('s + (CASE WHEN geo THEN 2.0 ELSE 0.6 END)*hit - 1.5*outside - (CASE WHEN cover > 0.55 THEN 1.5 ELSE 0 END) - 2.0*neg', 'score', 5)} FROM m WHERE NOT (neg > 0.5 AND n_neg >= 3) AND NOT (cover > 0.7 AND outside > 0.25)")
 def f30(spark, d):
-    m = objects(spark, d).filter("npts is not null").select("id", (F.col("npts") % 100 / 100.0).alias("cover"), (F.col("npts") % 37 / 37.0).alias("outside"), (F.col("npts") % 11 / 11.0).alias("neg"))
-    return m.filter("not (neg > 0.5) and not (cover > 0.7 and outside > 0.25)").select("id", r6(F.expr("cover*(1 - outside)*(1 - neg)"), "score", 5))
+    """Score of a candidate mask from what it hits and spills; vetoed if most of at least three negatives are inside, or if
+    it nearly fills the box and spills far out of it. The measures stand in for a mask's own."""
+    n = F.col("npts")
+    m = objects(spark, d).filter("npts is not null").select("id", (n % 29 / 29.0).alias("s"), (n % 2 == 0).alias("geo"), (n % 13 / 12.0).alias("hit"), (n % 100 / 100.0).alias("cover"), (n % 37 / 37.0).alias("outside"), (n % 11 / 11.0).alias("neg"), (n % 6).alias("n_neg"))
+    kept = m.filter("not (neg > 0.5 and n_neg >= 3) and not (cover > 0.7 and outside > 0.25)")
+    worth = F.col("s") + F.when(F.col("geo"), 2.0).otherwise(0.6) * F.col("hit") - 1.5 * F.col("outside") - F.when(F.col("cover") > 0.55, 1.5).otherwise(0.0) - 2.0 * F.col("neg")
+    return kept.select("id", r6(worth, "score", 5))
 
 
 @query("f32_mask_pixels", f"WITH {DEPTH} SELECT a.frame, a.u, a.v FROM depth a WHERE EXISTS (SELECT 1 FROM depth b WHERE b.frame = 2 AND b.u = a.u AND b.v = a.v AND b.conf > 100)")
@@ -141,13 +149,10 @@ def f32(spark, d):
     return px.join(px.filter("frame = 2 and conf > 100").select("u", "v"), ["u", "v"], "left_semi").select("frame", "u", "v")
 
 
-@query("f34_complete_recordings", "SELECT rtrim(trim(dataset), '/') AS dataset FROM street_video WHERE tree IS NOT NULL GROUP BY 1 HAVING count(*) FILTER (tree = 'rgb') > 0 AND count(*) FILTER (tree = 'depth') > 0 AND count(*) FILTER (tree = 'layers') > 0")
+@query("f34_complete_recordings", f"WITH {STEMS} SELECT dataset FROM stems GROUP BY dataset HAVING count(*) FILTER (tree = 'rgb') > 0 AND count(*) FILTER (tree = 'depth') > 0 AND count(*) FILTER (tree = 'layers') > 0")
 def f34(spark, d):
-    from orrery.functions.names import recording
-
     n = [F.count(F.when(F.col("tree") == t, 1)).alias(t) for t in ("rgb", "depth", "layers")]
-    t = table(spark, d, "street_video").filter("tree is not null").groupBy(recording(F.col("dataset")).alias("dataset")).agg(*n)
-    return t.filter("rgb > 0 and depth > 0 and layers > 0").select("dataset")
+    return stems(spark, d).groupBy("dataset").agg(*n).filter("rgb > 0 and depth > 0 and layers > 0").select("dataset")
 
 
 @query("o13_painters_order", f"WITH {FACES}, {VERTICES}, c AS (SELECT f.fid, round((a.x + b.x + c.x)*0.6 + (a.y + b.y + c.y)*0.8, 6) AS far FROM faces f JOIN vertices a ON f.a = a.v JOIN vertices b ON f.b = b.v JOIN vertices c ON f.c = c.v) SELECT fid, row_number() OVER (ORDER BY far DESC, fid) AS nth FROM c")
@@ -183,21 +188,16 @@ def s17(spark, d):
     return spark.read.parquet(path).select("frame", F.size("depth").cast("long").alias("n"), r6(F.aggregate("depth", F.lit(0.0), lambda s, x: s + x), "z", 4))
 
 
-@query("s06_unpack_bytes")
+@query("s06_unpack_bytes", "WITH h AS (SELECT file_id, max(hex(payload)) AS h FROM street_video WHERE payload IS NOT NULL GROUP BY file_id), w AS (SELECT file_id, h, [('0x' || substr(h, 6*i + 1, 6))::BIGINT FOR i IN range(0, len(h) // 6)] AS w FROM h) SELECT file_id, CAST(2*len(w) AS BIGINT) AS n_px, CAST(coalesce(list_sum([((x >> 16) << 4) + (x & 15) + ((x >> 4) & 4095) FOR x IN w]), 0) AS BIGINT) AS total, CAST((len(h) // 2) % 3 AS BIGINT) AS rest FROM w")
 def s06(spark, d):
-    """Texts as packed 12-bit rows of 64 pixels: unpacked and summed."""
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for i, t in zip(b["doc_id"], b["text"]):
-                raw = (t or "").encode()
-                raw = raw[: len(raw) // 96 * 96]
-                px = raster.unpack12(raw, 64, len(raw) // 96, 96)
-                out.append((i, px.size, int(px.sum())))
-            yield pd.DataFrame(out, columns=["doc_id", "n_px", "total"]).astype({"n_px": "int64", "total": "int64"})
-
-    return table(spark, d, "documents").select("doc_id", "text").mapInPandas(run, "doc_id long, n_px long, total long")
+    """Payloads as packed 12-bit pixels, without Python: each three bytes are a 24-bit word of two pixels; `rest` is what
+    bytes at the end are no whole word."""
+    h = table(spark, d, "street_video").filter("payload is not null").groupBy("file_id").agg(F.max(F.hex("payload")).alias("h"))
+    words = F.transform(F.sequence(F.lit(0), F.floor(F.length("h") / 6).cast("int")), lambda i: F.conv(F.substring("h", i * 6 + 1, F.lit(6)), 16, 10).cast("long"))
+    w = h.select("file_id", "h", F.slice(words, F.lit(1), F.floor(F.length("h") / 6).cast("int")).alias("w"))
+    pair = lambda x: F.shiftleft(F.shiftright(x, 16), 4) + x.bitwiseAND(F.lit(15)) + F.shiftright(x, 4).bitwiseAND(F.lit(4095))
+    total = F.aggregate("w", F.lit(0).cast("long"), lambda s, x: s + pair(x))
+    return w.select("file_id", (2 * F.size("w")).cast("long").alias("n_px"), total.alias("total"), (F.floor(F.length("h") / 2) % 3).cast("long").alias("rest"))
 
 
 def _pictures(spark, d, kernel, schema):

@@ -10,7 +10,7 @@ from orrery.operators import choosing, fitting, neighbours, spatial, temporal
 from orrery.plans.binding import CLOUD, FRAMES, cloud, frames, objects
 from orrery.plans.projections import r6, sr
 from orrery.plans.registry import Registry
-from orrery.session import shared_dir, table
+from orrery.session import materialize, shared_dir, table
 from orrery.sources import packs, points
 from orrery.streaming import incremental
 
@@ -92,8 +92,7 @@ def _view_candidates(spark, d, least_span: float | None):
     With `least_span` only frames that see the object at least so many pixels large. The reach then grows with the object,
     so objects meet the frames on a grid whose side is the power of two above their reach.
     """
-    w = W.partitionBy("dataset", "cam").orderBy("ts", "name")
-    f = frames(spark, d).select("dataset", "cam", "name", "px", "pz", (F.row_number().over(w) - 1).alias("i"))
+    f = temporal.placed(frames(spark, d).select("dataset", "cam", "name", "ts", "px", "pz"), ["dataset", "cam"], "ts", ["ts", "name"]).drop("ts").withColumnRenamed("pos", "i")
     o = objects(spark, d).dropna(subset=["cx", "cz", "sx"]).select("id", F.coalesce("dataset", F.lit("")).alias("dataset"), "cx", "cz", "sx")
     if least_span is None:
         both = o.join(f, "dataset")
@@ -134,8 +133,8 @@ def g06(spark, d):
 @query("g07_place_asset", f"WITH {CLOUD}, b AS (SELECT dataset, quantile_cont(x, 0.02) AS lx, quantile_cont(x, 0.98) AS hx, quantile_cont(y, 0.02) AS ly FROM cloud GROUP BY dataset) SELECT seq, {sr('(x - (lx + hx)/2)*(4.0/(hx - lx)) + 10', 'x', 4)}, {sr('(y - ly)*(4.0/(hx - lx)) + 1.5', 'y', 4)} FROM cloud c JOIN b ON c.dataset = b.dataset WHERE hx > lx")
 def g07(spark, d):
     """A pack scaled to a box of length 4 and set on its base: percentiles, one similarity, no collection of points."""
-    c = cloud(spark, d)
-    b = c.groupBy("dataset").agg(F.percentile("x", 0.02).alias("lx"), F.percentile("x", 0.98).alias("hx"), F.percentile("y", 0.02).alias("ly")).filter("hx > lx")
+    c = materialize(cloud(spark, d).select("seq", "dataset", "x", "y", "z"), "asset")
+    b = spatial.quantiles(c, ["dataset"], {"lx": ("x", 0.02), "hx": ("x", 0.98), "ly": ("y", 0.02)}).filter("hx > lx")
     k = 4.0 / (F.col("hx") - F.col("lx"))
     return c.join(b, "dataset").select("seq", r6((F.col("x") - (F.col("lx") + F.col("hx")) / 2) * k + 10, "x", 4), r6((F.col("y") - F.col("ly")) * k + 1.5, "y", 4))
 

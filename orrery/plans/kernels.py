@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import geometry as g
 from orrery.functions import polar
-from orrery.operators import mesh, spatial
+from orrery.operators import mesh, spatial, temporal
 from orrery.plans.binding import CLOUD, DEPTH, FACES, FRAMES, OBJECTS, PIXELS, VERTICES, cloud, depth, faces, frames, objects, pixels, vertices
 from orrery.plans.projections import UNP, UNPROJECT, r6, sr, unprojected
 from orrery.plans.registry import Registry
@@ -203,9 +203,10 @@ def g26(spark, d):
 
 @query("g27_looking", f"WITH {FRAMES}, s AS (SELECT dataset, cam, 2*(qx*qz - qw*qy) AS fx, 1 - 2*(qx*qx + qy*qy) AS fz, lead(px) OVER w - lag(px) OVER w AS dx, lead(pz) OVER w - lag(pz) OVER w AS dz FROM frames WINDOW w AS (PARTITION BY dataset, cam ORDER BY ts, name)), m AS (SELECT dataset, cam, median((fx*dx + fz*dz)/sqrt(dx*dx + dz*dz)) AS v FROM s WHERE dx*dx + dz*dz > 0.0625 GROUP BY 1, 2) SELECT dataset, cam, CASE WHEN v > 0.5 THEN 'forward' WHEN v < -0.5 THEN 'back' ELSE 'side' END AS looks FROM m WHERE abs(abs(v) - 0.5) > 1e-6")
 def g27(spark, d):
-    w = W.partitionBy("dataset", "cam").orderBy("ts", "name")
+    """Which way a camera looks: its viewing direction against the direction that it moves in."""
+    near = temporal.beside(frames(spark, d), ["dataset", "cam"], "ts", ["ts", "name"], {f"{n}_{c}": (c, o) for c in ("px", "pz") for n, o in (("after", 1), ("before", -1))})
     f = g.rotation_of(g.vec("q", "wxyz"))[2]
-    s = frames(spark, d).select("dataset", "cam", f[0].alias("fx"), f[2].alias("fz"), *[(F.lead(c).over(w) - F.lag(c).over(w)).alias(n) for c, n in (("px", "dx"), ("pz", "dz"))])
+    s = near.select("dataset", "cam", f[0].alias("fx"), f[2].alias("fz"), *[(F.col("after_" + c) - F.col("before_" + c)).alias(n) for c, n in (("px", "dx"), ("pz", "dz"))])
     m = s.filter("dx*dx + dz*dz > 0.0625").groupBy("dataset", "cam").agg(F.median(F.expr("(fx*dx + fz*dz)/sqrt(dx*dx + dz*dz)")).alias("v"))
     return m.filter("abs(abs(v) - 0.5) > 1e-6").select("dataset", "cam", F.when(F.col("v") > 0.5, "forward").when(F.col("v") < -0.5, "back").otherwise("side").alias("looks"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import geometry as g
 from orrery.functions import names as n
+from orrery.operators import spatial, temporal
 from orrery.plans.binding import CLOUD, DEPTH, FRAMES, INTRINSICS, OBJECTS, PIXELS, cloud, depth, frames, objects, pixels
 from orrery.plans.registry import Registry
 from orrery.session import table
@@ -23,6 +24,10 @@ EYE = {"px": 10.0, "py": 1.5, "pz": -30.0}
 ROI = [(300.0, 200.0), (800.0, 260.0), (900.0, 900.0), (420.0, 1000.0)]
 
 
+#: A fixed turn about the vertical, of boxes.
+TURN = [[0.8, 0.0, 0.6], [0.0, 1.0, 0.0], [-0.6, 0.0, 0.8]]
+
+
 def r6(c, name, places=6):
     return (F.round(c, places) + F.lit(0.0)).alias(name)
 
@@ -104,14 +109,14 @@ def f07(spark, d):
     return cloud(spark, d).select("seq", *[r6(c, a, 5) for c, a in zip(out, "xyz")])
 
 
-@query("f08_asset_chain", f"WITH {CLOUD} SELECT seq, {sr('x', 'x', 5)}, {sr('y', 'y', 5)}, {sr('z', 'z', 5)} FROM cloud")
+@query("f08_asset_chain", f"WITH {CLOUD}, a AS (SELECT seq, 1.7*(0.8*x - 0.6*y) + 1.0 AS ax, 1.7*(0.6*x + 0.8*y) - 2.0 AS ay, 1.7*z + 0.5 AS az FROM cloud), w AS (SELECT *, 0.4*(0.28*ax + 0.96*az) - 3.0 AS wx, 0.4*ay + 1.25 AS wy, 0.4*(-0.96*ax + 0.28*az) + 7.0 AS wz FROM a) SELECT seq, " + ", ".join(sr(c, c, 4) for c in ("ax", "ay", "az", "wx", "wy", "wz")) + ", " + ", ".join(sr(e, n, 4) for e, n in (("(0.28*(wx + 3.0) - 0.96*(wz - 7.0))/0.4", "bx"), ("(wy - 1.25)/0.4", "by"), ("(0.96*(wx + 3.0) + 0.28*(wz - 7.0))/0.4", "bz"))) + " FROM w")
 def f08(spark, d):
-    """World to close-up and back again: the chain of two similarities and its inverse is the identity."""
-    r, s, t = [[0.8, -0.6, 0.0], [0.6, 0.8, 0.0], [0.0, 0.0, 1.0]], 1.7, [1.0, -2.0, 0.5]
-    there = g.similarity(XYZ, s, r, t)
-    back = [[r[j][i] for j in range(3)] for i in range(3)]
-    home = [sum((F.lit(back[i][j]) * (there[j] - t[j]) for j in range(3)), F.lit(0.0)) / s for i in range(3)]
-    return cloud(spark, d).select("seq", *[r6(c, a, 5) for c, a in zip(home, "xyz")])
+    """Close-up to asset (a), asset to world (w), and world back to the asset by the inverse (b): two similarities in a chain."""
+    up = cloud(spark, d).select("seq", *[c.alias("a" + n) for c, n in zip(g.similarity(XYZ, 1.7, [[0.8, -0.6, 0.0], [0.6, 0.8, 0.0], [0.0, 0.0, 1.0]], [1.0, -2.0, 0.5]), "xyz")])
+    s, r, t = 0.4, [[0.28, 0.0, 0.96], [0.0, 1.0, 0.0], [-0.96, 0.0, 0.28]], [-3.0, 1.25, 7.0]
+    world = up.select("*", *[c.alias("w" + n) for c, n in zip(g.similarity(g.vec("a"), s, r, t), "xyz")])
+    back = [sum((F.lit(r[j][i]) * (F.col("w" + n) - t[j]) for j, n in enumerate("xyz")), F.lit(0.0)) / s for i in range(3)]
+    return world.select("seq", *[r6(F.col(c), c, 4) for c in ("ax", "ay", "az", "wx", "wy", "wz")], *[r6(c, "b" + n, 4) for c, n in zip(back, "xyz")])
 
 
 @query("f09_roi_polygon", f"WITH {OBJECTS}, p AS (SELECT id, kind, pts::DOUBLE[][] AS c FROM obj WHERE kind = 'circle' AND pts IS NOT NULL), k AS (SELECT id, c, unnest(range(40)) AS i FROM p) SELECT id, CAST(i AS INTEGER) AS i, {sr('c[1][1] + sqrt((c[2][1]-c[1][1])**2 + (c[2][2]-c[1][2])**2) * cos(2*pi()*i/40)', 'x', 3)}, {sr('c[1][2] + sqrt((c[2][1]-c[1][1])**2 + (c[2][2]-c[1][2])**2) * sin(2*pi()*i/40)', 'y', 3)} FROM k")
@@ -149,21 +154,22 @@ def f12(spark, d):
     return px.crossJoin(F.broadcast(low)).filter("conf >= 40 and conf > low").select("frame", "u", "v")
 
 
-EDGE = """e AS (SELECT *, greatest(abs(z - coalesce(lag(z) OVER r, 1e9)), abs(z - coalesce(lead(z) OVER r, 1e9)),
-abs(z - coalesce(lag(z) OVER c, 1e9)), abs(z - coalesce(lead(z) OVER c, 1e9))) AS jump, lag(u) OVER r AS lu, lead(u) OVER r AS ru, lag(v) OVER c AS lv, lead(v) OVER c AS rv FROM depth
-WINDOW r AS (PARTITION BY frame, v ORDER BY u), c AS (PARTITION BY frame, u ORDER BY v))"""
+NEXT = [("u", "v", "lag", 0, -1), ("u", "v", "lead", 63, 1), ("v", "u", "lag", 0, -1), ("v", "u", "lead", 47, 1)]
+EDGE = "e AS (SELECT *, greatest(" + ", ".join(f"CASE WHEN {a} = {end} THEN 0 WHEN {f}({a}) OVER {a}w = {a} + {step} THEN abs(z - {f}(z) OVER {a}w) ELSE 1e9 END" for a, _, f, end, step in NEXT) + ") AS jump FROM depth WINDOW uw AS (PARTITION BY frame, v ORDER BY u), vw AS (PARTITION BY frame, u ORDER BY v))"
 
 
-@query("f13_depth_edge", f"WITH {DEPTH}, {EDGE} SELECT frame, u, v, {sr('jump', 'jump', 4)} FROM e WHERE jump < 0.9 * z AND lu = u - 1 AND ru = u + 1 AND lv = v - 1 AND rv = v + 1")
+@query("f13_depth_edge", f"WITH {DEPTH}, {EDGE} SELECT frame, u, v, {sr('least(jump, 999)', 'jump', 4)}, NOT (jump < 0.05*z) AS edge FROM e")
 def f13(spark, d):
+    """Largest step in depth to a pixel's four neighbours, and whether it is an edge: 5 % of the depth or more. A neighbour
+    without depth counts as an edge, a neighbour outside the picture does not."""
     from pyspark.sql import Window as W
 
-    row, col = W.partitionBy("frame", "v").orderBy("u"), W.partitionBy("frame", "u").orderBy("v")
-    sides = [(f, w, a) for w, a in ((row, "u"), (col, "v")) for f in (F.lag, F.lead)]
-    gaps = [F.abs(F.col("z") - F.coalesce(f("z").over(w), F.lit(1e9))) for f, w, _ in sides]
-    beside = [(f(a).over(w) - F.col(a)).alias(f"n{i}") for i, (f, w, a) in enumerate(sides)]
-    e = depth(spark, d).select("frame", "u", "v", "z", F.greatest(*gaps).alias("jump"), *beside)
-    return e.filter("jump < 0.9 * z and n0 = -1 and n1 = 1 and n2 = -1 and n3 = 1").select("frame", "u", "v", r6(F.col("jump"), "jump", 4))
+    gaps = []
+    for a, other, f, end, step in NEXT:
+        w, side = W.partitionBy("frame", other).orderBy(a), getattr(F, f)
+        gaps.append(F.when(F.col(a) == end, 0.0).when(side(a).over(w) == F.col(a) + step, F.abs(F.col("z") - side("z").over(w))).otherwise(1e9))
+    e = depth(spark, d).select("frame", "u", "v", "z", F.greatest(*gaps).alias("jump"))
+    return e.select("frame", "u", "v", r6(F.least("jump", F.lit(999.0)), "jump", 4), (~(F.col("jump") < 0.05 * F.col("z"))).alias("edge"))
 
 
 @query("f14_vignette", f"WITH {DEPTH} SELECT frame, u, v FROM depth WHERE sqrt((u - 32)**2 + (v - 24)**2) < 0.85 * 40")
@@ -176,10 +182,15 @@ def f15(spark, d):
     return depth(spark, d).filter("u % 3 = 0 and v % 3 = 0").select("frame", "u", "v")
 
 
-@query("f16_box_filter", f"WITH {CLOUD} SELECT seq FROM cloud WHERE abs(x - 40) <= 12.5 AND abs(y - 1) <= 3.75 AND abs(z) <= 10")
+@query("f16_box_filter", f"WITH {CLOUD}, h AS (SELECT seq, dataset FROM cloud WHERE abs(x - 40) <= 1.25*(0.8*10 + 0.6*8) AND abs(y - 1) <= 3.75 AND abs(z) <= 1.25*(0.6*10 + 0.8*8)) SELECT seq, count(*) OVER (PARTITION BY dataset) >= 500 AS enough FROM h")
 def f16(spark, d):
-    near = [F.abs(F.col(c) - m) <= 1.25 * h for c, m, h in (("x", 40, 10), ("y", 1, 3), ("z", 0, 8))]
-    return cloud(spark, d).filter(near[0] & near[1] & near[2]).select("seq")
+    """Points in the axis box around a turned one: half sides |R| half, times 1.25; `enough` says whether a pack has the 500
+    points that a local asset needs."""
+    half = [0.8 * 10 + 0.6 * 8, 3.0, 0.6 * 10 + 0.8 * 8]
+    near = [F.abs(F.col(c) - m) <= 1.25 * h for c, m, h in zip("xyz", (40, 1, 0), half)]
+    hits = cloud(spark, d).filter(near[0] & near[1] & near[2]).select("seq", "dataset")
+    n = hits.groupBy("dataset").agg((F.count("*") >= 500).alias("enough"))
+    return hits.join(n, "dataset").select("seq", "enough")
 
 
 @query("f17_cut_out", f"WITH {CLOUD} SELECT seq FROM cloud WHERE NOT (abs(0.8*(x-40) + 0.6*(z-2)) <= 5*1.15+0.02 AND abs(y-1) <= 2*1.15+0.02 AND abs(-0.6*(x-40) + 0.8*(z-2)) <= 3*1.15+0.02)")
@@ -190,13 +201,17 @@ def f17(spark, d):
     return cloud(spark, d).filter(~(inside[0] & inside[1] & inside[2])).select("seq")
 
 
-@query("f18_ray_cone", f"WITH {CLOUD}, c AS (SELECT seq, dataset, (x - 10)*0.6 + (z + 30)*0.8 AS t, (x-10)**2 + (y-1.5)**2 + (z+30)**2 AS d2 FROM cloud), h AS (SELECT * FROM c WHERE t > 0.3 AND sqrt(greatest(d2 - t*t, 0)) / t < 0.05) SELECT seq, {sr('t', 't', 4)} FROM h QUALIFY count(*) OVER (PARTITION BY dataset) >= 20")
+@query("f18_ray_cone", f"WITH {CLOUD}, m AS (SELECT dataset, avg(x) - 10 AS mx, avg(y) - 1.5 AS my, avg(z) + 30 AS mz FROM cloud GROUP BY dataset), c AS (SELECT seq, c.dataset, ((x - 10)*mx + (y - 1.5)*my + (z + 30)*mz)/sqrt(mx*mx + my*my + mz*mz) AS t, (x-10)**2 + (y-1.5)**2 + (z+30)**2 AS d2 FROM cloud c JOIN m ON c.dataset = m.dataset), h AS (SELECT * FROM c WHERE t > 0.3 AND sqrt(greatest(d2 - t*t, 0)) / t < 0.012), n AS (SELECT dataset, count(*) AS n, quantile_cont(t, 0.1) AS lo FROM h GROUP BY dataset), b AS (SELECT h.*, n, t BETWEEN lo - 0.15 AND lo + 0.9 AS near FROM h JOIN n ON h.dataset = n.dataset), k AS (SELECT *, count(*) FILTER (near) OVER (PARTITION BY dataset) AS band FROM b) SELECT seq, {sr('t', 't', 4)}, n >= 20 AS enough FROM k WHERE near OR band < 20")
 def f18(spark, d):
-    v = g.minus(XYZ, g.lits(EYE.values()))
-    t = v[0] * 0.6 + v[2] * 0.8
-    hits = cloud(spark, d).select("seq", "dataset", t.alias("t"), g.dot(v, v).alias("d2")).filter("t > 0.3").filter(F.sqrt(F.greatest(F.col("d2") - F.col("t") ** 2, F.lit(0.0))) / F.col("t") < 0.05)
-    enough = hits.groupBy("dataset").count().filter("count >= 20").select("dataset")
-    return hits.join(enough, "dataset", "left_semi").select("seq", r6(F.col("t"), "t", 4))
+    """Points within 0.012 of the ray from the camera to the middle of each pack, nearest depth cluster along the ray where
+    that holds 20; `enough` says whether the ray met the 20 points it takes."""
+    middle = cloud(spark, d).groupBy("dataset").agg(*[(F.avg(c) - e).alias("m" + c) for c, e in zip("xyz", EYE.values())])
+    v, m = g.minus(XYZ, g.lits(EYE.values())), g.vec("m")
+    hits = cloud(spark, d).join(middle, "dataset").select("seq", "dataset", (g.dot(v, m) / g.norm(m)).alias("t"), g.dot(v, v).alias("d2")).filter("t > 0.3")
+    hits = hits.filter(F.sqrt(F.greatest(F.col("d2") - F.col("t") ** 2, F.lit(0.0))) / F.col("t") < 0.012)
+    band = spatial.depth_band(hits, "t", ["dataset"], 0.1, 0.15, 0.9, 20)
+    n = hits.groupBy("dataset").agg((F.count("*") >= 20).alias("enough"))
+    return band.join(n, "dataset").select("seq", r6(F.col("t"), "t", 4), "enough")
 
 
 @query("f19_opacity", f"WITH {CLOUD} SELECT seq, {sr('1/(1+exp(-(r-100)/50.0))', 'alpha')} FROM cloud WHERE r IS NOT NULL AND 1/(1+exp(-(r-100)/50.0)) > 0.35")
@@ -217,19 +232,14 @@ def f21(spark, d):
     return table(spark, d, "street_pack").groupBy("seq").agg(F.round(F.max(F.when(bad, 0.0).otherwise(x)), 5).alias("x"))
 
 
-@query("f22_depth_visibility", f"WITH {DEPTH} SELECT frame, {sr('avg(CASE WHEN abs(z - 5)/5 < 0.25 THEN 1.0 ELSE 0.0 END)', 'share')} FROM depth GROUP BY frame HAVING count(*) >= 5")
-def f22(spark, d):
-    near = F.when(F.abs(F.col("z") - 5) / 5 < 0.25, 1.0).otherwise(0.0)
-    return depth(spark, d).groupBy("frame").agg(F.avg(near).alias("s"), F.count("*").alias("n")).filter("n >= 5").select("frame", r6(F.col("s"), "share"))
-
-
-@query("f23_observers", f"WITH {FRAMES}, f AS (SELECT name, px - 5 AS dx, py - 1 AS dy, pz - 5 AS dz, {RS[2][0]} AS fx, {RS[2][1]} AS fy, {RS[2][2]} AS fz FROM frames), g AS (SELECT name, sqrt(dx*dx+dy*dy+dz*dz) AS dist, -(fx*dx+fy*dy+fz*dz) AS along FROM f) SELECT name, {sr('dist', 'dist', 4)} FROM g WHERE dist > 0 AND along / dist > 0.85 AND dist < 150")
+@query("f23_observers", f"WITH {FRAMES}, {CLOUD}, s AS (SELECT dataset, (min(x) + max(x))/2 AS ox, (min(y) + max(y))/2 AS oy, (min(z) + max(z))/2 AS oz, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) AS extent FROM cloud GROUP BY dataset), f AS (SELECT name, extent, px - ox AS dx, py - oy AS dy, pz - oz AS dz, {RS[2][0]} AS fx, {RS[2][1]} AS fy, {RS[2][2]} AS fz FROM frames JOIN s ON frames.dataset = s.dataset), g AS (SELECT name, extent, sqrt(dx*dx+dy*dy+dz*dz) AS dist, -(fx*dx+fy*dy+fz*dz) AS along FROM f) SELECT name, {sr('dist', 'dist', 3)} FROM g WHERE dist > 0 AND along / dist > 0.85 AND dist < 1.5*extent")
 def f23(spark, d):
-    away = g.minus(P, g.lits((5.0, 1.0, 5.0)))
-    forward = g.rotation_of(Q)[2]
-    dist = g.norm(away)
-    o = frames(spark, d).select("name", dist.alias("dist"), (-g.dot(forward, away)).alias("along"))
-    return o.filter("dist > 0 and along / dist > 0.85 and dist < 150").select("name", r6(F.col("dist"), "dist", 4))
+    """Frames that look at the middle of their scene from no farther than 1.5 times its extent."""
+    b = spatial.bounds(cloud(spark, d), ["dataset"])
+    scene = b.select("dataset", *[((F.col("lo" + c) + F.col("hi" + c)) / 2).alias("o" + c) for c in "xyz"], F.greatest(*[F.col("hi" + c) - F.col("lo" + c) for c in "xyz"]).alias("extent"))
+    away, forward = g.minus(P, g.vec("o")), g.rotation_of(Q)[2]
+    o = frames(spark, d).join(scene, "dataset").select("name", "extent", g.norm(away).alias("dist"), (-g.dot(forward, away)).alias("along"))
+    return o.filter("dist > 0 and along / dist > 0.85 and dist < 1.5 * extent").select("name", r6(F.col("dist"), "dist", 3))
 
 
 @query("f25_small_or_thin", f"WITH {OBJECTS} SELECT id, (list_sort([sx, sy, sz])[1]*3.41 < 0.8 OR list_sort([sx, sy, sz])[3]*3.41 < 2.0) AS small FROM obj WHERE sx IS NOT NULL AND sy IS NOT NULL AND sz IS NOT NULL")
@@ -255,21 +265,19 @@ def f28(spark, d):
     return b.filter("x0 >= pad and x1 <= 1024 - pad").select("id", r6(F.col("pad"), "pad", 4))
 
 
-@query("f36_box_corners", f"WITH {OBJECTS}, s AS (SELECT unnest([-1, 1]) AS k) SELECT id, {sr('cx + a.k*sx/2', 'x', 7)}, {sr('cy + b.k*sy/2', 'y', 7)}, {sr('cz + c.k*sz/2', 'z', 7)} FROM obj, s a, s b, s c WHERE sx IS NOT NULL")
+@query("f36_box_corners", f"WITH {OBJECTS}, s AS (SELECT unnest([-1, 1]) AS k) SELECT id, {sr('cx + 0.8*a.k*sx/2 + 0.6*c.k*sz/2', 'x', 6)}, {sr('cy + b.k*sy/2', 'y', 6)}, {sr('cz - 0.6*a.k*sx/2 + 0.8*c.k*sz/2', 'z', 6)} FROM obj, s a, s b, s c WHERE sx IS NOT NULL")
 def f36(spark, d):
-    eye = [[F.lit(1.0), F.lit(0.0), F.lit(0.0)], [F.lit(0.0), F.lit(1.0), F.lit(0.0)], [F.lit(0.0), F.lit(0.0), F.lit(1.0)]]
-    corners = g.box_corners(g.vec("c"), eye, g.vec("s"))
-    return objects(spark, d).filter("sx is not null").select("id", F.explode(corners).alias("k")).select("id", *[r6(F.col(f"k.{c}"), c, 7) for c in "xyz"])
+    corners = g.box_corners(g.vec("c"), TURN, g.vec("s"))
+    return objects(spark, d).filter("sx is not null").select("id", F.explode(corners).alias("k")).select("id", *[r6(F.col(f"k.{c}"), c, 6) for c in "xyz"])
 
 
-@query("f29_box_in_frame", f"""WITH {OBJECTS}, s AS (SELECT unnest([-1, 1]) AS k), k AS (SELECT id, cx + a.k*sx/2 - 10 AS x, cy + b.k*sy/2 - 1.5 AS y, cz + c.k*sz/2 + 150 AS z FROM obj, s a, s b, s c WHERE sx IS NOT NULL),
+@query("f29_box_in_frame", f"""WITH {OBJECTS}, s AS (SELECT unnest([-1, 1]) AS k), k AS (SELECT id, cx + 0.8*a.k*sx/2 + 0.6*c.k*sz/2 - 10 AS x, cy + b.k*sy/2 - 1.5 AS y, cz - 0.6*a.k*sx/2 + 0.8*c.k*sz/2 + 150 AS z FROM obj, s a, s b, s c WHERE sx IS NOT NULL),
 b AS (SELECT id, min(z) AS zmin, min(1183.5*x/z + 612) AS u0, max(1183.5*x/z + 612) AS u1, min(1183.5*y/z + 512) AS v0, max(1183.5*y/z + 512) AS v1 FROM k GROUP BY id),
 o AS (SELECT *, greatest(least(u1, 1224) - greatest(u0, 0), 0) * greatest(least(v1, 1024) - greatest(v0, 0), 0) / ((u1 - u0) * (v1 - v0)) AS share FROM b WHERE zmin > 0.001 AND u1 > u0 AND v1 > v0)
 SELECT id, {sr('share', 'share', 4)} FROM o WHERE share >= 0.6""")
 def f29(spark, d):
-    eye = [[F.lit(1.0), F.lit(0.0), F.lit(0.0)], [F.lit(0.0), F.lit(1.0), F.lit(0.0)], [F.lit(0.0), F.lit(0.0), F.lit(1.0)]]
     at = g.minus(g.vec("c"), g.lits((10.0, 1.5, -150.0)))
-    k = objects(spark, d).filter("sx is not null").select("id", g.box_corners(at, eye, g.vec("s")).alias("k"))
+    k = objects(spark, d).filter("sx is not null").select("id", g.box_corners(at, TURN, g.vec("s")).alias("k"))
     u = F.transform("k", lambda p: K["fx"] * p["x"] / p["z"] + K["cx"])
     v = F.transform("k", lambda p: K["fy"] * p["y"] / p["z"] + K["cy"])
     b = k.filter(F.forall("k", lambda p: p["z"] > 1e-3)).select("id", F.array_min(u).alias("u0"), F.array_max(u).alias("u1"), F.array_min(v).alias("v0"), F.array_max(v).alias("v1")).filter("u1 > u0 and v1 > v0")
@@ -350,10 +358,8 @@ SL = "s AS (SELECT *, qw*kw+qx*kx+qy*ky+qz*kz AS d0 FROM pair WHERE kw IS NOT NU
 
 
 def _pairs(spark, d):
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("dataset", "cam").orderBy("ts", "name")
-    return frames(spark, d).select("name", *["q" + c for c in "wxyz"], *[F.lead("q" + c).over(w).alias("k" + c) for c in "wxyz"]).filter("kw is not null")
+    near = temporal.beside(frames(spark, d), ["dataset", "cam"], "ts", ["ts", "name"], {"k" + c: ("q" + c, 1) for c in "wxyz"})
+    return near.select("name", *["q" + c for c in "wxyz"], *["k" + c for c in "wxyz"]).filter("kw is not null")
 
 
 @query("m04_slerp", f"WITH {FRAMES}, {PAIR}, {SL} SELECT name, " + ", ".join(sr(f"m{c}/sqrt(mw*mw+mx*mx+my*my+mz*mz)", f"m{c}", 4) for c in "wxyz") + " FROM v")
@@ -436,11 +442,9 @@ s AS (SELECT *, 0.28*dx - 0.96*dz AS gx, 0.96*dx + 0.28*dz AS gz FROM p WHERE ex
 SELECT name, {sr('px + ((ex - px)*gz - (ez - pz)*gx)/det*dx', 'x', 3)}, {sr('pz + ((ex - px)*gz - (ez - pz)*gx)/det*dz', 'z', 3)} FROM t WHERE abs(det) > 0.2""")
 def m10(spark, d):
     """Where the ray of a frame and a turned ray of the next one cross in plan; null where they are nearly parallel."""
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("dataset", "cam").orderBy("ts", "name")
     f = g.rotation_of(Q)[2]
-    s = frames(spark, d).select("name", "px", "pz", f[0].alias("dx"), f[2].alias("dz"), F.lead("px").over(w).alias("ex"), F.lead("pz").over(w).alias("ez")).filter("ex is not null")
+    near = temporal.beside(frames(spark, d), ["dataset", "cam"], "ts", ["ts", "name"], {"ex": ("px", 1), "ez": ("pz", 1)})
+    s = near.select("name", "px", "pz", f[0].alias("dx"), f[2].alias("dz"), "ex", "ez").filter("ex is not null")
     s = s.withColumn("gx", 0.28 * F.col("dx") - 0.96 * F.col("dz")).withColumn("gz", 0.96 * F.col("dx") + 0.28 * F.col("dz")).withColumn("det", F.expr("dx*gz - dz*gx")).filter("abs(det) > 0.2")
     t = F.expr("((ex - px)*gz - (ez - pz)*gx)/det")
     return s.select("name", r6(F.col("px") + t * F.col("dx"), "x", 3), r6(F.col("pz") + t * F.col("dz"), "z", 3))

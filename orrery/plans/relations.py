@@ -7,21 +7,32 @@ from pyspark.sql import functions as F
 
 from orrery.functions import geometry as g
 from orrery.operators import neighbours, spatial, temporal
+from orrery.operators.compaction import identify
 from orrery.plans.binding import CLOUD, DEPTH, FRAMES, JOBS, OBJECTS, SAMPLES, cloud, depth, frames, jobs, objects, samples
+from orrery.plans.data_quality import P1_IDENT
 from orrery.plans.projections import K, ROI, UPRIGHT, _upright, poly_sql, r6, sr
 from orrery.plans.registry import Registry
-from orrery.session import table
+from orrery.session import materialize, table
 
 query = Registry()
 
-STEMS = r"""stems AS (SELECT DISTINCT rtrim(trim(dataset), '/') AS dataset, tree, regexp_extract(path, '([^/\\]*?)(\.[^./\\]*)?$', 1) AS stem FROM street_video WHERE tree IS NOT NULL)"""
+#: Tree and stem of each file, from its path as compaction reads it; the tree column only where the path names none.
+STEMS = P1_IDENT.strip().removeprefix("WITH ").replace("c AS (", "path0 AS (", 1).replace("k AS (", "path1 AS (", 1).replace("FROM c)", "FROM path0)") + """,
+stems AS (SELECT DISTINCT rec AS dataset, split_part(folder, '/', 1) AS tree, frame AS stem FROM path1)"""
+LAYERS = STEMS.replace("SELECT DISTINCT rec AS dataset, split_part(folder, '/', 1) AS tree, frame AS stem", "SELECT DISTINCT rec AS dataset, split_part(folder, '/', 1) AS tree, folder, frame AS stem")
+
+
+def files(spark, d):
+    return identify(table(spark, d, "street_video").select("dataset", "tree", "path"))
 
 
 def stems(spark, d):
-    from orrery.functions.names import recording
+    return files(spark, d).select(F.col("recording").alias("dataset"), F.col("tree_key").alias("tree"), F.col("frame").alias("stem")).distinct()
+
 
-    t = table(spark, d, "street_video").filter("tree is not null")
-    return t.select(recording(F.col("dataset")).alias("dataset"), "tree", F.regexp_extract("path", r"([^/\\]*?)(\.[^./\\]*)?$", 1).alias("stem")).distinct()
+def frame_stem(name):
+    """Stem of a frame's name as a file's path gives it: without its ending, in lower case."""
+    return F.lower(F.regexp_replace(name, r"\.[^.]*$", ""))
 
 
 # ---- sources in relational form (S)
@@ -31,10 +42,10 @@ def s02(spark, d):
     return s.filter("tree = 'rgb'").select("dataset", "stem").union(s.filter("tree = 'depth'").select("dataset", "stem")).distinct()
 
 
-@query("s19_pose_pack_share", f"WITH {STEMS}, r AS (SELECT DISTINCT dataset, stem FROM stems WHERE tree = 'rgb'), {FRAMES}, f AS (SELECT DISTINCT dataset, regexp_replace(name, '\\.[^.]*$', '') AS stem FROM frames) SELECT r.dataset, count(*) AS n, count(f.stem) AS matched, count(f.stem) * 2 >= count(*) AS usable FROM r LEFT JOIN f ON r.dataset = f.dataset AND r.stem = f.stem GROUP BY r.dataset")
+@query("s19_pose_pack_share", f"WITH {STEMS}, r AS (SELECT DISTINCT dataset, stem FROM stems WHERE tree = 'rgb'), {FRAMES}, f AS (SELECT DISTINCT dataset, lower(regexp_replace(name, '\\.[^.]*$', '')) AS stem FROM frames) SELECT r.dataset, count(*) AS n, count(f.stem) AS matched, count(f.stem) * 2 >= count(*) AS usable FROM r LEFT JOIN f ON r.dataset = f.dataset AND r.stem = f.stem GROUP BY r.dataset")
 def s19(spark, d):
     r = stems(spark, d).filter("tree = 'rgb'").select("dataset", "stem")
-    f = frames(spark, d).select("dataset", F.regexp_replace("name", r"\.[^.]*$", "").alias("stem"), F.lit(1).alias("hit")).distinct()
+    f = frames(spark, d).select("dataset", frame_stem("name").alias("stem"), F.lit(1).alias("hit")).distinct()
     return r.join(f, ["dataset", "stem"], "left").groupBy("dataset").agg(F.count("*").alias("n"), F.count("hit").alias("matched")).withColumn("usable", F.col("matched") * 2 >= F.col("n"))
 
 
@@ -49,22 +60,26 @@ def s21(spark, d):
     return s.filter("tree = 'rgb'").join(s.filter("tree = 'depth'"), ["dataset", "stem"], "left_semi").groupBy("dataset").agg(F.count("*").alias("decoded"))
 
 
-@query("s22_pending", f"WITH {STEMS} SELECT DISTINCT a.dataset, a.stem FROM stems a WHERE tree = 'rgb' AND NOT EXISTS (SELECT 1 FROM stems s WHERE s.dataset = a.dataset AND s.stem = a.stem AND s.tree = 'layers')")
+@query("s22_pending", f"WITH {LAYERS}, p AS (SELECT count(DISTINCT folder) AS n FROM stems WHERE tree = 'layers'), g AS (SELECT dataset, stem, count(DISTINCT folder) AS n FROM stems WHERE tree = 'layers' GROUP BY 1, 2) SELECT DISTINCT a.dataset, a.stem FROM stems a, p WHERE tree = 'rgb' AND NOT EXISTS (SELECT 1 FROM g WHERE g.dataset = a.dataset AND g.stem = a.stem AND g.n = p.n)")
 def s22(spark, d):
-    s = stems(spark, d)
-    return s.filter("tree = 'rgb'").join(s.filter("tree = 'layers'"), ["dataset", "stem"], "left_anti").select("dataset", "stem").distinct()
+    """Frames that lack any of the products there are below layers."""
+    f = files(spark, d)
+    made = f.filter("tree_key = 'layers'").select(F.col("recording").alias("dataset"), F.col("frame").alias("stem"), "product").distinct()
+    whole = made.select("product").distinct().agg(F.count("*").alias("n"))  # one row
+    done = made.groupBy("dataset", "stem").agg(F.count("*").alias("made")).crossJoin(F.broadcast(whole)).filter("made = n")
+    rgb = f.filter("tree_key = 'rgb'").select(F.col("recording").alias("dataset"), F.col("frame").alias("stem")).distinct()
+    return rgb.join(done, ["dataset", "stem"], "left_anti")
 
 
 @query("s25_stride", f"WITH {FRAMES}, n AS (SELECT name, row_number() OVER (PARTITION BY dataset, cam ORDER BY ts, name) - 1 AS i FROM frames) SELECT name FROM n WHERE i % 5 = 0")
 def s25(spark, d):
-    i = F.row_number().over(W.partitionBy("dataset", "cam").orderBy("ts", "name")) - 1
-    return frames(spark, d).withColumn("i", i).filter("i % 5 = 0").select("name")
+    return temporal.placed(frames(spark, d), ["dataset", "cam"], "ts", ["ts", "name"]).filter("pos % 5 = 0").select("name")
 
 
 @query("s27_recording_profile", f"WITH {FRAMES}, g AS (SELECT dataset, cam, epoch_us(ts) AS t, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY dataset, cam ORDER BY ts, name) AS gap FROM frames), m AS (SELECT dataset, cam, count(*) AS n, max(t) - min(t) AS span_us, median(gap) AS usual FROM g GROUP BY 1, 2) SELECT m.dataset, m.cam, m.n, m.span_us, {sr('1e6/m.usual', 'fps', 3)}, count(*) FILTER (g.gap > greatest(1000000, 6*m.usual)) AS holes FROM m JOIN g ON m.dataset = g.dataset AND m.cam = g.cam WHERE m.usual > 0 GROUP BY ALL")
 def s27(spark, d):
-    w = W.partitionBy("dataset", "cam").orderBy("ts", "name")
-    gaps = frames(spark, d).withColumn("t", F.unix_micros("ts")).withColumn("gap", F.col("t") - F.lag("t").over(w))
+    f = frames(spark, d).select("dataset", "cam", "name", F.unix_micros("ts").alias("t"))
+    gaps = materialize(temporal.beside(f, ["dataset", "cam"], "t", ["t", "name"], {"before": ("t", -1)}).select("dataset", "cam", "t", (F.col("t") - F.col("before")).alias("gap")), "gaps")
     m = gaps.groupBy("dataset", "cam").agg(F.count("*").alias("n"), (F.max("t") - F.min("t")).alias("span_us"), F.median("gap").alias("usual")).filter("usual > 0")
     holes = F.count(F.when(F.col("gap") > F.greatest(F.lit(1e6), 6 * F.col("usual")), 1)).alias("holes")
     return gaps.join(m, ["dataset", "cam"]).groupBy("dataset", "cam", "n", "span_us", "usual").agg(holes).select("dataset", "cam", "n", "span_us", r6(1e6 / F.col("usual"), "fps", 3), "holes")
@@ -86,10 +101,10 @@ def j02(spark, d):
     return o.join(f.withColumn("exact", F.col("name")), "name", "left").join(s, "stem", "left").select("id", F.coalesce("exact", "by_stem").alias("name"))
 
 
-@query("j03_semi_rosters", f"WITH {STEMS}, {FRAMES}, f AS (SELECT DISTINCT dataset, regexp_replace(name, '\\.[^.]*$', '') AS stem FROM frames) SELECT DISTINCT a.dataset, a.stem FROM stems a WHERE tree = 'rgb' AND EXISTS (SELECT 1 FROM stems s WHERE s.dataset = a.dataset AND s.stem = a.stem AND s.tree = 'depth') AND EXISTS (SELECT 1 FROM f WHERE f.dataset = a.dataset AND f.stem = a.stem)")
+@query("j03_semi_rosters", f"WITH {STEMS}, {FRAMES}, f AS (SELECT DISTINCT dataset, lower(regexp_replace(name, '\\.[^.]*$', '')) AS stem FROM frames) SELECT DISTINCT a.dataset, a.stem FROM stems a WHERE tree = 'rgb' AND EXISTS (SELECT 1 FROM stems s WHERE s.dataset = a.dataset AND s.stem = a.stem AND s.tree = 'depth') AND EXISTS (SELECT 1 FROM f WHERE f.dataset = a.dataset AND f.stem = a.stem)")
 def j03(spark, d):
     s = stems(spark, d)
-    f = frames(spark, d).select("dataset", F.regexp_replace("name", r"\.[^.]*$", "").alias("stem"))
+    f = frames(spark, d).select("dataset", frame_stem("name").alias("stem"))
     return s.filter("tree = 'rgb'").join(s.filter("tree = 'depth'"), ["dataset", "stem"], "left_semi").join(f, ["dataset", "stem"], "left_semi").select("dataset", "stem").distinct()
 
 
@@ -109,18 +124,31 @@ def j06(spark, d):
     return fresh.groupBy("dataset").agg(F.count("*").alias("fresh"))
 
 
-BRACKET = f"""WITH {FRAMES}, a AS (SELECT dataset, name, epoch_us(ts) AS t, px, py, pz FROM frames WHERE cam = 'A'), b AS (SELECT dataset, name AS key, epoch_us(ts) AS t FROM frames WHERE cam = 'B'),
-p AS (SELECT b.dataset, b.key, b.t, a.t AS pt, a.px AS ppx FROM b ASOF JOIN a ON b.dataset = a.dataset AND b.t > a.t), n AS (SELECT b.key, a.t AS nt, a.px AS npx FROM b ASOF JOIN a ON b.dataset = a.dataset AND b.t <= a.t)
-SELECT p.key, {sr('ppx + (npx - ppx)*((p.t - pt)/(nt - pt)::DOUBLE)', 'px', 4)} FROM p JOIN n ON p.key = n.key WHERE nt - pt <= 600000"""
+_D = "qw*nw + qx*nx + qy*ny + qz*nz"
+BRACKET = f"""WITH {FRAMES}, a AS (SELECT dataset, name, epoch_us(ts) AS t, px, py, pz, qw, qx, qy, qz FROM frames WHERE cam = 'A'), b AS (SELECT dataset, name AS key, epoch_us(ts) AS t FROM frames WHERE cam = 'B'),
+g AS (SELECT dataset, t - lag(t) OVER (PARTITION BY dataset ORDER BY t) AS gap FROM a), m AS (SELECT dataset, greatest(600000, 4 * coalesce(median(gap), 0)) AS most FROM g GROUP BY dataset),
+p AS (SELECT b.dataset, b.key, b.t, a.t AS pt, a.px, a.py, a.pz, a.qw, a.qx, a.qy, a.qz FROM b ASOF JOIN a ON b.dataset = a.dataset AND b.t > a.t),
+n AS (SELECT b.key, a.t AS nt, a.px AS ox, a.py AS oy, a.pz AS oz, a.qw AS nw, a.qx AS nx, a.qy AS ny, a.qz AS nz FROM b ASOF JOIN a ON b.dataset = a.dataset AND b.t <= a.t),
+h AS (SELECT *, (p.t - pt)/(nt - pt)::DOUBLE AS f, CASE WHEN {_D} < 0 THEN -1 ELSE 1 END AS sg, least(abs({_D}), 1.0) AS dd FROM p JOIN n ON p.key = n.key JOIN m ON p.dataset = m.dataset WHERE nt - pt <= most),
+w AS (SELECT *, CASE WHEN dd > 0.9995 THEN 1 - f ELSE sin((1 - f)*acos(dd))/sin(acos(dd)) END AS wa, CASE WHEN dd > 0.9995 THEN f ELSE sin(f*acos(dd))/sin(acos(dd)) END AS wb FROM h),
+v AS (SELECT *, wa*qw + wb*sg*nw AS rw, wa*qx + wb*sg*nx AS rx, wa*qy + wb*sg*ny AS ry, wa*qz + wb*sg*nz AS rz FROM w)
+SELECT key, {sr('px + (ox - px)*f', 'px', 4)}, {sr('py + (oy - py)*f', 'py', 4)}, {sr('pz + (oz - pz)*f', 'pz', 4)}, """ + ", ".join(sr(f"r{c}/sqrt(rw*rw + rx*rx + ry*ry + rz*rz)", f"q{c}", 4) for c in "wxyz") + " FROM v"
 
 
 @query("j07_asof_interpolated", BRACKET)
 def j07(spark, d):
-    """Where camera A was at the moments of camera B: bracketed by its two neighbours in time, at most 0.6 s apart (also J08, W14)."""
+    """Pose of camera A at the moments of camera B: between its two neighbours in time, if these are at most 0.6 s or four
+    usual gaps apart; the place goes straight, the rotation along the sphere (also J08, W14)."""
     f = frames(spark, d).withColumn("t", F.unix_micros("ts"))
-    hit = temporal.bracket_join(f.filter("cam = 'B'").select("dataset", F.col("name").alias("key"), "t"), f.filter("cam = 'A'").select("dataset", "t", "px"), ["dataset"], ["px"], 600_000)
+    pose = ["px", "py", "pz", "qw", "qx", "qy", "qz"]
+    a, b = f.filter("cam = 'A'").select("dataset", "t", *pose), f.filter("cam = 'B'").select("dataset", F.col("name").alias("key"), "t")
+    gap = F.col("t") - F.lag("t").over(W.partitionBy("dataset").orderBy("t"))
+    most = a.withColumn("gap", gap).groupBy("dataset").agg(F.greatest(F.lit(600_000.0), 4 * F.coalesce(F.median("gap"), F.lit(0.0))).alias("most"))
+    hit = temporal.bracket_join(b, a, ["dataset"], pose, 600_000_000).join(most, "dataset").filter("next_t - prev_t <= most")
     share = (F.col("t") - F.col("prev_t")) / (F.col("next_t") - F.col("prev_t"))
-    return hit.select("key", r6(temporal.lerp(F.col("prev_px"), F.col("next_px"), share), "px", 4))
+    turned = g.slerp(g.vec("prev_q", "wxyz"), g.vec("next_q", "wxyz"), F.col("share"))
+    at = [r6(temporal.lerp(F.col("prev_" + c), F.col("next_" + c), F.col("share")), c, 4) for c in pose[:3]]
+    return hit.withColumn("share", share).select("key", *at, *[r6(c, f"q{n}", 4) for c, n in zip(turned, "wxyz")])
 
 
 CHUNKS = f"""WITH {FRAMES}, n AS (SELECT dataset, cam, name, ts, row_number() OVER (PARTITION BY dataset, cam ORDER BY ts, name) - 1 AS i, count(*) OVER (PARTITION BY dataset, cam) AS n FROM frames),
@@ -136,8 +164,8 @@ def j09(spark, d):
 
 @query("j10_gap_pairs", f"WITH {FRAMES}, n AS (SELECT dataset, cam, name, row_number() OVER (PARTITION BY dataset, cam ORDER BY ts, name) - 1 AS i FROM frames) SELECT a.name AS name_a, b.name AS name_b, CAST(b.i - a.i AS BIGINT) AS gap FROM n a JOIN n b ON a.dataset = b.dataset AND a.cam = b.cam AND b.i - a.i IN (4, 8) WHERE a.i % 5 = 0")
 def j10(spark, d):
-    w = W.partitionBy("dataset", "cam").orderBy("ts", "name")
-    n = frames(spark, d).select("dataset", "cam", "name", (F.row_number().over(w) - 1).cast("long").alias("i"))
+    n = temporal.placed(frames(spark, d).select("dataset", "cam", "name", "ts"), ["dataset", "cam"], "ts", ["ts", "name"])
+    n = materialize(n.select("dataset", "cam", "name", F.col("pos").cast("long").alias("i")), "places")
     a = n.filter("i % 5 = 0").select("dataset", "cam", F.col("name").alias("name_a"), F.col("i").alias("start"), F.explode(F.array(F.lit(4).cast("long"), F.lit(8).cast("long"))).alias("gap"))
     return a.withColumn("i", F.col("start") + F.col("gap")).join(n.withColumnRenamed("name", "name_b"), ["dataset", "cam", "i"]).select("name_a", "name_b", "gap")
 
@@ -153,13 +181,27 @@ def _places(spark, d):
 
 @query("j11_knn_within", NEAR_OBJECTS + f", p AS (SELECT a.seq AS id_a, b.seq AS id_b, row_number() OVER (PARTITION BY a.seq ORDER BY {RADIUS}, b.seq) AS rank FROM o a JOIN o b ON a.dataset = b.dataset AND a.seq <> b.seq AND {RADIUS} <= 400) SELECT id_a, id_b, rank FROM p WHERE rank <= 4")
 def j11(spark, d):
-    """The four nearest other objects of the recording, however far; the SQL stops at 20 units."""
+    """The nearest other objects of the recording within 20 units, four at most; `j11_knn` has no radius."""
+    o = _places(spark, d)
+    return spatial.knn_within(o, o, 4, 20.0, ["dataset"]).select("id_a", "id_b", "rank")
+
+
+@query("j11_knn", NEAR_OBJECTS + f" SELECT a.seq AS id_a, b.seq AS id_b, row_number() OVER (PARTITION BY a.seq ORDER BY {RADIUS}, b.seq) AS rank FROM o a JOIN o b ON a.dataset = b.dataset AND a.seq <> b.seq QUALIFY rank <= 4")
+def j11k(spark, d):
+    """The four nearest other objects of the recording, however far."""
     return neighbours.nearest(_places(spark, d), None, 4, ["dataset"]).select("id_a", "id_b", "rank")
 
 
 @query("j12_nearest_camera", NEAR_OBJECTS + f", {FRAMES}, f AS (SELECT name, dataset, px AS x, py AS y, pz AS z FROM frames), p AS (SELECT a.seq AS id, b.name, row_number() OVER (PARTITION BY a.seq ORDER BY {RADIUS}, b.name) AS rank FROM o a JOIN f b ON a.dataset = b.dataset AND {RADIUS} <= 900) SELECT id, name FROM p WHERE rank = 1")
 def j12(spark, d):
-    """The nearest frame of the object's recording, however far; the SQL stops at 30 units."""
+    """The nearest frame of the object's recording within 30 units; `j12_nearest` has no radius."""
+    f = frames(spark, d).select("dataset", F.col("name").alias("seq"), *[F.col("p" + c).alias(c) for c in "xyz"])
+    return spatial.knn_within(_places(spark, d), f, 1, 30.0, ["dataset"]).select(F.col("id_a").alias("id"), F.col("id_b").alias("name"))
+
+
+@query("j12_nearest", NEAR_OBJECTS + f", {FRAMES}, f AS (SELECT name, dataset, px AS x, py AS y, pz AS z FROM frames) SELECT a.seq AS id, arg_min(b.name, {RADIUS}) AS name FROM o a JOIN f b ON a.dataset = b.dataset GROUP BY a.seq")
+def j12n(spark, d):
+    """The nearest frame of the object's recording, however far."""
     f = frames(spark, d).select("dataset", F.col("name").alias("seq"), *[F.col("p" + c).alias(c) for c in "xyz"])
     return neighbours.nearest(_places(spark, d), f, 1, ["dataset"]).select(F.col("id_a").alias("id"), F.col("id_b").alias("name"))
 
@@ -180,10 +222,14 @@ def j14(spark, d):
     """Nearest descriptor with the same label, kept if clearly nearer than the second; every twentieth descriptor asks, of all."""
     e = table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     a = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("a"), "label", F.col("v").alias("va"))
-    pairs = a.join(e.select(F.col("vec_id").alias("b"), "label", "v"), "label").filter("a <> b")
+    # every asking descriptor meets all others in slots of these, so that a frequent label is many tasks' work
+    slots = 32
+    a = a.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+    pairs = a.join(e.select(F.col("vec_id").alias("b"), "label", "v", F.pmod(F.xxhash64("vec_id"), F.lit(slots)).cast("int").alias("slot")), ["label", "slot"]).filter("a <> b")
     d2 = F.aggregate(F.zip_with("va", "v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    two = pairs.select("a", "b", d2.alias("d2")).groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("d2", "b"))), 1, 2).alias("two"))
-    return two.filter((F.size("two") == 2) & (F.sqrt(F.col("two")[0]["d2"]) < 0.97 * F.sqrt(F.col("two")[1]["d2"]))).select("a", F.col("two")[0]["b"].alias("b"))
+    nth = F.row_number().over(W.partitionBy("a").orderBy("d2", "b"))  # the two best of each task go on
+    two = pairs.select("a", "b", d2.alias("d2")).withColumn("n", nth).filter("n <= 2").groupBy("a").agg(F.min("d2").alias("first"), F.max("d2").alias("second"), F.count("*").alias("n"), F.min_by("b", "n").alias("b"))
+    return two.filter((F.col("n") == 2) & (F.sqrt("first") < 0.97 * F.sqrt("second"))).select("a", "b")
 
 
 VIEWS = [(k, 10.0 + 20 * k, -30.0 - 5 * k) for k in range(6)]
@@ -317,11 +363,13 @@ def a11(spark, d):
     return roi_points(spark, d).agg(*box, F.count("*").alias("npts"))
 
 
-@query("a10_roi_union", f"WITH {OBJECTS}, o AS (SELECT coalesce(dataset, '') AS dataset, label, cx AS x, cy AS y FROM obj WHERE cx IS NOT NULL AND label <> '') SELECT dataset, label, {sr('(min(x) + max(x))/2', 'cx', 3)}, count(*) AS n FROM o GROUP BY 1, 2 HAVING count(*) > 1")
+@query("a10_roi_union", f"WITH {OBJECTS}, o AS (SELECT coalesce(dataset, '') AS dataset, label, cx AS x, cy AS y, cz AS z FROM obj WHERE cx IS NOT NULL AND cy IS NOT NULL AND cz IS NOT NULL AND label <> ''), m AS (SELECT dataset, label, median(x) AS mx, median(y) AS my, median(z) AS mz FROM o GROUP BY 1, 2), r AS (SELECT o.*, sqrt((x - mx)**2 + (y - my)**2 + (z - mz)**2) AS r FROM o JOIN m USING (dataset, label)), l AS (SELECT dataset, label, quantile_cont(r, 0.92) AS lim FROM r GROUP BY 1, 2) SELECT dataset, label, " + ", ".join(sr(f"(min({c}) + max({c}))/2", f"c{c}", 3) + ", " + sr(f"greatest(max({c}) - min({c}), 0.001)", f"s{c}", 3) for c in "xyz") + ", count(*) AS n FROM r JOIN l USING (dataset, label) WHERE r < lim + 1e-6 GROUP BY 1, 2 HAVING count(*) > 1")
 def a10(spark, d):
-    """Observations of one label in one recording fitted together."""
-    o = objects(spark, d).filter("cx is not null and label <> ''").select(F.coalesce("dataset", F.lit("")).alias("dataset"), "label", F.col("cx").alias("x"))
-    return o.groupBy("dataset", "label").agg(r6((F.min("x") + F.max("x")) / 2, "cx", 3), F.count("*").alias("n")).filter("n > 1")
+    """Observations of one label in one recording, concatenated, trimmed and fitted together with an axis box."""
+    o = objects(spark, d).dropna(subset=["cx", "cy", "cz"]).filter("label <> ''").select(F.coalesce("dataset", F.lit("")).alias("dataset"), "label", *[F.col("c" + c).alias(c) for c in "xyz"])
+    kept = spatial.trim_outliers(o, 0.92, ["dataset", "label"], 1e-6)
+    box = [x for c in "xyz" for x in (r6((F.min(c) + F.max(c)) / 2, f"c{c}", 3), r6(F.greatest(F.max(c) - F.min(c), F.lit(1e-3)), f"s{c}", 3))]
+    return kept.groupBy("dataset", "label").agg(*box, F.count("*").alias("n")).filter("n > 1")
 
 
 @query("a13_moments", f"WITH {CLOUD} SELECT dataset, {sr('covar_pop(x, y)', 'xy', 4)}, {sr('covar_pop(y, z)', 'yz', 4)}, {sr('var_pop(x)', 'xx', 4)} FROM cloud GROUP BY dataset")
@@ -329,11 +377,13 @@ def a13(spark, d):
     return cloud(spark, d).groupBy("dataset").agg(r6(F.covar_pop("x", "y"), "xy", 4), r6(F.covar_pop("y", "z"), "yz", 4), r6(F.var_pop("x"), "xx", 4))
 
 
-@query("a14_weighted_match", f"WITH {CLOUD}, w AS (SELECT dataset, r::DOUBLE AS r, 1/(1 + abs(y)) AS w FROM cloud WHERE r IS NOT NULL), m AS (SELECT dataset, sum(w*r)/sum(w) AS mu, sum(w*r*r)/sum(w) AS sq FROM w GROUP BY dataset) SELECT dataset, {sr('mu', 'mu', 3)}, {sr('least(greatest(40/sqrt(greatest(sq - mu*mu, 1e-9)), 0.5), 2)', 'gain', 3)} FROM m")
+@query("a14_weighted_match", f"WITH {CLOUD}, w AS (SELECT dataset, r::DOUBLE AS r, g::DOUBLE AS g, b::DOUBLE AS b, 1/(1 + abs(y)) AS w FROM cloud WHERE r IS NOT NULL AND g IS NOT NULL AND b IS NOT NULL), m AS (SELECT dataset, " + ", ".join(f"sum(w*{c})/sum(w) AS m{c}, sum(w*{c}*{c})/sum(w) AS q{c}" for c in "rgb") + " FROM w GROUP BY dataset) SELECT dataset, " + ", ".join(sr(f"m{c}", f"mu_{c}", 3) + ", " + sr(f"least(greatest(40/sqrt(greatest(q{c} - m{c}*m{c}, 1e-9)), 0.5), 2)", f"gain_{c}", 3) for c in "rgb") + " FROM m")
 def a14(spark, d):
-    w = cloud(spark, d).filter("r is not null").select("dataset", F.col("r").cast("double").alias("r"), (1 / (1 + F.abs("y"))).alias("w"))
-    m = w.groupBy("dataset").agg((F.sum(F.col("w") * F.col("r")) / F.sum("w")).alias("mu"), (F.sum(F.col("w") * F.col("r") * F.col("r")) / F.sum("w")).alias("sq"))
-    return m.select("dataset", r6(F.col("mu"), "mu", 3), r6(F.expr("least(greatest(40/sqrt(greatest(sq - mu*mu, 1e-9D)), 0.5D), 2D)"), "gain", 3))
+    """Weighted mean of each colour and the gain, within 0.5..2, that brings its spread to 40."""
+    w = cloud(spark, d).dropna(subset=["r", "g", "b"]).select("dataset", *[F.col(c).cast("double").alias(c) for c in "rgb"], (1 / (1 + F.abs("y"))).alias("w"))
+    m = w.groupBy("dataset").agg(*[x for c in "rgb" for x in ((F.sum(F.col("w") * F.col(c)) / F.sum("w")).alias("m" + c), (F.sum(F.col("w") * F.col(c) * F.col(c)) / F.sum("w")).alias("q" + c))])
+    gain = lambda c: F.expr(f"least(greatest(40/sqrt(greatest(q{c} - m{c}*m{c}, 1e-9D)), 0.5D), 2D)")
+    return m.select("dataset", *[x for c in "rgb" for x in (r6(F.col("m" + c), f"mu_{c}", 3), r6(gain(c), f"gain_{c}", 3))])
 
 
 @query("a15_slice_histogram", f"WITH {CLOUD}, b AS (SELECT dataset, min(x) AS lo, max(x) AS hi FROM cloud GROUP BY dataset), s AS (SELECT c.dataset, least(CAST(floor((x - lo)/(hi - lo)*96) AS BIGINT), 95) AS bin, y FROM cloud c JOIN b ON c.dataset = b.dataset WHERE hi > lo) SELECT dataset, bin, {sr('median(y)', 'mid', 4)} FROM s GROUP BY 1, 2 HAVING count(*) >= 5")
@@ -377,9 +427,9 @@ def a24(spark, d):
 
 @query("a25_path_length", f"WITH {FRAMES}, s AS (SELECT dataset, cam, sqrt((px - lag(px) OVER w)**2 + (py - lag(py) OVER w)**2 + (pz - lag(pz) OVER w)**2) AS step FROM frames WINDOW w AS (PARTITION BY dataset, cam ORDER BY ts, name)) SELECT dataset, cam, {sr('sum(step)', 'length', 3)} FROM s GROUP BY 1, 2 HAVING sum(step) IS NOT NULL")
 def a25(spark, d):
-    w = W.partitionBy("dataset", "cam").orderBy("ts", "name")
-    step = F.sqrt(sum(((F.col(c) - F.lag(c).over(w)) ** 2 for c in ("px", "py", "pz")), F.lit(0.0)))
-    return frames(spark, d).select("dataset", "cam", step.alias("step")).groupBy("dataset", "cam").agg(F.sum("step").alias("s")).filter("s is not null").select("dataset", "cam", r6(F.col("s"), "length", 3))
+    f = temporal.beside(frames(spark, d), ["dataset", "cam"], "ts", ["ts", "name"], {"b" + c: (c, -1) for c in ("px", "py", "pz")})
+    step = F.sqrt(sum(((F.col(c) - F.col("b" + c)) ** 2 for c in ("px", "py", "pz")), F.lit(0.0)))
+    return f.select("dataset", "cam", step.alias("step")).groupBy("dataset", "cam").agg(F.sum("step").alias("s")).filter("s is not null").select("dataset", "cam", r6(F.col("s"), "length", 3))
 
 
 @query("a26_counts", f"WITH {JOBS} SELECT kind, status, count(*) AS n FROM job GROUP BY 1, 2")
@@ -479,9 +529,10 @@ def w04(spark, d):
 
 @query("w05_direction", f"WITH {FRAMES}, s AS (SELECT name, lead(px) OVER w - lag(px) OVER w AS dx, lead(pz) OVER w - lag(pz) OVER w AS dz, epoch_us(lead(ts) OVER w) - epoch_us(lag(ts) OVER w) AS dt FROM frames WINDOW w AS (PARTITION BY dataset, cam ORDER BY ts, name)) SELECT name, {sr('dx/sqrt(dx*dx + dz*dz)', 'ux', 5)}, {sr('dz/sqrt(dx*dx + dz*dz)', 'uz', 5)} FROM s WHERE sqrt(dx*dx + dz*dz) > 0.25 AND dt < 1000000")
 def w05(spark, d):
-    w = W.partitionBy("dataset", "cam").orderBy("ts", "name")
-    diff = lambda c: F.lead(c).over(w) - F.lag(c).over(w)
-    s = frames(spark, d).withColumn("t", F.unix_micros("ts")).select("name", diff("px").alias("dx"), diff("pz").alias("dz"), diff("t").alias("dt"))
+    near = {f"{n}_{c}": (c, o) for c in ("px", "pz", "t") for n, o in (("after", 1), ("before", -1))}
+    f = temporal.beside(frames(spark, d).withColumn("t", F.unix_micros("ts")), ["dataset", "cam"], "ts", ["ts", "name"], near)
+    diff = lambda c: F.col("after_" + c) - F.col("before_" + c)
+    s = f.select("name", diff("px").alias("dx"), diff("pz").alias("dz"), diff("t").alias("dt"))
     n = F.hypot("dx", "dz")
     return s.filter((F.expr("sqrt(dx*dx + dz*dz)") > 0.25) & (F.col("dt") < 1_000_000)).select("name", r6(F.col("dx") / n, "ux", 5), r6(F.col("dz") / n, "uz", 5))
 
@@ -499,8 +550,9 @@ def w07(spark, d):
     """Gaussian over 25 rows: the window's values are collected once a row, the weights are a constant array."""
     import math
 
-    w = W.partitionBy("dataset", "cam").orderBy("ts", "name")
-    n = frames(spark, d).select("name", F.collect_list("px").over(w.rowsBetween(-12, 12)).alias("v"), (F.row_number().over(w) - 1).alias("i"))
+    b = temporal.in_blocks(temporal.placed(frames(spark, d), ["dataset", "cam"], "ts", ["ts", "name"]), 12)
+    w = W.partitionBy("dataset", "cam", "block").orderBy("pos")
+    n = b.select("name", F.collect_list("px").over(w.rowsBetween(-12, 12)).alias("v"), F.col("pos").alias("i"), "own").filter("own")
     weights = F.slice(F.array(*[F.lit(math.exp(-k * k / 32.0)) for k in range(-12, 13)]), F.greatest(F.lit(13) - F.col("i"), F.lit(1)), F.size("v"))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     return n.select("name", r6(total(F.zip_with("v", weights, lambda a, b: a * b)) / total(weights), "px", 4))
@@ -543,22 +595,22 @@ def w12(spark, d):
 
 @query("w13_even_picks", f"WITH {FRAMES}, n AS (SELECT name, dataset, row_number() OVER (PARTITION BY dataset ORDER BY ts, name) - 1 AS i, count(*) OVER (PARTITION BY dataset) AS n FROM frames), k AS (SELECT unnest(range(8)) AS j) SELECT DISTINCT n.dataset, n.name FROM n JOIN k ON n.i = CAST(floor(k.j*(n.n - 1)/7.0) AS BIGINT)")
 def w13(spark, d):
-    w = W.partitionBy("dataset").orderBy("ts", "name")
-    n = frames(spark, d).select("name", "dataset", (F.row_number().over(w) - 1).alias("i"), F.count("*").over(W.partitionBy("dataset")).alias("n"))
+    f = materialize(frames(spark, d).select("name", "dataset", "ts"), "picks")
+    n = temporal.placed(f, ["dataset"], "ts", ["ts", "name"]).join(f.groupBy("dataset").agg(F.count("*").alias("n")), "dataset").withColumnRenamed("pos", "i")
     picks = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: F.floor(j * (F.col("n") - 1) / 7.0))
     return n.filter(F.array_contains(picks, F.col("i").cast("long"))).select("dataset", "name")
 
 
-@query("w15_eta", f"WITH {JOBS}, n AS (SELECT kind, count(*) AS total, count(*) FILTER (status = 'done') AS done, max(created) - min(created) AS span FROM job WHERE created < 1e11 GROUP BY kind) SELECT kind, {sr('span/done*(total - done)', 'eta', 2)} FROM n WHERE done > 0")
+@query("w15_eta", f"WITH {JOBS}, n AS (SELECT kind, count(*) AS total, count(*) FILTER (status = 'done') AS done, max(created) - min(created) AS span FROM job GROUP BY kind) SELECT kind, {sr('span/done*(total - done)', 'eta', 2)} FROM n WHERE done > 0")
 def w15(spark, d):
-    n = jobs(spark, d).filter("created < 1e11").groupBy("kind").agg(F.count("*").alias("total"), F.count(F.when(F.col("status") == "done", 1)).alias("done"), (F.max("created") - F.min("created")).alias("span"))
+    n = jobs(spark, d).groupBy("kind").agg(F.count("*").alias("total"), F.count(F.when(F.col("status") == "done", 1)).alias("done"), (F.max("created") - F.min("created")).alias("span"))
     return n.filter("done > 0").select("kind", r6(F.expr("span/done*(total - done)"), "eta", 2))
 
 
 # ---- order, limits, samples (O)
 @query("o01_frame_order", f"WITH {FRAMES} SELECT name, row_number() OVER (PARTITION BY dataset ORDER BY ts, name) AS nth FROM frames")
 def o01(spark, d):
-    return frames(spark, d).select("name", F.row_number().over(W.partitionBy("dataset").orderBy("ts", "name")).cast("long").alias("nth"))
+    return temporal.placed(frames(spark, d), ["dataset"], "ts", ["ts", "name"]).select("name", (F.col("pos") + 1).cast("long").alias("nth"))
 
 
 @query("o03_latest_jobs", f"WITH {JOBS} SELECT id, kind, status FROM job WHERE coalesce(hidden, 0) = 0 ORDER BY id DESC LIMIT 6")

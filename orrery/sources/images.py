@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions.names import camera, capture_time
 from orrery.operators.raster import unpack12
+from orrery.sources.files import listing, open_file
 
 #: Size of a raw frame.
 WIDTH, HEIGHT, STRIDE = 2448, 2048, 3680
@@ -21,9 +21,8 @@ WIDTH, HEIGHT, STRIDE = 2448, 2048, 3680
 
 def raw_frames(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
     """path, name, cam, ts, length, content of the raw frames of a folder; `<folder>/raw` if it is there and holds any."""
-    for place in (os.path.join(folder, "raw"), folder):
-        if os.path.isdir(place) and any(n.endswith((".raw", ".raw12")) for _, _, names in os.walk(place) for n in names):
-            break
+    inner = f"{folder.rstrip('/')}/raw"
+    place = inner if any(listing(inner, ending, missing_ok=True) for ending in (".raw", ".raw12")) else folder
     df = spark.read.format("binaryFile").option("pathGlobFilter", "*.{raw,raw12}").option("recursiveFileLookup", str(recursive).lower()).load(place)
     name = F.element_at(F.split("path", "/"), -1)
     return df.select("path", name.alias("name"), camera(name).alias("cam"), capture_time(name).alias("ts"), "length", "content")
@@ -44,9 +43,10 @@ def slices(index: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for tar, rows in b.groupby("tar", sort=False):
-                with open(tar, "rb") as f:
+                with open_file(tar) as f:
+                    end = f.size()
                     for name, offset, size in rows[["name", "offset", "size"]].itertuples(index=False):
-                        f.seek(int(offset))
+                        f.seek(min(int(offset), end))
                         data = f.read(int(size))
                         out.append((name, data if len(data) == size else None))
             yield pd.DataFrame(out, columns=["name", "content"])
