@@ -299,11 +299,62 @@ def fit_track(pairs: DataFrame, by: Sequence[str], rounds: int = 3) -> DataFrame
     return pairs.groupBy(*by).applyInPandas(run, schema)
 
 
+def surface_normals(points: DataFrame, cameras: DataFrame, k: int = 20) -> DataFrame:
+    """seq, nx, ny, nz, facing: normals of points from the spread of their k nearest (themselves included), smoothed once by
+    the mean of the neighbours' normals of equal sense, and turned to the nearest camera of the group.
+
+    points: seq, dataset, x, y, z; cameras: seq, dataset, x, y, z. In a group without cameras normals look away from the
+    median point. `facing` is the normal's part along that way, never negative. A point whose neighbours are in one place
+    gets the vertical.
+    """
+    from orrery.operators import neighbours
+
+    def flat(a: dict, b: dict, idx: np.ndarray, d2: np.ndarray) -> pd.DataFrame:
+        q = np.stack([b[c] for c in XYZ], axis=1)
+        there = (idx >= 0)[..., None]
+        near = np.where(there, q[idx], 0.0)
+        n = there.sum(axis=1)
+        dev = np.where(there, near - (near.sum(axis=1) / n)[:, None, :], 0.0)
+        value, vector = np.linalg.eigh(np.einsum("nki,nkj->nij", dev, dev))
+        out = vector[:, :, 0]
+        out[value[:, 2] <= 1e-18] = (0.0, 1.0, 0.0)
+        big = np.abs(out).argmax(axis=1)
+        out = out * np.where(out[np.arange(len(out)), big] < 0, -1.0, 1.0)[:, None]
+        return pd.DataFrame({"seq": a["seq"], **{c: a[c] for c in XYZ}, **{"n" + c: out[:, i] for i, c in enumerate(XYZ)}})
+
+    def smooth(a: dict, b: dict, idx: np.ndarray, d2: np.ndarray) -> pd.DataFrame:
+        own, all_ = (np.stack([s["n" + c] for c in XYZ], axis=1) for s in (a, b))
+        near = np.where((idx >= 0)[..., None], all_[idx], 0.0)
+        sense = np.sign(np.einsum("nki,ni->nk", near, own))
+        mean = np.einsum("nki,nk->ni", near, sense)
+        size = np.linalg.norm(mean, axis=1, keepdims=True)
+        mean = np.where(size > 1e-9, mean / np.maximum(size, 1e-9), own)
+        return pd.DataFrame({"seq": a["seq"], **{c: a[c] for c in XYZ}, **{"n" + c: mean[:, i] for i, c in enumerate(XYZ)}})
+
+    def turn(a: dict, b: dict, idx: np.ndarray, d2: np.ndarray) -> pd.DataFrame:
+        to = np.stack([b[c][idx[:, 0]] - a[c] for c in XYZ], axis=1)
+        n = np.stack([a["n" + c] for c in XYZ], axis=1)
+        along = (to * n).sum(axis=1)
+        n = n * np.where(along < 0, -1.0, 1.0)[:, None]
+        return pd.DataFrame({"seq": a["seq"], **{"n" + c: n[:, i] for i, c in enumerate(XYZ)}, "facing": np.abs(along)})
+
+    shape = "seq long, x double, y double, z double, nx double, ny double, nz double"
+    raw = materialize(neighbours.around(points, None, k, ["dataset"], flat, shape), "normals-raw")
+    carry = ["nx", "ny", "nz"]
+    even = materialize(neighbours.around(raw, None, k, ["dataset"], smooth, shape, carry), "normals-smooth")
+    seen = neighbours.around(even, cameras, 1, ["dataset"], turn, "seq long, nx double, ny double, nz double, facing double", carry).drop("dataset")
+    blind = materialize(even.join(cameras.select("dataset").distinct(), "dataset", "left_anti"), "normals-blind")
+    middle = quantiles(blind, ["dataset"], {"c" + c: (c, 0.5) for c in XYZ})
+    along = sum((F.col("n" + c) * (F.col(c) - F.col("c" + c)) for c in XYZ), F.lit(0.0))
+    away = blind.join(middle, "dataset").withColumn("_a", along).select("seq", *[(F.col("n" + c) * F.when(F.col("_a") < 0, -1.0).otherwise(1.0)).alias("n" + c) for c in XYZ], F.abs("_a").alias("facing"))
+    return seen.unionByName(away)
+
+
 def normals(points: DataFrame, neighbours: DataFrame, cameras: DataFrame | None = None) -> DataFrame:
     """seq, nx, ny, nz: normals of points from their neighbours' spread, smoothed once, turned to the nearest camera.
 
-    points: seq, x, y, z; neighbours: id_a, id_b (both ways); cameras: x, y, z (a short list) or null for outwards from
-    the median. Points with fewer than three neighbours have no normal and are left out.
+    points: seq, x, y, z; neighbours: id_a, id_b (both ways); cameras: x, y, z or null for outwards from the
+    median. Points with fewer than three neighbours have no normal and are left out.
     """
     at = points.select(F.col("seq").alias("id_b"), *XYZ)
     own = points.select(F.col("seq").alias("id_a"), *XYZ)
@@ -317,14 +368,16 @@ def normals(points: DataFrame, neighbours: DataFrame, cameras: DataFrame | None
     size = F.sqrt(sum((F.col("s" + c) ** 2 for c in XYZ), F.lit(0.0))) + 1e-9
     smooth = mean.select(F.col("id_a").alias("seq"), *[(F.col("s" + c) / size).alias("n" + c) for c in XYZ]).join(points.select("seq", *XYZ), "seq")
     if cameras is None:
-        middle = points.agg(*[F.median(c).alias("c" + c) for c in XYZ])  # one row
+        middle = quantiles(points, [], {"c" + c: (c, 0.5) for c in XYZ})  # one row
         turned = smooth.crossJoin(F.broadcast(middle))
         facing = sum((F.col("n" + c) * (F.col(c) - F.col("c" + c)) for c in XYZ), F.lit(0.0))
     else:
-        packed = cameras.agg(F.collect_list(F.struct(*[F.col(c).alias(c) for c in XYZ])).alias("cams"))
-        gap = lambda p: (p["x"] - F.col("x")) ** 2 + (p["y"] - F.col("y")) ** 2 + (p["z"] - F.col("z")) ** 2
-        best = F.array_min(F.transform("cams", lambda p: F.struct(gap(p).alias("d"), p["x"].alias("x"), p["y"].alias("y"), p["z"].alias("z"))))
-        turned = smooth.crossJoin(F.broadcast(packed)).withColumn("b", best)
-        facing = sum((F.col("n" + c) * (F.col(f"b.{c}") - F.col(c)) for c in XYZ), F.lit(0.0))
+        from orrery.operators.neighbours import nearest
+
+        alone = lambda df, seq: df.select(F.lit("").alias("dataset"), seq.cast("long").alias("seq"), *XYZ)
+        cams = alone(cameras.distinct(), F.xxhash64(*XYZ))
+        hit = nearest(alone(points, F.col("seq")), cams, 1, ["dataset"]).select(F.col("id_a").alias("seq"), F.col("id_b").alias("cam"))
+        turned = smooth.join(hit, "seq").join(cams.select(F.col("seq").alias("cam"), *[F.col(c).alias("c" + c) for c in XYZ]), "cam")
+        facing = sum((F.col("n" + c) * (F.col("c" + c) - F.col(c)) for c in XYZ), F.lit(0.0))
     flip = F.when(facing < 0, -1.0).otherwise(1.0)
     return turned.select("seq", *[(F.col("n" + c) * flip).alias("n" + c) for c in XYZ])

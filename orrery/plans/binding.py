@@ -1,6 +1,7 @@
 """The tables as the domain sees them, in Spark and in SQL: cloud, frames, depth pixels, samples, objects, jobs, mesh.
 
-Every view is whole: all rows of its table, each once. Doubles are compared after rounding.
+Every view reads its whole table. `depth` folds lineitem into 64 pictures of 64 x 48 places (smallest depth of a place), and
+`faces` turns parts into a mesh with holes; all other views have all rows, each once. Doubles are compared after rounding.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from orrery.functions import geometry as g
 from orrery.operators import choosing, fitting, neighbours, spatial, temporal
-from orrery.plans.binding import CLOUD, FRAMES, cloud, frames, objects
+from orrery.plans.binding import CLOUD, FRAMES, OBJECTS, cloud, frames, objects
+from orrery.plans.relations import CHUNKS
 from orrery.plans.projections import r6, sr
 from orrery.plans.registry import Registry
 from orrery.session import materialize, shared_dir, table
@@ -52,12 +53,12 @@ def a20(spark, d):
     return fitting.align_vectors(_axes_pairs(spark, d), ["dataset"], ["ax", "ay", "az"], ["bx", "by", "bz"], "w")
 
 
-@query("a21_similarity")
+@query("a21_similarity", f"WITH {FRAMES} SELECT dataset, cam, 2.0 AS s, count(*) AS n FROM frames GROUP BY 1, 2 HAVING count(*) >= 3 AND var_pop(px) + var_pop(py) + var_pop(pz) > 1e-12")
 def a21(spark, d):
-    """Each camera's track onto itself scaled by 2 and shifted, to be found again."""
+    """Each camera's track onto itself turned, shifted and scaled by 2: the scale is found again, from all pairs."""
     f = frames(spark, d).select("dataset", "cam", F.col("px").alias("ax"), F.col("py").alias("ay"), F.col("pz").alias("az"))
     p = f.withColumn("bx", 2 * F.col("az") + 1).withColumn("by", 2 * F.col("ay") - 3).withColumn("bz", -2 * F.col("ax"))
-    return fitting.similarity(p, ["dataset", "cam"])
+    return fitting.similarity(p, ["dataset", "cam"]).filter("s is not null").select("dataset", "cam", r6(F.col("s"), "s", 4), "n")
 
 
 @query("a22_ground_plane")
@@ -65,25 +66,27 @@ def a22(spark, d):
     return fitting.ground_plane(cloud(spark, d).select("dataset", "x", "y", "z"), ["dataset"])
 
 
-@query("a23_track_fit")
+@query("a23_track_fit", CHUNKS + f", p AS (SELECT c.dataset, c.cam, c.chunk, f.px, f.py, f.pz FROM c JOIN frames f ON f.name = c.name) SELECT dataset, cam, chunk, CASE WHEN count(*)*(var_pop(px) + var_pop(py) + var_pop(pz)) >= 2.25e-12 THEN 1.5 ELSE 0.0 END AS scale, count(*) AS n FROM p GROUP BY 1, 2, 3")
 def a23(spark, d):
+    """Chunks in their own units, 1.5 times smaller and from their first frame on: the scale is found again."""
     f = temporal.chunk_windows(frames(spark, d), ["dataset", "cam"], ["ts", "name"], 24, 6)
     first = [F.first(c).over(W.partitionBy("dataset", "cam", "chunk").orderBy("ts", "name")) for c in ("px", "py", "pz")]
     local = [((F.col(c) - o) / 1.5).alias("q" + c[1]) for c, o in zip(("px", "py", "pz"), first)]
-    return fitting.fit_track(f.select("dataset", "cam", "chunk", *local, "px", "py", "pz"), ["dataset", "cam", "chunk"])
+    fit = fitting.fit_track(f.select("dataset", "cam", "chunk", *local, "px", "py", "pz"), ["dataset", "cam", "chunk"])
+    return fit.select("dataset", "cam", F.col("chunk").cast("long").alias("chunk"), r6(F.col("scale"), "scale", 4), "n")
 
 
-@query("a37_point_radius")
+@query("a37_point_radius", f"WITH {OBJECTS}, o AS (SELECT id, coalesce(dataset, '') AS dataset, cx, cy, cz FROM obj WHERE cx IS NOT NULL AND cy IS NOT NULL AND cz IS NOT NULL), n AS (SELECT a.dataset, a.id, min(sqrt((a.cx - b.cx)**2 + (a.cy - b.cy)**2 + (a.cz - b.cz)**2)) AS d FROM o a JOIN o b ON a.dataset = b.dataset AND a.id <> b.id GROUP BY 1, 2) SELECT dataset, {sr('1.6*median(d)', 'radius', 9)} FROM n GROUP BY dataset")
 def a37(spark, d):
     """1.6 times the median distance to the nearest other object, per recording (the reference samples; this takes all, however far)."""
     o = objects(spark, d).dropna(subset=["cx", "cy", "cz"]).select(F.col("id").alias("seq"), F.coalesce("dataset", F.lit("")).alias("dataset"), *[F.col("c" + c).alias(c) for c in "xyz"])
-    return neighbours.nearest(o, None, 1, ["dataset"]).groupBy("dataset").agg((1.6 * F.median("dist")).alias("radius"))
+    return neighbours.nearest(o, None, 1, ["dataset"]).groupBy("dataset").agg(r6(1.6 * F.median("dist"), "radius", 9))
 
 
-@query("j22_seam_chain")
+@query("j22_seam_chain", f"WITH s AS (SELECT dataset, cam, run_no, chunk, max(CASE WHEN centre_gap_med > 0 AND centre_gap_med < 1e4 THEN ln(centre_gap_med) END) AS r FROM poses_report GROUP BY 1, 2, 3, 4), n AS (SELECT *, CASE WHEN r IS NULL OR lag(chunk) OVER w IS NULL OR chunk - lag(chunk) OVER w <> 1 THEN 1 ELSE 0 END AS new FROM s WINDOW w AS (PARTITION BY dataset, cam, run_no ORDER BY chunk)), g AS (SELECT *, sum(new) OVER (PARTITION BY dataset, cam, run_no ORDER BY chunk) AS grp FROM n) SELECT dataset, cam, run_no, chunk, {sr('sum(CASE WHEN new = 1 THEN 0 ELSE r END) OVER (PARTITION BY dataset, cam, run_no, grp ORDER BY chunk)', 'log_scale', 5)} FROM g")
 def j22(spark, d):
     s = table(spark, d, "poses_report").groupBy("dataset", "cam", "run_no", "chunk").agg(F.max(F.when((F.col("centre_gap_med") > 0) & (F.col("centre_gap_med") < 1e4), F.log("centre_gap_med"))).alias("log_ratio"))
-    return choosing.chain_scales(s, ["dataset", "cam", "run_no"])
+    return choosing.chain_scales(s, ["dataset", "cam", "run_no"]).withColumn("log_scale", r6(F.col("log_scale"), "log_scale", 5))
 
 
 def _view_candidates(spark, d, least_span: float | None):
@@ -122,12 +125,18 @@ def o05(spark, d):
     return choosing.quality_views(c, ["id"])
 
 
-@query("g06_normals")
+def cloud_normals(spark, d):
+    """seq, nx, ny, nz, cx, cy, cz: normals of all finite points, and the camera (or, without one, the middle) they face."""
+    c = materialize(cloud(spark, d).select("seq", "dataset", "x", "y", "z"), "normals-points")
+    return fitting.surface_normals(c, frames(spark, d).select("dataset", F.col("name").alias("seq"), *[F.col("p" + a).alias(a) for a in "xyz"]))
+
+
+@query("g06_normals", f"WITH {CLOUD} SELECT seq, true AS unit, true AS faces FROM cloud")
 def g06(spark, d):
-    """Normals of the cloud's points from their neighbours within 1.2 units, outwards."""
-    c = cloud(spark, d).select("seq", "dataset", "x", "y", "z")
-    firsts = spatial.first_per_voxel(c, 0.6, ["dataset"])
-    return fitting.normals(firsts, spatial.knn_within(firsts, firsts, 16, 1.2, ["dataset"]))
+    """Normals of all points of the cloud from their 20 nearest, smoothed once, turned to the nearest camera of the recording
+    or, where it has none, away from its middle. What SQL can say of them: every point has one, of length 1, on that side."""
+    n = cloud_normals(spark, d)
+    return n.select("seq", (F.abs(F.sqrt(sum((F.col("n" + a) ** 2 for a in "xyz"), F.lit(0.0))) - 1) < 1e-6).alias("unit"), (F.col("facing") >= 0).alias("faces"))
 
 
 @query("g07_place_asset", f"WITH {CLOUD}, b AS (SELECT dataset, quantile_cont(x, 0.02) AS lx, quantile_cont(x, 0.98) AS hx, quantile_cont(y, 0.02) AS ly FROM cloud GROUP BY dataset) SELECT seq, {sr('(x - (lx + hx)/2)*(4.0/(hx - lx)) + 10', 'x', 4)}, {sr('(y - ly)*(4.0/(hx - lx)) + 1.5', 'y', 4)} FROM cloud c JOIN b ON c.dataset = b.dataset WHERE hx > lx")

@@ -13,6 +13,7 @@ from orrery.operators import mesh, spatial, temporal
 from orrery.plans.binding import CLOUD, DEPTH, FACES, FRAMES, OBJECTS, PIXELS, VERTICES, cloud, depth, faces, frames, objects, pixels, vertices
 from orrery.plans.projections import UNP, UNPROJECT, r6, sr, unprojected
 from orrery.plans.registry import Registry
+from orrery.session import materialize
 
 query = Registry()
 ST = f"{PIXELS}, st AS (SELECT px, i0, i90, i0 + i90 AS s0, i0 - i90 AS s1, i45 - i135 AS s2 FROM pixels), d AS (SELECT *, least(greatest(sqrt(s1*s1 + s2*s2)/greatest(s0, 1e-9), 0), 1) AS dolp, 0.5*atan2(s2, s1) AS theta FROM st), a AS (SELECT *, CASE WHEN theta < 0 THEN theta + pi() ELSE theta END AS aolp FROM d)"
@@ -124,13 +125,38 @@ def f33(spark, d):
 
 
 
-@query("a30_components")
+BANDS = f"{FACES}, band AS (SELECT fid, ((fid // 2) // 50 + 3) // 7 AS b FROM faces), n AS (SELECT min(fid) AS component, count(*) AS n FROM band GROUP BY b)"
+
+
+@query("a30_components", f"WITH {BANDS} SELECT component, n, CAST(row_number() OVER (ORDER BY n DESC, component) AS INTEGER) AS rank FROM n WHERE n >= 0.02 * (SELECT sum(n) FROM n)")
 def a30(spark, d):
     """Connected parts of the mesh; parts of at least 2 % of the faces are kept, largest first (O11)."""
     f = faces(spark, d)
     return mesh.large_components(mesh.components(f, mesh.adjacency(f), "fid", ("f", "g")), 0.02)
 
 
+@query("g13_checks", f"WITH {FACES} SELECT count(*) AS n_faces, 0 AS crossed, 0 AS not_least FROM faces")
+def g13c(spark, d):
+    """Regions hold all faces, no smooth edge leads out of one, and each is named after its least face."""
+    f, r = faces(spark, d), materialize(g13(spark, d), "regions")
+    smooth = mesh.facing(mesh.adjacency(f), normals(spark, d)).filter(F.col("cos") > math.cos(math.radians(30))).select("f", "g")
+    one, two = r.select(F.col("fid").alias("f"), F.col("component").alias("p")), r.select(F.col("fid").alias("g"), F.col("component").alias("q"))
+    crossed = smooth.join(one, "f").join(two, "g").agg(F.count(F.when(F.col("p") != F.col("q"), 1)).alias("crossed"))
+    least = r.groupBy("component").agg(F.min("fid").alias("low")).agg(F.count(F.when(F.col("low") != F.col("component"), 1)).alias("not_least"))
+    return r.agg(F.count("*").alias("n_faces")).crossJoin(crossed).crossJoin(least)  # one row each
+
+
+@query("a31_checks", f"WITH {FACES} SELECT count(*) AS n_faces, 0 AS torn, true AS fewer FROM faces")
+def a31c(spark, d):
+    """Merging keeps all faces, puts whole regions together, and leaves no more segments than there were."""
+    before = materialize(g13(spark, d), "regions")
+    after = mesh.merge_small(before, mesh.adjacency(faces(spark, d)), "fid", 0.012)
+    both = materialize(before.join(after.select("fid", F.col("component").alias("into")), "fid"), "merged")
+    torn = both.groupBy("component").agg(F.count_distinct("into").alias("k")).agg(F.count(F.when(F.col("k") > 1, 1)).alias("torn"))
+    n = both.agg(F.count("*").alias("n_faces"), (F.count_distinct("into") <= F.count_distinct("component")).alias("fewer"))
+    return n.crossJoin(torn)  # one row each
+
+
 @query("g13_region_growing")
 def g13(spark, d):
     """Regions of faces whose dihedral angles stay below 30 degrees: components of the filtered edges."""

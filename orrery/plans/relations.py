@@ -179,28 +179,14 @@ def _places(spark, d):
     return o.select(F.col("id").alias("seq"), F.coalesce("dataset", F.lit("")).alias("dataset"), *[F.col("c" + c).alias(c) for c in "xyz"])
 
 
-@query("j11_knn_within", NEAR_OBJECTS + f", p AS (SELECT a.seq AS id_a, b.seq AS id_b, row_number() OVER (PARTITION BY a.seq ORDER BY {RADIUS}, b.seq) AS rank FROM o a JOIN o b ON a.dataset = b.dataset AND a.seq <> b.seq AND {RADIUS} <= 400) SELECT id_a, id_b, rank FROM p WHERE rank <= 4")
+@query("j11_knn_within", NEAR_OBJECTS + f" SELECT a.seq AS id_a, b.seq AS id_b, row_number() OVER (PARTITION BY a.seq ORDER BY {RADIUS}, b.seq) AS rank FROM o a JOIN o b ON a.dataset = b.dataset AND a.seq <> b.seq QUALIFY rank <= 4")
 def j11(spark, d):
-    """The nearest other objects of the recording within 20 units, four at most; `j11_knn` has no radius."""
-    o = _places(spark, d)
-    return spatial.knn_within(o, o, 4, 20.0, ["dataset"]).select("id_a", "id_b", "rank")
-
-
-@query("j11_knn", NEAR_OBJECTS + f" SELECT a.seq AS id_a, b.seq AS id_b, row_number() OVER (PARTITION BY a.seq ORDER BY {RADIUS}, b.seq) AS rank FROM o a JOIN o b ON a.dataset = b.dataset AND a.seq <> b.seq QUALIFY rank <= 4")
-def j11k(spark, d):
     """The four nearest other objects of the recording, however far."""
     return neighbours.nearest(_places(spark, d), None, 4, ["dataset"]).select("id_a", "id_b", "rank")
 
 
-@query("j12_nearest_camera", NEAR_OBJECTS + f", {FRAMES}, f AS (SELECT name, dataset, px AS x, py AS y, pz AS z FROM frames), p AS (SELECT a.seq AS id, b.name, row_number() OVER (PARTITION BY a.seq ORDER BY {RADIUS}, b.name) AS rank FROM o a JOIN f b ON a.dataset = b.dataset AND {RADIUS} <= 900) SELECT id, name FROM p WHERE rank = 1")
+@query("j12_nearest_camera", NEAR_OBJECTS + f", {FRAMES}, f AS (SELECT name, dataset, px AS x, py AS y, pz AS z FROM frames) SELECT a.seq AS id, arg_min(b.name, {RADIUS}) AS name FROM o a JOIN f b ON a.dataset = b.dataset GROUP BY a.seq")
 def j12(spark, d):
-    """The nearest frame of the object's recording within 30 units; `j12_nearest` has no radius."""
-    f = frames(spark, d).select("dataset", F.col("name").alias("seq"), *[F.col("p" + c).alias(c) for c in "xyz"])
-    return spatial.knn_within(_places(spark, d), f, 1, 30.0, ["dataset"]).select(F.col("id_a").alias("id"), F.col("id_b").alias("name"))
-
-
-@query("j12_nearest", NEAR_OBJECTS + f", {FRAMES}, f AS (SELECT name, dataset, px AS x, py AS y, pz AS z FROM frames) SELECT a.seq AS id, arg_min(b.name, {RADIUS}) AS name FROM o a JOIN f b ON a.dataset = b.dataset GROUP BY a.seq")
-def j12n(spark, d):
     """The nearest frame of the object's recording, however far."""
     f = frames(spark, d).select("dataset", F.col("name").alias("seq"), *[F.col("p" + c).alias(c) for c in "xyz"])
     return neighbours.nearest(_places(spark, d), f, 1, ["dataset"]).select(F.col("id_a").alias("id"), F.col("id_b").alias("name"))
@@ -505,7 +491,10 @@ def w01(spark, d):
     return sessions(spark, d).groupBy("dataset", "cam", "session").agg(F.count("*").alias("n"))
 
 
-@query("w01_merged_sessions")
+MERGED = ", n0 AS (SELECT dataset, cam, CAST(session AS BIGINT) AS session, count(*) AS n FROM s GROUP BY 1, 2, 3), n AS (SELECT *, row_number() OVER (PARTITION BY dataset, cam ORDER BY session) AS k FROM n0), r AS (SELECT dataset, cam, k, session, session AS merged, n AS size FROM n WHERE k = 1 UNION ALL SELECT n.dataset, n.cam, n.k, n.session, CASE WHEN n.n < 6 OR r.size < 6 THEN r.merged ELSE n.session END, CASE WHEN n.n < 6 OR r.size < 6 THEN r.size + n.n ELSE n.n END FROM r JOIN n ON n.dataset = r.dataset AND n.cam = r.cam AND n.k = r.k + 1) SELECT dataset, cam, session, merged FROM r"
+
+
+@query("w01_merged_sessions", SESS.replace("WITH ", "WITH RECURSIVE ", 1) + MERGED)
 def w01m(spark, d):
     return temporal.merge_short(w01(spark, d), ["dataset", "cam"], 6)
 
@@ -618,18 +607,18 @@ def o03(spark, d):
     return jobs(spark, d).filter(F.coalesce("hidden", F.lit(0)) == 0).orderBy(F.desc("id")).limit(6).select("id", "kind", "status")
 
 
-@query("o06_hash_sample")
+@query("o06_hash_sample", f"WITH {CLOUD} SELECT seq, md5(seq::VARCHAR) AS h FROM cloud ORDER BY h, seq LIMIT 1000")
 def o06(spark, d):
     """A fixed sample of a capped size: the points whose hash is smallest, the same in every run."""
-    return cloud(spark, d).select("seq", F.xxhash64("seq", F.lit(7)).alias("h")).orderBy("h", "seq").limit(1000)
+    return cloud(spark, d).select("seq", F.md5(F.col("seq").cast("string")).alias("h")).orderBy("h", "seq").limit(1000)
 
 
-@query("o07_lod_order")
+@query("o07_lod_order", f"WITH {CLOUD} SELECT dataset, seq, row_number() OVER (PARTITION BY dataset ORDER BY md5(seq::VARCHAR), seq) - 1 AS lod_rank FROM cloud")
 def o07(spark, d):
     """Level-of-detail rank: a hash order within each recording, so that every prefix is a fair sample."""
     from orrery.operators.spikes import numbered
 
-    c = cloud(spark, d).select("dataset", "seq", F.xxhash64("seq").alias("h")).withColumn("bucket", F.shiftright("h", 54))
+    c = cloud(spark, d).select("dataset", "seq", F.md5(F.col("seq").cast("string")).alias("h")).withColumn("bucket", F.substring("h", 1, 4))
     return numbered(c, ["dataset"], "bucket", ["h", "seq"]).select("dataset", "seq", F.col("pos").alias("lod_rank"))
 
 
