@@ -82,14 +82,12 @@ def quantiles(rows: DataFrame, by: Sequence[str], wanted: dict[str, tuple[str, f
     counted = tagged.groupBy(*by, "q", "n", F.when(F.col("side") == 0, F.col("v")).alias("v")).agg(F.count("*").alias("c"))
     w = W.partitionBy(*by, "q").orderBy(F.col("v").asc_nulls_first())
     placed = counted.withColumn("upto", F.sum("c").over(w.rowsBetween(W.unboundedPreceding, 0))).filter("v is not null")
-    out = []
-    for n, (_, share) in spec.items():
-        at = (F.col("n") - 1) * share
-        low, high = F.floor(at), F.ceil(at)
-        hit = lambda k: F.min(F.when((F.col("q") == n) & (F.col("upto") > k), F.col("v")))
-        out += [hit(low).alias("_a" + n), hit(high).alias("_b" + n), F.max(F.when(F.col("q") == n, at - low)).alias("_f" + n)]
-    found = placed.groupBy(*by).agg(*out)
-    return found.select(*by, *[(F.col("_a" + n) + (F.col("_b" + n) - F.col("_a" + n)) * F.col("_f" + n)).alias(n) for n in spec])
+    share = F.create_map(*[F.lit(x) for n, (_, q) in spec.items() for x in (n, float(q))])[F.col("q")]
+    at = placed.withColumn("_at", (F.col("n") - 1) * share)
+    hit = lambda k: F.min(F.when(F.col("upto") > k, F.col("v")))
+    each = at.groupBy(*by, "q").agg(hit(F.floor("_at")).alias("_a"), hit(F.ceil("_at")).alias("_b"), F.max(F.col("_at") - F.floor("_at")).alias("_f"))
+    value = F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")
+    return each.groupBy(*by).agg(*[F.max(F.when(F.col("q") == n, value)).alias(n) for n in spec])
 
 
 def trim_outliers(points: DataFrame, share: float, by: Sequence[str] = (), slack: float = 0.0) -> DataFrame:

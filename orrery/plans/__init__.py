@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["data_quality", "projections", "relations", "kernels", "fits", "composites", "statements", "checks"]
+MODULES = ["data_quality", "projections", "relations", "kernels", "fits", "composites", "statements", "checks", "assets"]
 FLAGSHIP = "a11_axis_box"
 
 

@@ -218,11 +218,13 @@ def t05(spark, d):
     return incremental.run_to_end(incremental.latest_state(j, "id", "o", ["status"]), shared_dir(spark, "stream"), shared_dir(spark, "stream-log"), "complete")
 
 
-@query("t07_stream_sessions")
+@query("t07_stream_sessions", """WITH e AS (SELECT event_type, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts) < INTERVAL 20 MINUTE THEN 0 ELSE 1 END AS new FROM events), g AS (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e)
+SELECT event_type, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) + 1200000000 AS end_us, count(*) AS n FROM g GROUP BY event_type, s HAVING epoch_us(max(ts)) + 1800000000 <= (SELECT epoch_us(max(ts)) FROM events)""")
 def t07(spark, d):
     """Sessions with a fixed gap of 20 minutes; those still open at the end of the input do not come out."""
     e = _file_stream(spark, d, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
     s = incremental.gap_sessions(e, ["event_type"], "ts", "20 minutes", "10 minutes")
+    s = s.select("event_type", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
     return incremental.run_to_end(s, shared_dir(spark, "stream"), shared_dir(spark, "stream-log"))
 
 
