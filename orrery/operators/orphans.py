@@ -1,6 +1,7 @@
 """References to records that do not exist, by bitmaps.
 
-Keys are integers (other keys go through `dictionary`). A key falls into a range of 32,768 keys and a bit in it. Per
+Keys are integers. Where they are sparse (hashes, ids with wide gaps) they go through `dictionary`, a dense code for each.
+A key falls into a range of 32,768 keys and a bit in it. Per
 range and period there is a bitmap of the keys referred to, of the keys created and of the keys deleted. Going through
 the periods, a range's referred-to bits AND NOT the bits that live through the whole period leave the suspects, which
 are decoded; only rows with these keys are checked against the moments of creation and deletion.
@@ -16,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from orrery.session import materialize
+
 RANGE = 32_768
 DAY = 86_400
 
@@ -25,22 +28,52 @@ def seconds(epoch: Column) -> Column:
     return F.when(F.abs(epoch) > 1e11, epoch / 1000).otherwise(epoch)
 
 
+#: Keys that a range holds on average below which keys are encoded: a bitmap costs 4 KB however few they are.
+SPARSE = 64
+
+
 def dictionary(keys: DataFrame, column: str) -> DataFrame:
-    """Key and code: a dense integer for each distinct non-null key, in key order; for keys that are no integers.
+    """Key and code: a dense integer for each distinct non-null key, in the order of texts and of positive integers.
 
-    Codes come from counts per range of the sorted keys, so no task sees all keys.
+    Integers are told apart by four times 16 bits and codes come from counts on each level, so no window sees more than the
+    values of 16 bits. Texts are counted by their first three bytes.
     """
-    distinct = keys.select(column).filter(F.col(column).isNotNull()).distinct().withColumn("_bin", F.substring(F.hex(F.col(column).cast("string")), 1, 6))
-    starts = distinct.groupBy("_bin").agg(F.count("*").alias("_n")).withColumn("_hi", F.substring("_bin", 1, 2))
-    # Two levels: bins within their first byte, and first bytes (at most 256) among each other.
-    tops = starts.groupBy("_hi").agg(F.sum("_n").alias("_m"))
-    prior = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
-    tops = tops.withColumn("_top", F.coalesce(F.sum("_m").over(prior(W.orderBy("_hi"))), F.lit(0))).drop("_m")
-    starts = starts.withColumn("_low", F.coalesce(F.sum("_n").over(prior(W.partitionBy("_hi").orderBy("_bin"))), F.lit(0))).join(tops, "_hi")
+    distinct = keys.select(column).filter(F.col(column).isNotNull()).distinct()
+    if dict(keys.dtypes)[column] not in ("bigint", "int", "smallint", "tinyint"):
+        return _text_dictionary(distinct, column)
+    h = F.col(column).cast("long")
+    levels = {f"_l{i}": F.shiftright("_h", 64 - 16 * i) for i in (1, 2, 3)}
+    distinct = materialize(distinct.withColumn("_h", h).select(column, "_h", *[c.alias(n) for n, c in levels.items()]), "dictionary")
+    three = distinct.groupBy("_l1", "_l2", "_l3").agg(F.count("*").alias("_n"))
+    two = three.groupBy("_l1", "_l2").agg(F.sum("_n").alias("_m"))
+    one = two.groupBy("_l1").agg(F.sum("_m").alias("_k"))
+    before = lambda n, w: F.coalesce(F.sum(n).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    one = one.select("_l1", before("_k", W.partitionBy(F.lit(0)).orderBy("_l1")).alias("_a"))  # at most 65,536 rows
+    two = two.select("_l1", "_l2", before("_m", W.partitionBy("_l1").orderBy("_l2")).alias("_b"))
+    three = three.select("_l1", "_l2", "_l3", before("_n", W.partitionBy("_l2").orderBy("_l3")).alias("_c"))
+    starts = three.join(two, ["_l1", "_l2"]).join(one, "_l1").select("_l3", (F.col("_a") + F.col("_b") + F.col("_c")).alias("_start"))
+    nth = F.row_number().over(W.partitionBy("_l3").orderBy("_h", column)) - 1
+    return distinct.withColumn("_nth", nth).join(starts, "_l3").select(column, (F.col("_start") + F.col("_nth")).alias("code"))
+
+
+def _text_dictionary(distinct: DataFrame, column: str) -> DataFrame:
+    distinct = distinct.withColumn("_bin", F.substring(F.hex(F.col(column).cast("string")), 1, 6))
+    counts = distinct.groupBy("_bin").agg(F.count("*").alias("_n")).withColumn("_hi", F.substring("_bin", 1, 2))
+    before = lambda n, w: F.coalesce(F.sum(n).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    tops = counts.groupBy("_hi").agg(F.sum("_n").alias("_m"))  # at most 257 rows
+    tops = tops.select("_hi", before("_m", W.partitionBy(F.lit(0)).orderBy("_hi")).alias("_top"))
+    starts = counts.withColumn("_low", before("_n", W.partitionBy("_hi").orderBy("_bin"))).join(tops, "_hi")
     nth = F.row_number().over(W.partitionBy("_bin").orderBy(column)) - 1
     return distinct.withColumn("_nth", nth).join(starts, "_bin").select(column, (F.col("_top") + F.col("_low") + F.col("_nth")).alias("code"))
 
 
+def is_sparse(references: DataFrame, parents: DataFrame) -> bool:
+    """Whether ranges of keys hold few keys; counted approximately, in one pass and one row."""
+    both = references.select("key").union(parents.select("key"))
+    n = both.agg(F.approx_count_distinct("key").alias("keys"), F.approx_count_distinct(F.shiftright("key", 15)).alias("ranges")).head()
+    return n["keys"] < SPARSE * n["ranges"] and n["ranges"] > 1
+
+
 def bitmaps(df: DataFrame, key: str, period: Column, kind: str) -> DataFrame:
     """range, period, kind, bits: a bitmap of the keys of each range and period; partial bitmaps are made before the shuffle."""
     k = F.col(key).cast("long")
@@ -99,16 +132,23 @@ def suspects(references: DataFrame, parents: DataFrame) -> DataFrame:
     return used.groupBy("range").cogroup(both.groupBy("range")).applyInPandas(and_not, "key long, period long")
 
 
-def orphans(references: DataFrame, parents: DataFrame) -> DataFrame:
+def orphans(references: DataFrame, parents: DataFrame, encode: bool | None = None) -> DataFrame:
     """The rows of references whose key has no parent alive at their time, with all their columns.
 
     references: key (bigint), at (seconds) and any other columns. parents: key, created, deleted, in seconds.
     A parent is alive at a time if created at or before it and not deleted by then. Rows with a null key are no
     references. A reference with a null time is one at the end of time. A parent with null created never lives.
+    Keys index the bitmaps through a dictionary if encode says so; by default where they are sparse.
     """
     end = 253_402_300_799.0
     refs = references.filter(F.col("key").isNotNull()).withColumn("__at", F.coalesce("at", F.lit(end)))
-    found = suspects(refs.select("key", F.col("__at").alias("at")), parents)
+    if is_sparse(refs, parents) if encode is None else encode:
+        codes = materialize(dictionary(refs.select("key").union(parents.select("key")), "key"), "codes")
+        coded = lambda df: df.join(codes, "key").drop("key").withColumnRenamed("code", "key")
+        found = suspects(coded(refs.select("key", F.col("__at").alias("at"))), coded(parents.select("key", "created", "deleted")))
+        found = found.withColumnRenamed("key", "code").join(codes, "code").select("key", "period")
+    else:
+        found = suspects(refs.select("key", F.col("__at").alias("at")), parents)
     rows = refs.withColumn("__day", F.floor(F.col("__at") / DAY).cast("long"))
     hit = found.select(F.col("key").alias("__key"), F.col("period").alias("__period"))
     rows = rows.join(hit, (rows["key"] == hit["__key"]) & (rows["__day"] == hit["__period"]), "left_semi")

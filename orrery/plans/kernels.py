@@ -115,6 +115,20 @@ def g14(spark, d):
     return mesh.facing(mesh.adjacency(faces(spark, d)), normals(spark, d)).filter(F.col("cos") < math.cos(math.radians(35))).select("f", "g", r6(F.col("cos"), "cos", 5))
 
 
+@query("g14_crease_edges", f"WITH {NORM}, e AS (SELECT fid, least(a, b) AS u, greatest(a, b) AS v FROM faces UNION ALL SELECT fid, least(b, c), greatest(b, c) FROM faces UNION ALL SELECT fid, least(c, a), greatest(c, a) FROM faces), n AS (SELECT u, v, count(*) AS k, min(fid) AS f, max(fid) AS g FROM e GROUP BY 1, 2), t AS (SELECT n.u, n.v, round(degrees(acos(least(greatest(p.nx*q.nx + p.ny*q.ny + p.nz*q.nz, -1), 1))), 6) AS angle FROM n JOIN fn p ON p.fid = n.f JOIN fn q ON q.fid = n.g WHERE k = 2), lim AS (SELECT CASE WHEN count(*) FILTER (angle > 35) < 300 THEN greatest(12, quantile_cont(angle, 0.97)) ELSE 35 END AS lim FROM t) SELECT u, v, angle FROM t, lim WHERE angle > lim UNION ALL SELECT u, v, NULL FROM n WHERE k = 1")
+def g14e(spark, d):
+    """Crease edges of the mesh: borders, and edges with an angle above 35 degrees or, where these are fewer than 300, above
+    the 97th percentile of all angles, 12 degrees at least."""
+    e = mesh.edges_of(faces(spark, d)).groupBy("u", "v").agg(F.count("*").alias("k"), F.min("fid").alias("f"), F.max("fid").alias("g"))
+    e = materialize(e, "edges")
+    cos = mesh.facing(e.filter("k = 2"), normals(spark, d))
+    t = materialize(cos.select("u", "v", F.round(F.degrees(F.acos(F.least(F.greatest("cos", F.lit(-1.0)), F.lit(1.0)))), 6).alias("angle")), "angles")
+    usual = spatial.quantiles(t, [], {"p97": ("angle", 0.97)})
+    lim = t.agg(F.count(F.when(F.col("angle") > 35, 1)).alias("n")).crossJoin(usual).select(F.when(F.col("n") < 300, F.greatest(F.lit(12.0), "p97")).otherwise(35.0).alias("lim"))  # one row
+    sharp = t.crossJoin(F.broadcast(lim)).filter("angle > lim").select("u", "v", "angle")
+    return sharp.unionByName(e.filter("k = 1").select("u", "v", F.lit(None).cast("double").alias("angle")))
+
+
 @query("f33_contour_edges", f"WITH {NORM}, {ADJ} SELECT adj.f, adj.g FROM adj JOIN fn p ON adj.f = p.fid JOIN fn q ON adj.g = q.fid WHERE (0.6*p.nx + 0.2*p.nz > 0) <> (0.6*q.nx + 0.2*q.nz > 0)")
 def f33(spark, d):
     side = normals(spark, d).select("fid", (0.6 * F.col("nx") + 0.2 * F.col("nz") > 0).alias("front"))

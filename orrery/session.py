@@ -68,7 +68,12 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: lineage ends there, and a lost executor loses nothing."""
+    """Write df to the shared folder and read it again: lineage ends there, and a lost executor loses nothing.
+
+    What was written goes when the driver ends, as results may be read until then.
+    """
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
+    p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -20,5 +20,30 @@ def test_query(spark, con, name):
     assert ok, said
 
 
+#: Queries without SQL, and the query with SQL or the test that holds the same operator to something.
+WITHOUT_SQL = {
+    "g13_region_growing": "g13_checks",
+    "a31_segment_merge": "a31_checks",
+    "a12_oriented_box": "a12_checks",
+    "a13_principal_axes": "a13_checks",
+    "a19_mean_rotation": "a19_checks",
+    "a20_rig_rotation": "a20_checks",
+    "a22_ground_plane": "a22_checks",
+    "o04_auto_views": "o04_checks",
+    "o05_quality_views": "o05_first_choice",
+    "g08_shape_class": "g08_checks",
+    "pol_01_demosaic": "test_sources.test_raster_kernels",
+    "pol_13_edges": "test_sources.test_raster_kernels",
+    "pol_14_segments": "test_sources.test_raster_kernels",
+    "pol_15_outline": "test_sources.test_raster_kernels",
+    "pol_16_integrate": "test_sources.test_raster_kernels",
+    "extra_approx_distinct": "built in",
+}
+
+
+def test_every_query_has_sql_or_another_check():
+    assert set(QUERIES) - set(SQLS) == set(WITHOUT_SQL)
+
+
 def test_names_match():
     assert set(SQLS) <= set(QUERIES)

@@ -44,3 +44,19 @@ def test_seconds_and_dictionary(spark):
     keys = spark.createDataFrame([(k,) for k in ["b", "a", None, "c", "b", "ä", ""]], "k string")
     codes = {r["k"]: r["code"] for r in o.dictionary(keys, "k").collect()}
     assert sorted(codes.values()) == list(range(5)) and codes[""] == 0 and codes["a"] < codes["b"] < codes["c"]
+
+
+def test_sparse_keys_go_through_the_dictionary(spark):
+    from pyspark.sql import functions as F
+
+    ids = spark.range(400).select(F.xxhash64("id").alias("key"), (F.col("id") % 7).alias("n"))
+    parents = ids.filter("n <> 3").select("key", F.lit(10.0).alias("created"), F.when(F.col("n") == 5, 50.0).alias("deleted"))
+    refs = ids.select("key", "n", F.lit(60.0).alias("at"))
+    assert o.is_sparse(refs, parents)
+    codes = o.dictionary(refs, "key").toPandas()["code"]
+    assert sorted(codes) == list(range(400))
+    for encode in (None, True, False):
+        got = o.orphans(refs, parents, encode).groupBy("n").count().collect()
+        assert {r["n"]: r["count"] for r in got} == {3: 57, 5: 57}
+    dense = spark.range(1000).select(F.col("id").alias("key"))
+    assert not o.is_sparse(dense, dense)
