@@ -337,11 +337,12 @@ class Reader:
         return known
 
     def passages(self, text: str) -> Iterator[list[int]]:
-        codes, coded = self.codes, self.coded
+        known, coded = self.codes.get, self.coded
         for part in parts_of(self.restorer.apart(text)):
             words: list[int] = []
             for t in part.split():
-                words += codes.get(t) or coded(t)
+                code = known(t)
+                words += coded(t) if code is None else code
             if len(words) <= PASSAGE_WORDS:
                 if words:
                     yield words

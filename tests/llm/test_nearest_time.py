@@ -44,3 +44,14 @@ def test_ties_and_empty(spark):
     assert run(spark, [], right) == set() and run(spark, [("x", "q", us(50), None)], []) == set()
     assert run(spark, [("x", "q", us(120_500), None)], right[2:]) == {("q", "a", -120_000)}
     assert run(spark, [("x", "q", us(120_501), None)], right[2:]) == set()
+
+
+def test_repeated_keys_carry_the_smallest_values(spark):
+    import datetime as dt
+
+    from orrery.llm import nearest_time as n
+
+    t0 = dt.datetime(2026, 6, 1)
+    left = spark.createDataFrame([("r", "b", t0)], "recording string, key string, ts timestamp")
+    right = spark.createDataFrame([("r", "a", t0, [2.0, float("nan")]), ("r", "a", t0, [2.0, 1.0]), ("r", "a", t0, [2.0, 3.0])], "recording string, key string, ts timestamp, p array<double>")
+    assert [r["p"] for r in n.match_nearest(left, right, ["recording"], 10, carry=["p"]).collect()] == [[2.0, 1.0]]

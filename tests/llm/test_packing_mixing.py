@@ -99,3 +99,24 @@ def test_mix(spark):
     assert max(abs(x).max() for x in run.values()) < 1
     empty, rep0 = m.mix(df.limit(0), targets)
     assert empty.count() == 0 and rep0.count() == 4
+
+
+def test_rounds_keep_each_source_within_a_block(spark):
+    blocks = {"a": 5000, "b": 300, "c": 41, "d": 7, "none": 0}
+    got = m.schedule(spark, blocks, round_slots=256).orderBy("slot").toPandas()
+    total = sum(blocks.values())
+    assert got["slot"].tolist() == list(range(total)) and set(got["source"]) == set(blocks) - {"none"}
+    for s, rows in got.groupby("source"):
+        assert rows["block"].tolist() == list(range(blocks[s]))  # each block once, in order
+        share = blocks[s] / total
+        slot, block = rows["slot"].to_numpy(), rows["block"].to_numpy()
+        assert np.maximum(share * slot - block, block + 1 - share * (slot + 1)).max() < 2  # half blocks
+    assert m.schedule(spark, {}).count() == 0
+
+
+def test_exact_pieces_have_the_tokens_of_the_whole():
+    text = ("word 12a,  b" * 30_000) + "\n\n  x" + "ab1" * 40_000 + "y" * 250_000
+    enc = t.encoder(t.VOCABULARY)
+    parts = list(t.exact_pieces(text))
+    assert "".join(parts) == text and len(parts) > 1
+    assert sum(len(enc.encode_ordinary(p)) for p in parts) == len(enc.encode_ordinary(text))
