@@ -109,7 +109,7 @@ REPORT = f"""{SESS}, hole AS (SELECT dataset, cam, max(session) AS holes FROM s
 len AS (SELECT dataset, cam, count(*) AS n_frames, coalesce(sum(step), 0) AS path FROM way GROUP BY 1, 2), seam AS (SELECT rtrim(trim(coalesce(dataset, '')), '/') AS dataset, cam, median(centre_gap_med) AS gap, median(rot_spread_deg) AS spread FROM (SELECT DISTINCT * FROM poses_report) WHERE centre_gap_med > 0 AND centre_gap_med < 1e4 GROUP BY 1, 2)"""
 
 
-@query("a36_pose_report_full", REPORT + f" SELECT len.dataset, len.cam, n_frames, {sr('path', 'path_len', 2)}, CAST(holes AS BIGINT) AS time_holes, {sr('gap', 'seam_gap', 4)}, {sr('spread', 'seam_spread', 3)} FROM len JOIN hole ON len.dataset = hole.dataset AND len.cam = hole.cam LEFT JOIN seam ON len.dataset = seam.dataset AND len.cam = seam.cam")
+@query("a36_pose_report_full", REPORT + f" SELECT len.dataset, len.cam, n_frames, {sr('path', 'path_len', 2)}, CAST(holes AS BIGINT) AS time_holes, {sr('gap', 'seam_gap', 6)}, {sr('spread', 'seam_spread', 6)} FROM len JOIN hole ON len.dataset = hole.dataset AND len.cam = hole.cam LEFT JOIN seam ON len.dataset = seam.dataset AND len.cam = seam.cam")
 def a36(spark, d):
     """Per camera of a recording: frames, length of its path, holes in time, and medians over its seams."""
     from orrery.functions.names import recording
@@ -121,7 +121,7 @@ def a36(spark, d):
     holes = sessions(spark, d).groupBy(*by).agg(F.max("session").cast("long").alias("time_holes"))
     seams = table(spark, d, "poses_report").distinct().filter("centre_gap_med > 0 and centre_gap_med < 1e4").withColumn("dataset", recording(F.col("dataset")))
     seam = seams.groupBy(*by).agg(F.median("centre_gap_med").alias("gap"), F.median("rot_spread_deg").alias("spread"))
-    return path.join(holes, by).join(seam, by, "left").select(*by, "n_frames", r6(F.col("path"), "path_len", 2), "time_holes", r6(F.col("gap"), "seam_gap", 4), r6(F.col("spread"), "seam_spread", 3))
+    return path.join(holes, by).join(seam, by, "left").select(*by, "n_frames", r6(F.col("path"), "path_len", 2), "time_holes", r6(F.col("gap"), "seam_gap", 6), r6(F.col("spread"), "seam_spread", 6))
 
 
 # ---- G

@@ -349,12 +349,12 @@ def a11(spark, d):
     return roi_points(spark, d).agg(*box, F.count("*").alias("npts"))
 
 
-@query("a10_roi_union", f"WITH {OBJECTS}, o AS (SELECT coalesce(dataset, '') AS dataset, label, cx AS x, cy AS y, cz AS z FROM obj WHERE cx IS NOT NULL AND cy IS NOT NULL AND cz IS NOT NULL AND label <> ''), m AS (SELECT dataset, label, median(x) AS mx, median(y) AS my, median(z) AS mz FROM o GROUP BY 1, 2), r AS (SELECT o.*, sqrt((x - mx)**2 + (y - my)**2 + (z - mz)**2) AS r FROM o JOIN m USING (dataset, label)), l AS (SELECT dataset, label, quantile_cont(r, 0.92) AS lim FROM r GROUP BY 1, 2) SELECT dataset, label, " + ", ".join(sr(f"(min({c}) + max({c}))/2", f"c{c}", 3) + ", " + sr(f"greatest(max({c}) - min({c}), 0.001)", f"s{c}", 3) for c in "xyz") + ", count(*) AS n FROM r JOIN l USING (dataset, label) WHERE r < lim + 1e-6 GROUP BY 1, 2 HAVING count(*) > 1")
+@query("a10_roi_union", f"WITH {OBJECTS}, o AS (SELECT coalesce(dataset, '') AS dataset, label, cx AS x, cy AS y, cz AS z FROM obj WHERE cx IS NOT NULL AND cy IS NOT NULL AND cz IS NOT NULL AND label <> ''), m AS (SELECT dataset, label, median(x) AS mx, median(y) AS my, median(z) AS mz FROM o GROUP BY 1, 2), r AS (SELECT o.*, sqrt((x - mx)**2 + (y - my)**2 + (z - mz)**2) AS r FROM o JOIN m USING (dataset, label)), l AS (SELECT dataset, label, quantile_cont(r, 0.92) AS lim FROM r GROUP BY 1, 2) SELECT dataset, label, " + ", ".join(sr(f"(min({c}) + max({c}))/2", f"c{c}", 5) + ", " + sr(f"greatest(max({c}) - min({c}), 0.001)", f"s{c}", 5) for c in "xyz") + ", count(*) AS n FROM r JOIN l USING (dataset, label) WHERE r < lim + 1e-6 GROUP BY 1, 2 HAVING count(*) > 1")
 def a10(spark, d):
     """Observations of one label in one recording, concatenated, trimmed and fitted together with an axis box."""
     o = objects(spark, d).dropna(subset=["cx", "cy", "cz"]).filter("label <> ''").select(F.coalesce("dataset", F.lit("")).alias("dataset"), "label", *[F.col("c" + c).alias(c) for c in "xyz"])
     kept = spatial.trim_outliers(o, 0.92, ["dataset", "label"], 1e-6)
-    box = [x for c in "xyz" for x in (r6((F.min(c) + F.max(c)) / 2, f"c{c}", 3), r6(F.greatest(F.max(c) - F.min(c), F.lit(1e-3)), f"s{c}", 3))]
+    box = [x for c in "xyz" for x in (r6((F.min(c) + F.max(c)) / 2, f"c{c}", 5), r6(F.greatest(F.max(c) - F.min(c), F.lit(1e-3)), f"s{c}", 5))]
     return kept.groupBy("dataset", "label").agg(*box, F.count("*").alias("n")).filter("n > 1")
 
 

@@ -90,3 +90,40 @@ def test_stream_equals_batch(spark, tmp_path):
     near = incremental.run_to_end(incremental.nearest_so_far(stream(), 0.7, "z"), str(tmp_path / "o2"), str(tmp_path / "c2"), "complete")
     want = spatial.nearest_per_voxel(df, 0.7, "z")
     assert near.exceptAll(want.select(*near.columns)).count() == 0 and near.count() == want.count()
+
+
+def test_quantiles_are_exact(spark):
+    from orrery.operators import spatial
+
+    rng = np.random.default_rng(3)
+    x = np.r_[rng.normal(0, 1, 30_000), np.repeat(0.25, 4_000)]
+    few = [1.0, 5.0, None, 2.0]
+    df = spark.createDataFrame([("big", float(v)) for v in x] + [("few", v) for v in few] + [("none", None)], "k string, v double")
+    got = {r["k"]: r for r in spatial.quantiles(df, ["k"], {"a": ("v", 0.5), "b": ("v", 0.003), "c": ("v", 0.92), "d": ("v", 1.0)}).collect()}
+    for n, q in (("a", 0.5), ("b", 0.003), ("c", 0.92), ("d", 1.0)):
+        assert got["big"][n] == pytest.approx(np.quantile(x, q), abs=1e-12)
+        assert got["few"][n] == pytest.approx(np.quantile([1.0, 2.0, 5.0], q))
+    assert "none" not in got
+    one = spatial.quantiles(df.filter("k = 'few'"), [], {"a": ("v", 0.5)}).collect()
+    assert [tuple(r) for r in one] == [(2.0,)]
+
+
+def test_neighbours_in_time_over_blocks_and_hours(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from orrery.operators import temporal
+
+    monkeypatch.setattr(temporal.in_blocks, "__defaults__", (50,))
+    rows = spark.range(400).select(F.lit("r").alias("k"), (F.col("id") * 37_000_000).alias("t"), F.col("id").alias("v"))
+    got = temporal.beside(rows, ["k"], "t", ["t", "v"], {"before": ("v", -1), "two": ("v", 2)}).orderBy("pos").collect()
+    assert [(r["pos"], r["v"], r["before"], r["two"]) for r in got] == [(i, i, i - 1 if i else None, i + 2 if i < 398 else None) for i in range(400)]
+
+
+def test_crowded_voxels_are_cut_and_lose_nothing(spark, monkeypatch):
+    from orrery.operators import spatial
+
+    monkeypatch.setattr(spatial, "SLOT", 8)
+    pts = spark.createDataFrame([(i, 0.1 if i < 60 else float(i), 0.0, 0.0) for i in range(70)], "seq long, x double, y double, z double")
+    got = {tuple(r) for r in spatial.radius_join(pts, pts, 1.0).select("id_a", "id_b").collect()}
+    x = [0.1 if i < 60 else float(i) for i in range(70)]
+    assert got == {(a, b) for a in range(70) for b in range(70) if a != b and abs(x[a] - x[b]) <= 1.0}

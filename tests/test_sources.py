@@ -115,3 +115,21 @@ def test_raster_kernels():
     n[2, 3, 0] = -0.5
     assert (raster.relax(n)[..., 0] == 0.5).all()
     assert len(raster.outline(np.array([[0.0, 0], [1, 0], [1, 1]]), 4)) == 12
+
+
+def test_splats_keep_their_order(spark, tmp_path):
+    points.register(spark)
+    g = spark.createDataFrame([(float(i), 0.0, 0.0, (i * 7) % 256, 0, 255) for i in range(2000)], "x float, y float, z float, r int, g int, b int").repartition(6)
+    gs = packs.gaussians(g, 0.1).withColumn("opacity", (packs.F.col("x") / 500).cast("float"))
+    packs.splats(gs).write.format("splat").mode("append").save(f"file://{tmp_path}/s")
+    rows = spark.read.format("splat").load(str(tmp_path / "s")).collect()
+    alpha = [r["a"] for r in rows]
+    assert len(rows) == 2000 and alpha == sorted(alpha, reverse=True)
+
+
+def test_sqlite_round_trip(spark, tmp_path):
+    from orrery.sources import sqlite
+
+    df = spark.createDataFrame([(1, "a", None), (2, None, 0.5), (3, "ä'\"", -1.0)], "id long, s string, v double").repartition(2)
+    sqlite.write(df, str(tmp_path / "db"), "t")
+    assert sorted(map(tuple, sqlite.read(spark, str(tmp_path / "db"), "t", "id long, s string, v double").collect())) == [(1, "a", None), (2, None, 0.5), (3, "ä'\"", -1.0)]
