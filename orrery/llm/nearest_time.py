@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,19 +44,26 @@ def match_nearest(left: DataFrame, right: DataFrame, entity: list[str], toleranc
             return (1, tuple(rank(x) for x in v))
         return (0, 0) if v is None else (2, 0) if isinstance(v, float) and np.isnan(v) else (1, v)
 
-    def pair(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        l = l.drop_duplicates("key")
-        twice = r["key"].duplicated(keep=False).to_numpy()
+    def pair(l: pa.Table, r: pa.Table) -> pa.Table:
+        """Only times and keys leave Arrow; what is carried is taken as it is."""
+        lt, rt = l.column("t").to_numpy(), r.column("t").to_numpy()
+        ours = np.flatnonzero(~l.column("key").to_pandas().duplicated().to_numpy())
+        keys = r.column("key").to_pandas()
+        order = np.arange(len(rt))
+        twice = keys.duplicated(keep=False).to_numpy()
         if carry and twice.any():
-            order = sorted(np.flatnonzero(twice), key=lambda i: [rank(r[c].iat[i]) for c in carry])
-            r = r.iloc[np.r_[order, np.flatnonzero(~twice)]]
-        r = r.drop_duplicates("key").sort_values(["t", "key"], kind="stable")
-        at, near = nearest_positions(r["t"].to_numpy(np.int64), l["t"].to_numpy(np.int64), tolerance_us)
-        l, r = l[near], r.iloc[at[near]] if len(r) else r
-        out = {c: l[c].to_numpy(object) for c in entity}
-        out |= {"key_left": l["key"].to_numpy(object), "key_right": r["key"].to_numpy(object), "gap_us": r["t"].to_numpy(np.int64) - l["t"].to_numpy(np.int64)}
-        return pd.DataFrame(out | {c: r[c].to_numpy(object) for c in carry})
+            at = np.flatnonzero(twice)
+            values = list(zip(*[r.column(c).take(at).to_pylist() for c in carry]))
+            order = np.r_[at[sorted(range(len(at)), key=lambda i: rank(values[i]))], np.flatnonzero(~twice)]
+        order = order[~keys.iloc[order].duplicated().to_numpy()]
+        order = order[pd.DataFrame({"t": rt[order], "key": keys.to_numpy(object)[order]}).sort_values(["t", "key"], kind="stable").index.to_numpy()]
+        at, near = nearest_positions(rt[order], lt[ours], tolerance_us)
+        li = ours[near]
+        ri = order[at[near]] if len(order) else np.zeros(0, np.int64)
+        cols = {c: l.column(c).take(li) for c in entity}
+        cols |= {"key_left": l.column("key").take(li), "key_right": r.column("key").take(ri), "gap_us": pa.array(rt[ri] - lt[li])}
+        return pa.table(cols | {c: r.column(c).take(ri) for c in carry})
 
     lt, rt = dict(left.dtypes), dict(right.dtypes)
     schema = ", ".join([*(f"`{c}` {lt[c]}" for c in entity), f"key_left {lt['key']}, key_right {rt['key']}, gap_us long", *(f"`{c}` {rt[c]}" for c in carry)])
-    return a.groupBy(*entity, "bin").cogroup(b.groupBy(*entity, "bin")).applyInPandas(pair, schema)
+    return a.groupBy(*entity, "bin").cogroup(b.groupBy(*entity, "bin")).applyInArrow(pair, schema)
