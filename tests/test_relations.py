@@ -1,6 +1,7 @@
 """Invariants and brute force on small inputs."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from orrery.functions import geometry as g
