@@ -138,16 +138,72 @@ def outline(points: np.ndarray, per_span: int = 8) -> np.ndarray:
     return (0.5 * (2 * b + (c - a) * t + (2 * a - 5 * b + 4 * c - d) * t**2 + (3 * b - a - 3 * c + d) * t**3)).reshape(-1, points.shape[1])
 
 
-def relax(normals: np.ndarray, rounds: int = 20) -> np.ndarray:
-    """Turns ambiguous normals (x, y may both change sign) to agree with the mean of their four neighbours."""
+#: Steps around a pixel, clockwise from the left.
+AROUND = [(0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1)]
+
+
+def contour(mask: np.ndarray) -> np.ndarray:
+    """(x, y) of the outer border pixels of the part that is met first in reading order, in order around it."""
+    padded = np.pad(mask.astype(bool), 1)
+    ys, xs = np.nonzero(padded)
+    if not len(ys):
+        return np.zeros((0, 2))
+    at = start = (int(ys[0]), int(xs[0]))
+    came, path = 0, [start]
+    for _ in range(4 * len(ys) + 4):
+        for turn in range(8):
+            k = (came + 1 + turn) % 8
+            to = (at[0] + AROUND[k][0], at[1] + AROUND[k][1])
+            if padded[to]:
+                break
+        else:
+            break  # a lone pixel
+        came, at = (k + 4) % 8, to
+        if at == start:
+            break
+        path.append(at)
+    return np.array(path, float)[:, ::-1] - 1
+
+
+def periodic_basis(t: np.ndarray, n: int) -> np.ndarray:
+    """Values at t (0..1) of the n uniform cubic B-splines of a closed curve; each row sums to 1."""
+    x = (t % 1.0) * n
+    first, f = np.floor(x).astype(int), x - np.floor(x)
+    weights = [(1 - f) ** 3 / 6, (3 * f**3 - 6 * f**2 + 4) / 6, (-3 * f**3 + 3 * f**2 + 3 * f + 1) / 6, f**3 / 6]
+    out = np.zeros((len(t), n))
+    for k, w in enumerate(weights):
+        np.add.at(out, (np.arange(len(t)), (first + k) % n), w)
+    return out
+
+
+def closed_spline(border: np.ndarray, controls: int = 16, samples: int = 64, most: float = 0.12) -> tuple[np.ndarray | None, float]:
+    """A closed cubic B-spline nearest to a border by least squares, and how far the border lies from it, relative to its
+    size; no curve where that is more than `most`, or where the border has fewer than 12 pixels."""
+    if len(border) < 12:
+        return None, float("inf")
+    p = border[np.linspace(0, len(border) - 1, samples).astype(int)]
+    steps = np.r_[0.0, np.cumsum(np.linalg.norm(np.diff(np.r_[p, p[:1]], axis=0), axis=1))]
+    t = steps[:-1] / max(steps[-1], 1e-12)
+    c, *_ = np.linalg.lstsq(periodic_basis(t, controls), p, rcond=None)
+    curve = periodic_basis(np.linspace(0, 1, 200), controls) @ c
+    off = np.sqrt(((p[:, None] - curve[None]) ** 2).sum(-1)).min(axis=1).mean() / max(np.ptp(border, axis=0).max(), 1.0)
+    return (curve if off <= most else None), float(off)
+
+
+def agreement(normals: np.ndarray) -> float:
+    """Sum over neighbours of how much their x, y parts point the same way."""
+    xy = normals[..., :2]
+    return float((xy[1:] * xy[:-1]).sum() + (xy[:, 1:] * xy[:, :-1]).sum())
+
+
+def relax(normals: np.ndarray, rounds: int = 4) -> np.ndarray:
+    """Turns ambiguous normals (x, y may both change sign) to agree with their blurred surroundings, a few times over."""
     n = normals.copy()
     for _ in range(rounds):
-        padded = np.pad(n, ((1, 1), (1, 1), (0, 0)), mode="edge")
-        around = padded[:-2, 1:-1] + padded[2:, 1:-1] + padded[1:-1, :-2] + padded[1:-1, 2:]
-        flip = (n[..., 0] * around[..., 0] + n[..., 1] * around[..., 1]) < 0
-        if not flip.any():
+        turn = sum(n[..., i] * blur(n[..., i], 1.7, 9) for i in (0, 1)) < 0
+        if not turn.any():
             break
-        n[flip, :2] *= -1
+        n[turn, :2] *= -1
     return n
 
 

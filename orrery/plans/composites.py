@@ -232,30 +232,57 @@ def pol14(spark, d):
     return _pictures(spark, d, lambda z: (len(raster.segments(raster.edge(_normals(raster.blur(z)), 0.5), 3, 20, 4000)),), "frame long, n_segments long")
 
 
+def _largest(mask: np.ndarray) -> np.ndarray:
+    parts, n = raster.label(mask)
+    return parts == 1 + int(np.argmax(np.bincount(parts.ravel(), minlength=n + 1)[1:])) if n else mask
+
+
+def _outline(z: np.ndarray):
+    """Length and residual of the closed spline around the largest part of the near pixels; length 0 where it abstains."""
+    curve, off = raster.closed_spline(raster.contour(_largest(raster.closing((z > 0) & (z < 3), 3))))
+    length = float(np.linalg.norm(np.diff(curve, axis=0), axis=1).sum()) if curve is not None else 0.0
+    return length, min(off, 1e9), curve is None
+
+
 @query("pol_15_outline")
 def pol15(spark, d):
-    """Length of the smoothed outline of each frame's near pixels."""
+    return _pictures(spark, d, _outline, "frame long, length double, residual double, abstains boolean")
 
-    def kernel(z: np.ndarray):
-        ys, xs = np.nonzero((z > 0) & (z < 3))
-        h = fitting.hull(np.stack([xs, ys], axis=1).astype(float))
-        c = raster.outline(h) if len(h) > 2 else h
-        return (float(np.linalg.norm(np.roll(c, -1, axis=0) - c, axis=1).sum()) if len(c) else 0.0,)
 
-    return _pictures(spark, d, kernel, "frame long, length double")
+def _integrated(z: np.ndarray):
+    """Normals whose x, y lost their sign in a checker pattern, relaxed, and their slopes integrated to a height again."""
+    n = _normals(raster.blur(z, 2.0, 9))
+    n[::2, ::2, :2] *= -1
+    back = raster.relax(n)
+    _, residual = raster.integrate(-back[..., 0] / back[..., 2], -back[..., 1] / back[..., 2])
+    return residual, raster.agreement(n), raster.agreement(back)
 
 
 @query("pol_16_integrate")
 def pol16(spark, d):
-    """Slopes of each picture integrated again; the residual is how far they are from any surface."""
-
-    def kernel(z: np.ndarray):
-        p, q = np.zeros_like(z), np.zeros_like(z)
-        p[:, :-1], q[:-1] = np.diff(z, axis=1), np.diff(z, axis=0)
-        back, residual = raster.integrate(p, q)
-        return residual, float(np.abs(back - (z - z.mean())).max())
-
-    return _pictures(spark, d, kernel, "frame long, residual double, error double")
+    """Ambiguous normals disambiguated by their neighbours, then integrated; the residual is how far the slopes are from any
+    surface."""
+    return _pictures(spark, d, _integrated, "frame long, residual double, before double, after double")
+
+
+def _checked(z: np.ndarray):
+    """Sub-images lie within their mosaic, flat normals have no edge, segments are of the sizes asked for, splines keep to
+    their residual, relaxing never loses agreement, and slopes of a surface integrate to it."""
+    planes = raster.polar_planes(z)
+    level = np.zeros((*z.shape, 3)) + (0.0, 0.0, 1.0)
+    parts = raster.segments(raster.edge(_normals(raster.blur(z)), 0.5), 3, 20, 4000)
+    _, off, abstains = _outline(z)
+    residual, before, after = _integrated(z)
+    p, q = np.zeros_like(z), np.zeros_like(z)
+    p[:, :-1], q[:-1] = np.diff(z, axis=1), np.diff(z, axis=0)
+    whole, _ = raster.integrate(p, q)
+    inside = all(z.min() - 1e-9 <= v.min() and v.max() <= z.max() + 1e-9 for v in planes.values())
+    return inside, not raster.edge(level).any() and not raster.ridge(level).any(), all(20 <= a[4] <= 4000 for a in parts), abstains or off <= 0.12, after >= before - 1e-9 and bool(np.abs(whole - (z - z.mean())).max() < 0.05 * max(np.ptp(z), 1e-9))
+
+
+@query("pol_checks", f"WITH {DEPTH} SELECT frame, true AS p01, true AS p13, true AS p14, true AS p15, true AS p16 FROM depth GROUP BY frame")
+def pol_checks(spark, d):
+    return _pictures(spark, d, _checked, "frame long, p01 boolean, p13 boolean, p14 boolean, p15 boolean, p16 boolean")
 
 
 # ---- extras: not in the reference, Spark has them built in

@@ -32,11 +32,11 @@ WITHOUT_SQL = {
     "o04_auto_views": "o04_checks",
     "o05_quality_views": "o05_first_choice",
     "g08_shape_class": "g08_checks",
-    "pol_01_demosaic": "test_sources.test_raster_kernels",
-    "pol_13_edges": "test_sources.test_raster_kernels",
-    "pol_14_segments": "test_sources.test_raster_kernels",
-    "pol_15_outline": "test_sources.test_raster_kernels",
-    "pol_16_integrate": "test_sources.test_raster_kernels",
+    "pol_01_demosaic": "pol_checks",
+    "pol_13_edges": "pol_checks",
+    "pol_14_segments": "pol_checks",
+    "pol_15_outline": "pol_checks",
+    "pol_16_integrate": "pol_checks",
     "extra_approx_distinct": "built in",
 }
 

@@ -133,3 +133,18 @@ def test_sqlite_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, "a", None), (2, None, 0.5), (3, "ä'\"", -1.0)], "id long, s string, v double").repartition(2)
     sqlite.write(df, str(tmp_path / "db"), "t")
     assert sorted(map(tuple, sqlite.read(spark, str(tmp_path / "db"), "t", "id long, s string, v double").collect())) == [(1, "a", None), (2, None, 0.5), (3, "ä'\"", -1.0)]
+
+
+def test_contour_and_closed_spline():
+    yy, xx = np.mgrid[0:60, 0:80]
+    disc = (yy - 30) ** 2 + (xx - 40) ** 2 <= 20**2
+    border = raster.contour(disc)
+    radius = np.hypot(border[:, 0] - 40, border[:, 1] - 30)
+    assert 19 < radius.min() and radius.max() <= 20 and np.abs(np.diff(border, axis=0)).max() == 1
+    curve, off = raster.closed_spline(border)
+    assert off < 0.02 and np.abs(np.hypot(curve[:, 0] - 40, curve[:, 1] - 30) - 20).max() < 1
+    assert np.linalg.norm(curve[0] - curve[-1]) < 1e-9 and np.allclose(raster.periodic_basis(np.linspace(0, 1, 50), 16).sum(1), 1)
+    comb = np.zeros((40, 120), bool)
+    comb[20:], comb[:, ::4] = True, True
+    assert raster.closed_spline(raster.contour(comb), 4, 64, 0.01)[0] is None  # abstains
+    assert raster.closed_spline(raster.contour(np.zeros((4, 4))))[0] is None and len(raster.contour(np.eye(1, dtype=bool))) == 1
