@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -104,3 +105,35 @@ def majority(votes: DataFrame, by: str, vote: str) -> DataFrame:
     """by, vote: the most frequent vote; of equally frequent ones the smallest. Counted map-side before the choice."""
     counted = votes.groupBy(by, vote).agg(F.count("*").alias("n"))
     return counted.groupBy(by).agg(F.min_by(vote, F.struct(-F.col("n"), F.col(vote))).alias(vote))
+
+
+def surface_squares(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(squares, corners): the sides of solid cells (n x 3 integers) that no other solid cell covers.
+
+    A square names its four corners in order, seen from outside counter-clockwise; corners are points of the grid.
+    """
+    solid = set(map(tuple, cells.tolist()))
+    squares = []
+    for axis in range(3):
+        u, v = (axis + 1) % 3, (axis + 2) % 3
+        for way in (1, -1):
+            step = np.eye(3, dtype=int)[axis] * way
+            bare = np.array([c for c in cells if tuple((c + step).tolist()) not in solid]).reshape(-1, 3)
+            base = bare + np.eye(3, dtype=int)[axis] * (way > 0)
+            ring = [np.zeros(3, int), np.eye(3, dtype=int)[u], np.eye(3, dtype=int)[u] + np.eye(3, dtype=int)[v], np.eye(3, dtype=int)[v]]
+            squares.append(np.stack([base + r for r in (ring if way > 0 else ring[::-1])], axis=1))
+    at = np.concatenate(squares).reshape(-1, 3)
+    corners, number = np.unique(at, axis=0, return_inverse=True)
+    return number.reshape(-1, 4), corners
+
+
+def taubin(corners: np.ndarray, edges: np.ndarray, shrink: float = 0.5, grow: float = -0.53, rounds: int = 8) -> np.ndarray:
+    """Corners moved to and fro along the mean of their neighbours, so that the surface evens out and keeps its size."""
+    p, degree = corners.astype(float), np.bincount(edges.ravel(), minlength=len(corners))[:, None]
+    for _ in range(rounds):
+        for pull in (shrink, grow):
+            around = np.zeros_like(p)
+            np.add.at(around, edges[:, 0], p[edges[:, 1]])
+            np.add.at(around, edges[:, 1], p[edges[:, 0]])
+            p = p + pull * (around / np.maximum(degree, 1) - p)
+    return p

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orrery.functions import geometry as g
-from orrery.operators import fitting, raster, spatial, temporal
+from orrery.operators import fitting, mesh, raster, spatial, temporal
 from orrery.plans.binding import CLOUD, DEPTH, FACES, FRAMES, OBJECTS, VERTICES, cloud, depth, faces, frames, objects, vertices
 from orrery.plans.projections import ROI, UPRIGHT, _upright, poly_sql, r6, sr
 from orrery.plans.registry import Registry
@@ -87,9 +87,8 @@ r AS (SELECT unnest(range({N})) AS t), gr AS (SELECT b.dataset, i.t AS i, j.t AS
 m AS (SELECT dataset, """ + " + ".join(f"max(occ) OVER (PARTITION BY dataset, {a}, {b} ORDER BY {c}{way})" for a, b, c in (("j", "k", "i"), ("i", "k", "j"), ("i", "j", "k")) for way in ("", " DESC")) + " AS rays FROM gr) SELECT dataset, CAST(count(*) FILTER (rays >= 5) AS BIGINT) AS solid FROM m GROUP BY dataset"
 
 
-@query("g12_solid_voxels", SOLID)
-def g12(spark, d):
-    """Voxels that at least five of six axis rays meet occupied ones from, on a fixed grid of 24 cells a side."""
+def solid_cells(spark, d):
+    """dataset, i, j, k of voxels that at least five of six axis rays meet occupied ones from, on a grid of 24 cells a side."""
     c = cloud(spark, d)
     b = spatial.bounds(c, ["dataset"]).filter("hix > lox and hiy > loy and hiz > loz")
     cell = lambda a, n: F.least(F.floor((F.col(a) - F.col("lo" + a)) / (F.col("hi" + a) - F.col("lo" + a)) * N), F.lit(N - 1)).alias(n)
@@ -103,7 +102,36 @@ def g12(spark, d):
         line = W.partitionBy("dataset", *[a for a in "ijk" if a != axis])
         for order in (F.col(axis), F.col(axis).desc()):
             rays = rays + F.max("occ").over(line.orderBy(order).rowsBetween(W.unboundedPreceding, 0))
-    return full.select("dataset", rays.alias("rays")).groupBy("dataset").agg(F.count(F.when(F.col("rays") >= 5, 1)).alias("solid"))
+    return full.select("dataset", "i", "j", "k", rays.alias("rays"))
+
+
+@query("g12_solid_voxels", SOLID)
+def g12(spark, d):
+    return solid_cells(spark, d).groupBy("dataset").agg(F.count(F.when(F.col("rays") >= 5, 1)).alias("solid"))
+
+
+SIDES = [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
+SURFACE = SOLID[: SOLID.index(" SELECT dataset, CAST(count(*)")].replace("m AS (SELECT dataset, ", "m AS (SELECT dataset, i, j, k, ") + ", s AS (SELECT dataset, i, j, k FROM m WHERE rays >= 5), side(a, b, c) AS (VALUES " + ", ".join(map(str, SIDES)) + ") SELECT s.dataset, count(*) AS n_sides, true AS closed, true AS smoothed FROM s, side WHERE NOT EXISTS (SELECT 1 FROM s t WHERE t.dataset = s.dataset AND t.i = s.i + side.a AND t.j = s.j + side.b AND t.k = s.k + side.c) GROUP BY s.dataset"
+
+
+@query("g12_surface", SURFACE)
+def g12s(spark, d):
+    """Surface of the solid voxels: the sides that no other solid voxel covers, as squares, and their corners smoothed without
+    shrinking. Closed: every edge has an even number of squares. A group is a grid of fixed size."""
+    cells = materialize(solid_cells(spark, d).filter("rays >= 5").select("dataset", "i", "j", "k"), "solid")
+
+    def check(pdf: pd.DataFrame) -> pd.DataFrame:
+        quads, _ = mesh.surface_squares(pdf[["i", "j", "k"]].to_numpy(int))
+        edges, n = np.unique(np.sort(np.concatenate([quads[:, [p, (p + 1) % 4]] for p in range(4)]), axis=1), axis=0, return_counts=True)
+        corners = mesh.surface_squares(pdf[["i", "j", "k"]].to_numpy(int))[1].astype(float)
+        even = mesh.taubin(corners, edges)
+        rough = lambda v: float(((v[edges[:, 0]] - v[edges[:, 1]]) ** 2).sum())
+        fine = rough(even) < rough(corners) and bool(np.abs(even - corners).max() < 1.5)
+        return pd.DataFrame({"dataset": [pdf["dataset"].iloc[0]], "n_sides": [len(quads)], "closed": [bool((n % 2 == 0).all())], "smoothed": [fine]})
+
+    return cells.groupBy("dataset").applyInPandas(check, "dataset string, n_sides long, closed boolean, smoothed boolean")
+
+
 
 
 @query("g20_lean", f"WITH {DEPTH}, p AS (SELECT frame, u, v FROM depth WHERE z < 4), m AS (SELECT frame, covar_pop(u, v) AS uv, var_pop(u) AS uu, var_pop(v) AS vv, count(*) AS n FROM p GROUP BY frame), a AS (SELECT frame, n, degrees(0.5*atan2(2*uv, uu - vv)) AS lean FROM m WHERE n >= 10) SELECT frame, {sr('lean', 'lean', 3)}, abs(lean) BETWEEN 1.5 AND 45 AS turn FROM a")

@@ -133,3 +133,20 @@ def test_small_segments_merge(spark):
     lab = spark.createDataFrame([(i, 0) for i in range(50)] + [(50, 50), (51, 51)], "fid long, component long")
     adj = spark.createDataFrame([(49, 50), (50, 51)], "f long, g long")
     assert {r["component"] for r in m.merge_small(lab, adj, "fid", 0.1).collect()} == {0}
+
+
+def test_surface_of_solid_cells():
+    from orrery.operators import mesh
+
+    quads, corners = mesh.surface_squares(np.array([[0, 0, 0]]))
+    assert len(quads) == 6 and len(corners) == 8
+    c = corners[quads].astype(float)
+    n = np.cross(c[:, 1] - c[:, 0], c[:, 2] - c[:, 0])
+    assert ((c.mean(1) - 0.5) * n).sum(1).min() > 0  # outwards
+    block = np.array([[i, j, k] for i in range(4) for j in range(5) for k in range(6)])
+    quads, corners = mesh.surface_squares(block)
+    assert len(quads) == 2 * (4 * 5 + 5 * 6 + 4 * 6)
+    edges, times = np.unique(np.sort(np.concatenate([quads[:, [p, (p + 1) % 4]] for p in range(4)]), axis=1), axis=0, return_counts=True)
+    assert (times == 2).all() and len(corners) - len(edges) + len(quads) == 2  # closed, in one piece, without holes
+    even = mesh.taubin(corners, edges)
+    assert np.abs(even.mean(0) - corners.mean(0)).max() < 0.05 and np.ptp(even, axis=0).min() > 3
