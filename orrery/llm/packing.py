@@ -16,7 +16,7 @@ from orrery.session import materialize
 
 CAPACITY = 2048
 #: Documents a shard holds; more make fuller containers and fewer tasks.
-SHARD_DOCS = 100_000
+SHARD_DOCS = 25_000
 #: Shards whose leftovers are packed together.
 MERGE_SHARDS = 256
 
