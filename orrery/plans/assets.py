@@ -39,9 +39,9 @@ def pol17(spark, d):
 @query("pol_18_batches", f"WITH {LAYERS}, {CATALOG}, l AS (SELECT DISTINCT dataset, stem, regexp_replace(folder, '^layers/', '') AS product FROM stems WHERE tree = 'layers'), r AS (SELECT DISTINCT dataset, stem FROM stems WHERE tree = 'rgb'), n AS (SELECT r.dataset, r.stem, count(c.product) AS have FROM r LEFT JOIN l ON l.dataset = r.dataset AND l.stem = r.stem LEFT JOIN cat c ON c.product = l.product AND c.live GROUP BY 1, 2) SELECT dataset, count(*) AS total, count(*) FILTER (have < {len(LIVE)}) AS todo, CAST(sum({len(LIVE)} - have) AS BIGINT) AS missing FROM n GROUP BY dataset")
 def pol18(spark, d):
     """What a batch run over a recording would do: frames, frames with a live product missing, and products missing."""
-    f = files(spark, d)
+    f = materialize(files(spark, d).select("recording", "tree_key", "product", "frame").distinct(), "files")
     rgb = f.filter("tree_key = 'rgb'").select("recording", "frame").distinct()
-    made = f.filter(F.col("product").isin(LIVE) & (F.col("tree_key") == "layers")).select("recording", "frame", "product").distinct().groupBy("recording", "frame").agg(F.count("*").alias("have"))
+    made = f.filter(F.col("product").isin(LIVE) & (F.col("tree_key") == "layers")).groupBy("recording", "frame").agg(F.count("*").alias("have"))
     lack = len(LIVE) - F.coalesce("have", F.lit(0))
     n = rgb.join(made, ["recording", "frame"], "left").withColumn("lack", lack).groupBy(F.col("recording").alias("dataset"))
     return n.agg(F.count("*").alias("total"), F.count(F.when(F.col("lack") > 0, 1)).alias("todo"), F.sum("lack").cast("long").alias("missing"))
