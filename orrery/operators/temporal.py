@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from orrery.operators.spatial import quantiles
 from orrery.operators.spikes import numbered, with_margins
 from orrery.session import materialize
 
@@ -65,9 +66,9 @@ def gap_sessions(rows: DataFrame, by: Sequence[str], t: str, least_us: int, fact
     """Adds session, counted from 0 per group: a new one where the gap exceeds max(least, factor x median gap)."""
     gaps = beside(rows, by, t, [t, *order], {"_before": (t, -1)}).withColumn("_gap", F.col(t) - F.col("_before")).drop("_before")
     gaps = materialize(gaps.withColumn("_block", F.floor(F.col("pos") / 4096)), "sessions-gaps")
-    usual = gaps.groupBy(*by).agg(F.median("_gap").alias("_usual"))
+    usual = quantiles(gaps, by, {"_usual": ("_gap", 0.5)})
     cut = (F.col("_gap") > F.greatest(F.lit(float(least_us)), factor * F.col("_usual"))).cast("int")
-    marked = gaps.join(usual, list(by)).withColumn("_cut", F.coalesce(cut, F.lit(0)))
+    marked = gaps.join(usual, list(by), "left").withColumn("_cut", F.coalesce(cut, F.lit(0)))
     blocks = marked.groupBy(*by, "_block").agg(F.sum("_cut").alias("_cuts"))
     earlier = F.coalesce(F.sum("_cuts").over(W.partitionBy(*by).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = blocks.select(*by, "_block", earlier.alias("_start"))

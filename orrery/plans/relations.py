@@ -408,7 +408,9 @@ def a18(spark, d):
 
 @query("a24_residuals", f"SELECT dataset, cam, {sr('median(rot_spread_deg)', 'mid', 4)}, {sr('quantile_cont(rot_spread_deg, 0.9)', 'p90', 4)} FROM (SELECT DISTINCT * FROM poses_report) GROUP BY 1, 2")
 def a24(spark, d):
-    return table(spark, d, "poses_report").distinct().groupBy("dataset", "cam").agg(r6(F.median("rot_spread_deg"), "mid", 4), r6(F.percentile("rot_spread_deg", 0.9), "p90", 4))
+    t = materialize(table(spark, d, "poses_report").distinct().select("dataset", "cam", "rot_spread_deg"), "residuals")
+    q = spatial.quantiles(t, ["dataset", "cam"], {"mid": ("rot_spread_deg", 0.5), "p90": ("rot_spread_deg", 0.9)})
+    return t.select("dataset", "cam").distinct().join(q, ["dataset", "cam"], "left").select("dataset", "cam", r6(F.col("mid"), "mid", 4), r6(F.col("p90"), "p90", 4))
 
 
 @query("a25_path_length", f"WITH {FRAMES}, s AS (SELECT dataset, cam, sqrt((px - lag(px) OVER w)**2 + (py - lag(py) OVER w)**2 + (pz - lag(pz) OVER w)**2) AS step FROM frames WINDOW w AS (PARTITION BY dataset, cam ORDER BY ts, name)) SELECT dataset, cam, {sr('sum(step)', 'length', 3)} FROM s GROUP BY 1, 2 HAVING sum(step) IS NOT NULL")
@@ -461,9 +463,11 @@ def a36(spark, d):
 
 @query("a38_median_deviation", f"WITH {FRAMES}, m AS (SELECT dataset, cam, median(py) AS mid FROM frames GROUP BY 1, 2) SELECT f.dataset, f.cam, {sr('max(mid)', 'height', 7)}, {sr('median(abs(py - mid))', 'mad', 7)} FROM frames f JOIN m ON f.dataset = m.dataset AND f.cam = m.cam GROUP BY 1, 2")
 def a38(spark, d):
-    f = frames(spark, d)
-    m = f.groupBy("dataset", "cam").agg(F.median("py").alias("mid"))
-    return f.join(m, ["dataset", "cam"]).groupBy("dataset", "cam").agg(r6(F.max("mid"), "height", 7), r6(F.median(F.abs(F.col("py") - F.col("mid"))), "mad", 7))
+    by = ["dataset", "cam"]
+    f = materialize(frames(spark, d).select(*by, "py"), "heights")
+    m = materialize(spatial.quantiles(f, by, {"height": ("py", 0.5)}), "height")  # a row per camera
+    off = materialize(f.join(m, by).select(*by, F.abs(F.col("py") - F.col("height")).alias("off")), "deviations")
+    return m.join(spatial.quantiles(off, by, {"mad": ("off", 0.5)}), by).select(*by, r6(F.col("height"), "height", 7), r6(F.col("mad"), "mad", 7))
 
 
 @query("a40_seen_share", f"WITH {CLOUD} SELECT dataset, {sr('avg(CASE WHEN nr IS NOT NULL THEN 1.0 ELSE 0.0 END)', 'seen')} FROM cloud GROUP BY dataset")
