@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.operators import neighbours
+
 
 def _schema(df: DataFrame, by: Sequence[str], key: str, more: str) -> str:
     types = dict(df.dtypes)
@@ -63,6 +65,42 @@ def view_quality(views: DataFrame, by: Sequence[str]) -> DataFrame:
     return both.withColumn("shape_ok", shape).withColumn("ok", ok).withColumn("score", score).drop("_solidity", "_sharp", "_aspect", "_fill")
 
 
+def best_views(start: np.ndarray, score: np.ndarray, ok: np.ndarray, bearing: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and ranks of the views that `quality_views` keeps, of many sets at once: set i begins at start[i], is not
+    empty and in order of name. bearing in degrees.
+
+    All sets choose their next view together; those that have no view left drop out.
+    """
+    score, bearing = np.where(np.isnan(score), 0.0, score), np.radians(bearing)
+    bearing = np.where(np.isfinite(bearing), bearing, np.nan)
+    of = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(score)]))
+    places, ranks = [], []
+    left = np.flatnonzero(ok)
+    side = np.full(len(left), np.inf)
+    for rank in range(1, k + 1):
+        if not len(left):
+            break
+        group = of[left]
+        new = np.r_[True, group[1:] != group[:-1]]
+        dense = np.cumsum(new) - 1
+        # no view is chosen yet on any side, or that of the view is not known: the factor is 1
+        gain = score[left] * (0.4 + 0.6 * np.minimum(side / 35.0, 1.0))
+        top = np.flatnonzero(gain == np.maximum.reduceat(gain, np.flatnonzero(new))[dense])
+        top = top[np.r_[True, dense[top][1:] != dense[top][:-1]]]
+        places.append(left[top])
+        ranks.append(np.full(len(top), rank))
+        off = np.abs((bearing[left] - bearing[left[top]][dense] + np.pi) % (2 * np.pi) - np.pi)
+        stay = np.ones(len(left), bool)
+        stay[top] = False
+        left, side = left[stay], np.fmin(side, np.degrees(off))[stay]
+    rest = np.flatnonzero((~np.logical_or.reduceat(ok, start))[of]) if len(start) else of
+    rest = rest[np.lexsort((-score[rest], of[rest]))]
+    nth = np.arange(len(rest)) - np.searchsorted(of[rest], of[rest])
+    places.append(rest[nth < 2])
+    ranks.append(nth[nth < 2] + 1)
+    return np.concatenate(places), np.concatenate(ranks)
+
+
 def quality_views(candidates: DataFrame, by: Sequence[str], k: int = 8) -> DataFrame:
     """by, name, rank: up to k good views, the best first, each weighed down where its side is covered already.
 
@@ -72,26 +110,42 @@ def quality_views(candidates: DataFrame, by: Sequence[str], k: int = 8) -> DataF
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("name").reset_index(drop=True)
-        score, ok = pdf["score"].fillna(0).to_numpy(float), pdf["ok"].fillna(False).to_numpy(bool)
-        bearing = np.radians(pdf["bearing"].to_numpy(float))
-        chosen: list[int] = []
-        open_ = ok.copy()
-        while len(chosen) < k and open_.any():
-            known = np.array([b for b in bearing[chosen] if np.isfinite(b)])
-            gain = score.copy()
-            if len(known):
-                side = np.degrees(turn(np.nan_to_num(bearing), known).min(axis=1))
-                gain = np.where(np.isfinite(bearing), score * (0.4 + 0.6 * np.minimum(side / 35.0, 1.0)), score)
-            best = int(np.argmax(np.where(open_, gain, -np.inf)))
-            chosen.append(best)
-            open_[best] = False
-        if not chosen:
-            chosen = list(np.argsort(-score, kind="stable")[:2])
-        return pdf.loc[chosen, [*by, "name"]].astype(object).assign(rank=np.arange(1, len(chosen) + 1))
+        at, rank = best_views(np.array([0]), pdf["score"].to_numpy(float), pdf["ok"].fillna(False).to_numpy(bool), pdf["bearing"].to_numpy(float), k)
+        return pdf.loc[at, [*by, "name"]].astype(object).assign(rank=rank)
 
     return candidates.groupBy(*by).applyInPandas(run, _schema(candidates, by, "name", "rank long"))
 
 
+def near_quality_views(objects: DataFrame, frames: DataFrame, k: int = 8, focal: float = 1183.5, least_span: float = 10.0) -> DataFrame:
+    """id, name, rank: `quality_views` of all frames of an object's recording that are more than 1 away on the ground.
+
+    objects: id, dataset, cx, cz, sx (size); frames: dataset, name, px, pz. Score: the object's size in pixels; ok: above
+    least_span. A gain is at least 0.4 of its score, and the score falls as the distance grows. So a frame more than 2.5
+    times as far as the k-th nearest is never chosen, and is not looked at. Sizes that are not above 0 and values that are
+    not finite have no such order; their objects meet all frames.
+    """
+    finite = lambda c: F.abs(c) < float("inf")
+    odd = ~((F.col("sx") > 0) & finite("sx") & finite("cx") & finite("cz"))
+    place = [F.when(finite(c), F.col(c)).otherwise(0.0).alias(a) for c, a in (("cx", "x"), ("cz", "z"))]
+    o = objects.select(F.col("id").alias("seq"), "dataset", *place, F.lit(0.0).alias("y"), "cx", "cz", "sx")
+    f = frames.select(F.col("name").alias("seq"), "dataset", F.col("px").alias("x"), F.lit(0.0).alias("y"), F.col("pz").alias("z"))
+
+    def see(a: dict, b: dict, row: np.ndarray, col: np.ndarray) -> pd.DataFrame:
+        dx, dz = b["x"][col] - a["cx"][row], b["z"][col] - a["cz"][row]
+        dist = np.hypot(dx, dz)
+        at = np.flatnonzero(dist > 1)
+        row, col, bearing = row[at], col[at], np.degrees(np.arctan2(dx[at], dz[at]))
+        with np.errstate(invalid="ignore"):
+            span = focal * a["sx"][row] / dist[at]
+        start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else row
+        best, rank = best_views(start, span, (span > least_span) | np.isnan(span), bearing, k)
+        return pd.DataFrame({"id": a["seq"][row[best]], "name": b["seq"][col[best]], "rank": rank})
+
+    types = dict(objects.dtypes)["id"], dict(frames.dtypes)["name"]
+    schema = "id {}, name {}, rank long".format(*types)
+    return neighbours.within_ratio(o, f, k, 2.5, 1.0, ["dataset"], see, schema, ["cx", "cz", "sx"], odd).drop("dataset")
+
+
 def chain_scales(seams: DataFrame, by: Sequence[str]) -> DataFrame:
     """by, chunk, log_scale: log scales chained from the first chunk over the ratios of its seams, in order.
 

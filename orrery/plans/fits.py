@@ -112,6 +112,11 @@ def _view_candidates(spark, d, least_span: float | None):
     return both.select("id", "name", "cam", "i", F.atan2(F.col("px") - F.col("cx"), F.col("pz") - F.col("cz")).alias("bearing"), "span", F.lit(1.0).alias("vis"))
 
 
+def _objects_and_frames(spark, d):
+    o = objects(spark, d).dropna(subset=["cx", "cz", "sx"]).select("id", F.coalesce("dataset", F.lit("")).alias("dataset"), "cx", "cz", "sx")
+    return o, frames(spark, d).select("dataset", "name", "px", "pz")
+
+
 @query("o04_auto_views")
 def o04(spark, d):
     """Candidate views per object, those of at least 36 pixels as in the reference, and the greedy choice among them (G05)."""
@@ -121,8 +126,7 @@ def o04(spark, d):
 @query("o05_quality_views")
 def o05(spark, d):
     """All frames are candidates: without a good one the two best count."""
-    c = _view_candidates(spark, d, None).select("id", "name", F.col("span").alias("score"), (F.col("span") > 10).alias("ok"), F.degrees("bearing").alias("bearing"))
-    return choosing.quality_views(c, ["id"])
+    return choosing.near_quality_views(*_objects_and_frames(spark, d))
 
 
 def cloud_normals(spark, d):
