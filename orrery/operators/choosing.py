@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orrery.operators import neighbours
 
+#: Views, at least, that are judged together.
+BATCH = 100_000
+
 
 def _schema(df: DataFrame, by: Sequence[str], key: str, more: str) -> str:
     types = dict(df.dtypes)
@@ -56,9 +63,10 @@ def view_quality(views: DataFrame, by: Sequence[str]) -> DataFrame:
     and 0.35 as sharp as the median, has at most three pieces, and aspect and fill within a factor of 1.8. Medians are of
     a set of views of one object, which is small; a median of 0 counts as 1, that of solidity as almost 0.
     """
-    med = views.groupBy(*by).agg(*[F.median(c).alias("_" + c) for c in ("solidity", "sharp", "aspect", "fill")])
+    whole = views.filter(" and ".join(f"`{c}` is not null" for c in by))
+    med = whole.withColumns({"_" + c: F.median(c).over(W.partitionBy(*by)) for c in ("solidity", "sharp", "aspect", "fill")})
     rel = lambda c: F.col(c) / F.greatest(F.when(F.col("_" + c) == 0, 1.0).otherwise(F.col("_" + c)), F.lit(1e-6))
-    both = views.join(med, list(by)).withColumn("rel_sol", F.col("solidity") / F.greatest("_solidity", F.lit(1e-6))).withColumn("rel_sharp", rel("sharp"))
+    both = med.withColumn("rel_sol", F.col("solidity") / F.greatest("_solidity", F.lit(1e-6))).withColumn("rel_sharp", rel("sharp"))
     shape = rel("aspect").between(1 / 1.8, 1.8) & rel("fill").between(1 / 1.8, 1.8)
     ok = (F.col("rel_sol") >= 0.75) & (F.col("rel_sharp") >= 0.35) & (F.col("ncc") <= 3) & F.col("shape_ok")
     score = F.least("rel_sol", F.lit(1.2)) * F.sqrt(F.least("rel_sharp", F.lit(1.5))) * F.sqrt("orig_px") * F.when(F.col("manual"), 1.15).otherwise(1.0)
@@ -108,12 +116,32 @@ def quality_views(candidates: DataFrame, by: Sequence[str], k: int = 8) -> DataF
     chosen / 35, 1)). Without any ok candidate the two best by score are taken. Ties: smaller name.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("name").reset_index(drop=True)
-        at, rank = best_views(np.array([0]), pdf["score"].to_numpy(float), pdf["ok"].fillna(False).to_numpy(bool), pdf["bearing"].to_numpy(float), k)
-        return pdf.loc[at, [*by, "name"]].astype(object).assign(rank=rank)
-
-    return candidates.groupBy(*by).applyInPandas(run, _schema(candidates, by, "name", "rank long"))
+    def run(batches):
+        kept: list[pa.RecordBatch] = []  # of the last set, which may go on in the next batch
+        enough = BATCH
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                kept.append(batch)
+                if sum(len(b) for b in kept) < enough:
+                    continue
+            if not kept:
+                continue
+            t = pa.Table.from_batches(kept).combine_chunks()
+            start = np.flatnonzero(t["_at"].to_numpy() == 1)
+            end = len(t) if batch is None else int(start[-1])
+            kept, enough = t.slice(end).to_batches(), max(BATCH, 2 * (len(t) - end))
+            if end == 0:
+                continue
+            t, start = t.slice(0, end), start[start < end]
+            number = lambda c: pc.fill_null(t[c].cast(pa.float64()), np.nan).to_numpy()
+            at, rank = best_views(start, number("score"), pc.fill_null(t["ok"], False).to_numpy(), number("bearing"), k)
+            out = t.select([*by, "name"]).take(pa.array(at)).append_column("rank", pa.array(rank, pa.int64()))
+            yield from out.combine_chunks().to_batches()
+
+    # each set is whole and in order within a partition, whose sets are then judged many at a time
+    at = F.row_number().over(W.partitionBy(*by).orderBy(F.asc_nulls_last("name")))
+    sets = candidates.select(*by, "name", "score", "ok", "bearing", at.alias("_at"))
+    return sets.mapInArrow(run, _schema(candidates, by, "name", "rank long"))
 
 
 def near_quality_views(objects: DataFrame, frames: DataFrame, k: int = 8, focal: float = 1183.5, least_span: float = 10.0) -> DataFrame:

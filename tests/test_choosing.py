@@ -55,3 +55,24 @@ def test_objects_and_frames_do_not_meet_in_a_join(spark):
 
     plan = fits.QUERIES["o05_quality_views"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert all("need" in line for line in plan.split("\n") if re.search(r"\bJoin\b", line))
+
+
+def test_sets_are_judged_many_at_a_time_and_whole(spark, monkeypatch):
+    """Sets that go over batches, or are larger than one; no call per set."""
+    monkeypatch.setattr(choosing, "BATCH", 20)
+    rng = np.random.default_rng(5)
+    sizes = [*rng.integers(1, 9, 100), 90, 1]
+    rows = [(None if i == 7 else i, j, float(rng.integers(1, 50)), bool(rng.random() < 0.7), float(rng.integers(0, 360))) for i, m in enumerate(sizes) for j in range(m)]
+    df = spark.createDataFrame(rows, "id long, name long, score double, ok boolean, bearing double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        kept = choosing.quality_views(df, ["id"])
+        got = sorted((-1 if r["id"] is None else r["id"], r["rank"], r["name"]) for r in kept.collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for i in range(len(sizes)):
+        own = [r for r in rows if r[0] == (None if i == 7 else i)]
+        want += [(-1 if i == 7 else i, n + 1, p) for n, p in enumerate(plain(*(np.array([r[c] for r in own]) for c in (2, 3, 4)), 8))]
+    assert got == sorted(want)
+    assert "InPandas" not in kept._jdf.queryExecution().optimizedPlan().toString()
