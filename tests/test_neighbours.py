@@ -77,3 +77,23 @@ def test_groups_without_right_points_give_nothing(spark):
     a = cloud_of(spark, [[0, 0, 0]]).union(cloud_of(spark, [[0, 0, 0], [1, 0, 0]], "alone").selectExpr("seq + 5", "dataset", "x", "y", "z"))
     got = neighbours.nearest(a, cloud_of(spark, [[2, 0, 0]]), 1, ["dataset"]).collect()
     assert [(r["id_a"], r["id_b"], r["dist"]) for r in got] == [(0, 0, 2.0)]
+
+
+def test_neighbours_in_noise_take_few_distances():
+    """A dense street with noise all around: nearest ones as by brute force, without a table of all distances."""
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(0, 1, (12000, 3)) * [20, 0.5, 20], rng.normal(0, 60, (3000, 3)), np.repeat(rng.normal(0, 9, (5, 3)), 200, axis=0)])
+    rank = rng.permutation(len(x))
+    tracemalloc.start()
+    idx, d2 = neighbours._best(x, x, rank, 20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6  # all distances are 2 GB
+    for i in rng.choice(len(x), 200, replace=False):
+        own = sum((x[i, c] - x[:, c]) ** 2 for c in range(3))
+        want = np.lexsort((rank, own))[:20]
+        assert idx[i].tolist() == want.tolist() and (d2[i] == own[want]).all()
+    idx, d2 = neighbours._best(x[:3], x[:2], rank, 4)
+    assert (idx[:, 2:] == -1).all() and np.isinf(d2[:, 2:]).all() and sorted(idx[0, :2]) == [0, 1]
