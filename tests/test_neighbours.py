@@ -97,3 +97,13 @@ def test_neighbours_in_noise_take_few_distances():
         assert idx[i].tolist() == want.tolist() and (d2[i] == own[want]).all()
     idx, d2 = neighbours._best(x[:3], x[:2], rank, 4)
     assert (idx[:, 2:] == -1).all() and np.isinf(d2[:, 2:]).all() and sorted(idx[0, :2]) == [0, 1]
+
+
+def test_splats_look_for_no_cameras(spark, monkeypatch):
+    from orrery.operators import fitting
+
+    calls, around = [], neighbours.around
+    monkeypatch.setattr(neighbours, "around", lambda *a, **k: calls.append(a[1]) or around(*a, **k))
+    rng = np.random.default_rng(8)
+    n = fitting.surface_normals(cloud_of(spark, rng.normal(0, 1, (60, 3))), None, 8).collect()
+    assert calls == [None, None] and len(n) == 60 and all(r["facing"] >= 0 and abs(r["nx"] ** 2 + r["ny"] ** 2 + r["nz"] ** 2 - 1) < 1e-6 for r in n)
